@@ -84,3 +84,9 @@ def attach_groups(rows: DataFrame, keys: Sequence[str], partial: Sequence[Column
     if having is not None:
         totals = totals.where(having)
     return salted.join(totals.withColumn("_salt", F.explode("_salts")).drop("_salts"), [*keys, "_salt"], "left").drop("_salt")
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
+    """Bounds what one Arrow batch brings to a Python worker, in rows and in bytes, so that long texts fit."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, url_filter
+from . import decontaminate, exact_dedup, langid, quality, spm, url_filter
 from .common import table
 
 
+def op1_quality(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
 
@@ -14,12 +18,20 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark, sf_dir):
+    return langid.predict_language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.spam_list(spark))
 
 
+def op10_sentencepiece(spark, sf_dir):
+    return spm.encode_decode(table(spark, sf_dir, "documents"), values=False)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontamination, op4_exact_dedup, op9_url_filter)}
+    return {f.__name__: f for f in (op1_quality, op2_decontamination, op4_exact_dedup, op8_language, op9_url_filter, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
