@@ -90,3 +90,12 @@ def bounded_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None
     """Bounds what one Arrow batch brings to a Python worker, in rows and in bytes, so that long texts fit."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)
+
+
+def attach_by_key(rows: DataFrame, facts: DataFrame, key: str, salt: Column, salts: int = 64) -> DataFrame:
+    """Left-joins rows with facts (at most one row a key), safely where one key holds many rows: a fact goes to each of the
+    (key, salt) pairs that rows have, and nowhere else. Null keys match nothing."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
+    pairs = salted.where(F.col(key).isNotNull()).select(key, "_salt").distinct().groupBy(key).agg(F.collect_set("_salt").alias("_salts"))
+    spread = facts.join(pairs, key).withColumn("_salt", F.explode("_salts")).drop("_salts")
+    return salted.join(spread, [key, "_salt"], "left").drop("_salt")

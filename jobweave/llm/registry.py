@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, quality, spm, url_filter
+from . import decontaminate, exact_dedup, langid, minhash, quality, spm, url_filter
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).drop("at")
+
+
 def op8_language(spark, sf_dir):
     return langid.predict_language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -31,7 +35,7 @@ def op10_sentencepiece(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_decontamination, op4_exact_dedup, op8_language, op9_url_filter, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_quality, op2_decontamination, op4_exact_dedup, op6_minhash, op8_language, op9_url_filter, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
