@@ -26,7 +26,7 @@ ROWS = 4  # hashes a band
 BATCH = 16  # hashes that are compared at a time
 SMALL = 8  # buckets up to this size are compared pair by pair (28 pairs at most)
 HUB_ROUNDS, HUBS = 2, 3
-BLOCK = 256  # members a block
+BLOCK, BLOCK_SHINGLES = 256, 100_000  # members and shingles a block, about
 STRETCH = 1 << 20
 _rng = np.random.default_rng(17)
 _byte = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -171,16 +171,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return first.unionByName(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).select("a", "b", "text").mapInArrow(run, "a binary, b binary")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether no node is at both ends, and each larger node has one edge: then b is the root of a."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (a, b): alternating large-star and small-star steps until nothing changes.
-    Neighbours are never gathered: a node's least neighbour is pre-aggregated, and comes back salted."""
+    """(node, root) of every node of the edges (a, b) but the roots: alternating large-star and small-star steps until only stars
+    are left. Neighbours are never gathered: a node's least neighbour is pre-aggregated, and comes back salted."""
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    state = None
-    while True:
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = mark
+    while not _are_stars(edges):
         # Large-star: the larger neighbours of a node go to its least neighbour, or to itself.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = attach_groups(both, ["a"], [F.min("b").alias("m")], [F.min("m").alias("m")], salt=F.col("b"))
@@ -189,33 +190,83 @@ def connected_components(edges: DataFrame) -> DataFrame:
         near = attach_groups(large, ["a"], [F.min("b").alias("m")], [F.min("m").alias("m")], salt=F.col("b"))
         small = near.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(near.select("a", F.col("m").alias("b")))
         edges = materialize(small.where("a <> b").distinct(), "edges")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _block_survivors(open_: DataFrame, sigs: DataFrame, hashes: int, need: list[int]) -> DataFrame:
-    """Survivors among all pairs of different components in the open buckets: blocks of the members outside each bucket's
-    first component against blocks of all members."""
-    known = open_.join(sigs.select("digest", "sig"), "digest")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+def _set_table(texts: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column("text")], pa.binary())], names=["digest", "members"])
+
+    return texts.select("digest", "text").mapInArrow(run, "digest binary, members binary")
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sorted sets, by products of incidence matrices over slices of the vocabulary."""
+    known = np.unique(np.concatenate([*left, *right]))
+    total = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(known), 8192):
+        part = known[at : at + 8192]
+        sides = []
+        for sets in (left, right):
+            m = np.zeros((len(sets), len(part)), np.float32)
+            for i, s in enumerate(sets):
+                m[i, np.searchsorted(part, s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], side="right")])] = 1
+            sides.append(m)
+        total += sides[0] @ sides[1].T
+    return total
+
+
+def _block_links(open_: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, percent: int, hashes: int, need: list[int]) -> DataFrame:
+    """Links among all pairs of different components in the open buckets: blocks of the members outside each bucket's core
+    component against blocks of all members. A pair that shares several bands is compared in the first one; survivors of the
+    signatures are verified on full sets inside the block, and of the links only those that join components leave it."""
+    sets = _set_table(texts.join(open_.select("digest").distinct(), "digest", "left_semi"), words)
+    known = open_.join(sigs.select("digest", "sig").join(sets, "digest"), "digest")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
     known = known.withColumn("block", F.pmod(F.xxhash64("digest"), blocks).cast("int"))
-    member = F.struct("digest", "root", "sig")
+    member = F.struct("digest", "root", "sig", "members")
     all_ = known.groupBy("bucket", "block").agg(F.collect_list(member).alias("v"))
-    odd = known.where("root <> core").groupBy("bucket", F.col("block").alias("of"), "m").agg(F.collect_list(member).alias("u"))
-    odd = odd.select("bucket", "u", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    odd = known.where("root <> core").groupBy("bucket", "band", F.col("block").alias("of"), "m", "total").agg(F.collect_list(member).alias("u"))
+    odd = odd.select("bucket", "band", "u", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = set()
-            for us, vs in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            links = []
+            for band, u, v in zip(batch.column("band"), batch.column("u"), batch.column("v"), strict=True):
+                us, vs = u.as_py(), v.as_py()
                 x, y = (np.frombuffer(b"".join(r["sig"] for r in s), "<u4").reshape(-1, hashes) for s in (us, vs))
-                roots = {r: i for i, r in enumerate({r["root"] for r in [*us, *vs]})}
-                left, right = (np.array([roots[r["root"]] for r in s]) for s in (us, vs))
-                matches = sum(x[:, None, i] == y[None, :, i] for i in range(BATCH)) if hashes > BATCH else np.full((len(x), len(y)), need[0])
+                number = {r: i for i, r in enumerate({r["root"] for r in [*us, *vs]})}
+                left, right = (np.array([number[r["root"]] for r in s]) for s in (us, vs))
+                first = min(BATCH, hashes)
+                matches = np.zeros((len(x), len(y)), np.int32)
+                for k in range(first):
+                    matches += x[:, None, k] == y[None, :, k]
                 i, j = np.nonzero((matches >= need[0]) & (left[:, None] != right[None, :]))
-                stay = (x[i] == y[j]).sum(axis=1) >= need[-1]
-                found |= {tuple(sorted((us[p]["digest"], vs[q]["digest"]))) for p, q in zip(i[stay], j[stay], strict=True)}
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+                same = x[i] == y[j]
+                stay = (same.sum(axis=1) >= need[-1]) & (same.reshape(len(i), hashes // ROWS, ROWS).all(axis=2).argmax(axis=1) == band.as_py())
+                i, j = i[stay], j[stay]
+                if not len(i):
+                    continue
+                p, q = np.unique(i), np.unique(j)
+                a, b = ([np.frombuffer(s[k]["members"], np.uint64) for k in at] for s, at in ((us, p), (vs, q)))
+                common = _common(a, b)[np.searchsorted(p, i), np.searchsorted(q, j)].astype(np.int64)
+                size = np.array([len(us[k]["members"]) // 8 for k in i]) + np.array([len(vs[k]["members"]) // 8 for k in j]) - common
+                top = list(range(len(number)))
+                for k in np.flatnonzero(100 * common >= percent * size):
+                    r, s = (_find(top, int(side[at[k]])) for side, at in ((left, i), (right, j)))
+                    if r != s:
+                        top[r] = s
+                        links.append((us[i[k]]["digest"], vs[j[k]]["digest"]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return odd.join(all_, ["bucket", "block"]).select("band", "u", "v").mapInArrow(run, "a binary, b binary").distinct()
+
 
-    return odd.join(all_, ["bucket", "block"]).select("u", "v").mapInArrow(run, "a binary, b binary").distinct()
+def _find(top: list[int], x: int) -> int:
+    while top[x] != x:
+        top[x] = x = top[top[x]]
+    return x
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
@@ -232,12 +283,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     hashes = bands * ROWS
     signed = materialize(_signed(docs, words, hashes), "signatures")
     last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    least = F.min(F.struct(last.alias("order"), "doc_id", "at", "sig")).alias("r")
-    classes = materialize(signed.where("digest IS NOT NULL").groupBy("digest").agg(least, F.count("*").alias("copies")).select("digest", "r.doc_id", "r.at", "r.sig", "copies"), "classes")
+    least = F.min(F.struct(last.alias("order"), "doc_id", "at", "n", "sig")).alias("r")
+    classes = materialize(signed.where("digest IS NOT NULL").groupBy("digest").agg(least, F.count("*").alias("copies")).select("digest", "r.doc_id", "r.at", "r.n", "r.sig", "copies"), "classes")
 
-    band = f"explode(transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(sig, i * {4 * ROWS} + 1, {4 * ROWS})))) AS bucket"
-    spread = classes.select("digest", F.expr(band))
-    grouped = attach_groups(spread, ["bucket"], [F.count("*").alias("m"), F.min("digest").alias("hub")], [F.sum("m").alias("m"), F.min("hub").alias("hub")], salt=F.col("digest"), having=F.col("m") > 1)
+    spread = classes.select("digest", "n", F.expr(f"posexplode(transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(sig, i * {4 * ROWS} + 1, {4 * ROWS})))) AS (band, bucket)"))
+    totals = [F.sum("m").alias("m"), F.sum("total").alias("total"), F.min("hub").alias("hub")]
+    grouped = attach_groups(spread, ["bucket"], [F.count("*").alias("m"), F.sum("n").alias("total"), F.min("digest").alias("hub")], totals, salt=F.col("digest"), having=F.col("m") > 1)
     members = materialize(grouped.where("m > 1"), "buckets")
 
     small = members.where(f"m <= {SMALL}").groupBy("bucket").agg(F.array_sort(F.collect_set("digest")).alias("d"))
@@ -254,7 +305,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     links = materialize(_verified(_survivors(pairs, classes, hashes, need), texts, words, percent), "links")
     roots = connected_components(links)
     for turn in range(HUB_ROUNDS + 1):
-        placed = attach_by_key(large.select("bucket", "digest", "m"), roots.withColumnRenamed("node", "digest"), "digest", F.col("bucket")).withColumn("root", F.coalesce("root", "digest"))
+        placed = attach_by_key(large.select("bucket", "band", "digest", "m", "total"), roots.withColumnRenamed("node", "digest"), "digest", F.col("bucket")).withColumn("root", F.coalesce("root", "digest"))
         hubs = [F.min(F.struct(F.xxhash64("digest", F.lit(turn * HUBS + k)).alias("h"), "digest", "root")).alias(f"hub{k}") for k in range(HUBS)]
         again = [F.min(f"hub{k}").alias(f"hub{k}") for k in range(HUBS)]
         open_ = attach_groups(placed, ["bucket"], [F.min("root").alias("core"), F.max("root").alias("top"), *hubs], [F.min("core").alias("core"), F.max("top").alias("top"), *again], salt=F.col("digest"), having=F.col("core") != F.col("top"))
@@ -264,10 +315,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
         if turn < HUB_ROUNDS:
             chosen = F.explode(F.array(*(F.col(f"hub{k}") for k in range(HUBS)))).alias("hub")
             more = open_.select("digest", "root", chosen).where("root <> hub.root").select(F.least("digest", "hub.digest").alias("a"), F.greatest("digest", "hub.digest").alias("b")).distinct()
-            found = _survivors(more, classes, hashes, need)
+            found = _verified(_survivors(more, classes, hashes, need), texts, words, percent)
         else:
-            found = _block_survivors(open_.select("bucket", "digest", "m", "root", "core"), classes, hashes, need)
-        fresh = materialize(_verified(found, texts, words, percent), "links")
+            found = _block_links(open_, classes, texts, words, percent, hashes, need)
+        fresh = materialize(found, "links")
         if not fresh.isEmpty():
             links = links.unionByName(fresh)
             roots = connected_components(links)
