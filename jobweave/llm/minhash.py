@@ -294,7 +294,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     small = members.where(f"m <= {SMALL}").groupBy("bucket").agg(F.array_sort(F.collect_set("digest")).alias("d"))
     small = small.where("size(d) > 1").select(F.expr("explode(flatten(transform(sequence(1, size(d) - 1), i -> transform(slice(d, i + 1, size(d)), x -> struct(d[i - 1] AS a, x AS b))))) AS p")).select("p.a", "p.b")
     large = members.where(f"m > {SMALL}")
-    star = large.where("digest <> hub").select(F.col("hub").alias("a"), F.col("digest").alias("b"))
+    # One hub for each member at first, that of its largest bucket; copies share most of their buckets.
+    star = large.where("digest <> hub").groupBy("digest").agg(F.max(F.struct("m", "bucket", "hub")).alias("x")).select(F.col("x.hub").alias("a"), F.col("digest").alias("b"))
     pairs = small.unionByName(star).distinct()
 
     # Texts of the classes that have any candidate, once.
@@ -314,7 +315,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
             break
         if turn < HUB_ROUNDS:
             chosen = F.explode(F.array(*(F.col(f"hub{k}") for k in range(HUBS)))).alias("hub")
-            more = open_.select("digest", "root", chosen).where("root <> hub.root").select(F.least("digest", "hub.digest").alias("a"), F.greatest("digest", "hub.digest").alias("b")).distinct()
+            widest = open_.groupBy("digest", "root").agg(F.max(F.struct("m", "bucket", *(f"hub{k}" for k in range(HUBS)))).alias("x"))
+            more = widest.select("digest", "root", *(F.col(f"x.hub{k}") for k in range(HUBS))).select("digest", "root", chosen).where("root <> hub.root").select(F.least("digest", "hub.digest").alias("a"), F.greatest("digest", "hub.digest").alias("b")).distinct()
             found = _verified(_survivors(more, classes, hashes, need), texts, words, percent)
         else:
             found = _block_links(open_, classes, texts, words, percent, hashes, need)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, minhash, quality, spm, url_filter
+from . import decontaminate, exact_dedup, langid, licenses, line_dedup, minhash, quality, spm, url_filter, warc
 from .common import table
 
 
@@ -14,14 +14,26 @@ def op2_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
 
 
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).drop("at")
 
 
+def op7_warc(spark, sf_dir):
+    return warc.read_archive(warc.write_archive(table(spark, sf_dir, "pages")))
+
+
 def op8_language(spark, sf_dir):
     return langid.predict_language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -35,8 +47,8 @@ def op10_sentencepiece(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_decontamination, op4_exact_dedup, op6_minhash, op8_language, op9_url_filter, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_quality, op2_decontamination, op3_line_dedup, op4_exact_dedup, op5_license_scan, op6_minhash, op7_warc, op8_language, op9_url_filter, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op9_url_filter": url_filter.ORACLE}
+    return {"op2_decontamination": decontaminate.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_license_scan": licenses.ORACLE, "op7_warc": warc.ORACLE, "op9_url_filter": url_filter.ORACLE}
