@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from .common import bounded_batches, held_out
 
@@ -132,6 +133,15 @@ def predict_language(docs: DataFrame) -> DataFrame:
     Ties go to the language first in order. Repeated rows give repeated results; columns named like the new ones
     are replaced. An empty table gives an empty result.
     """
+    return _predicted(docs.drop("held_out", "lang_pred", "score"), "held_out", "lang_pred", "score")
+
+
+def keep_known_languages(docs: DataFrame, least: float = 0.3) -> DataFrame:
+    """The documents (all their columns as they were) whose language is known with at least that score."""
+    return _predicted(docs, "_held_out", "_lang_pred", "_score").where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least)).select(*docs.columns)
+
+
+def _predicted(docs: DataFrame, held: str, lang: str, score: str) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     model = spark.sparkContext.broadcast(train(docs, ~held_out(F.col("doc_id"))))  # some KB
@@ -144,11 +154,9 @@ def predict_language(docs: DataFrame) -> DataFrame:
                 text = t.as_py()
                 known = m.langs and text and next(filter(str.isalpha, text), None)
                 found.append(m.predict(text) if known else (UNKNOWN, 0.0))
-            new = {"lang_pred": pa.array([x for x, _ in found], pa.string()), "score": pa.array([x for _, x in found], pa.float64())}
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*batch.schema.names, *new])
-
-    rows = docs.drop("held_out", "lang_pred", "score").withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    from pyspark.sql.types import DoubleType, StringType, StructType
+            new = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, lang, score])
 
-    schema = StructType(list(rows.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())
+    rows = docs.withColumn(held, F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    schema = StructType(list(rows.schema.fields)).add(lang, StringType()).add(score, DoubleType())
     return rows.mapInArrow(run, schema)

@@ -26,7 +26,7 @@ ROWS = 4  # hashes a band
 BATCH = 16  # hashes that are compared at a time
 SMALL = 8  # buckets up to this size are compared pair by pair (28 pairs at most)
 HUB_ROUNDS, HUBS = 2, 3
-BLOCK, BLOCK_SHINGLES = 256, 100_000  # members and shingles a block, about
+BLOCK, BLOCK_SHINGLES = 1024, 400_000  # members and shingles a block, about
 STRETCH = 1 << 20
 _rng = np.random.default_rng(17)
 _byte = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)

@@ -185,8 +185,8 @@ def encode_decode(docs: DataFrame, model_path: str | None = None, values: bool =
             rows = []
             for text in batch.column("text"):
                 packed = encoder.encode(text.as_py() or "")
-                ids = np.frombuffer(packed, "<u4").tolist()
-                decoded = encoder.decode(ids)
+                ids = np.frombuffer(packed, "<i4")
+                decoded = encoder.decode(ids.tolist())
                 row = [len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
                 rows.append(row + [ids, decoded] if values else row)
             columns = [list(x) for x in zip(*rows, strict=True)] or [[]] * (5 if values else 3)
