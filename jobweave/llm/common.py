@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -63,6 +64,13 @@ def forget(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver collect garbage, so that Spark's cleaner deletes the shuffle files of the steps that are over; long
+    loops call it once a round (left alone, the cleaner waits until the driver's heap is full)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else (lower() would fold other letters too)."""
     return F.translate(text, UPPER, LOWER)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_by_key, attach_groups, bounded_batches, materialize
+from .common import attach_by_key, attach_groups, bounded_batches, materialize, release
 
 ROWS = 4  # hashes a band
 BATCH = 16  # hashes that are compared at a time
@@ -190,6 +190,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         near = attach_groups(large, ["a"], [F.min("b").alias("m")], [F.min("m").alias("m")], salt=F.col("b"))
         small = near.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(near.select("a", F.col("m").alias("b")))
         edges = materialize(small.where("a <> b").distinct(), "edges")
+        release(edges.sparkSession)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -294,36 +295,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     small = members.where(f"m <= {SMALL}").groupBy("bucket").agg(F.array_sort(F.collect_set("digest")).alias("d"))
     small = small.where("size(d) > 1").select(F.expr("explode(flatten(transform(sequence(1, size(d) - 1), i -> transform(slice(d, i + 1, size(d)), x -> struct(d[i - 1] AS a, x AS b))))) AS p")).select("p.a", "p.b")
     large = members.where(f"m > {SMALL}")
-    # One hub for each member at first, that of its largest bucket; copies share most of their buckets.
-    star = large.where("digest <> hub").groupBy("digest").agg(F.max(F.struct("m", "bucket", "hub")).alias("x")).select(F.col("x.hub").alias("a"), F.col("digest").alias("b"))
-    pairs = small.unionByName(star).distinct()
-
     # Texts of the classes that have any candidate, once.
     sought = members.select("digest").distinct().join(classes, "digest").select("digest", F.coalesce("doc_id", F.lit(-1)).alias("id"), "at")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64("text").alias("at"), "text").where("text IS NOT NULL")
     texts = materialize(texts.join(sought, ["id", "at"]).dropDuplicates(["digest"]).select("digest", "text"), "texts")
 
-    links = materialize(_verified(_survivors(pairs, classes, hashes, need), texts, words, percent), "links")
-    roots = connected_components(links)
+    links = roots = None
     for turn in range(HUB_ROUNDS + 1):
-        placed = attach_by_key(large.select("bucket", "band", "digest", "m", "total"), roots.withColumnRenamed("node", "digest"), "digest", F.col("bucket")).withColumn("root", F.coalesce("root", "digest"))
+        placed = large.select("bucket", "band", "digest", "m", "total")
+        if roots is None:
+            placed = placed.withColumn("root", F.col("digest"))
+        else:
+            placed = attach_by_key(placed, roots.withColumnRenamed("node", "digest"), "digest", F.col("bucket")).withColumn("root", F.coalesce("root", "digest"))
         hubs = [F.min(F.struct(F.xxhash64("digest", F.lit(turn * HUBS + k)).alias("h"), "digest", "root")).alias(f"hub{k}") for k in range(HUBS)]
         again = [F.min(f"hub{k}").alias(f"hub{k}") for k in range(HUBS)]
         open_ = attach_groups(placed, ["bucket"], [F.min("root").alias("core"), F.max("root").alias("top"), *hubs], [F.min("core").alias("core"), F.max("top").alias("top"), *again], salt=F.col("digest"), having=F.col("core") != F.col("top"))
         open_ = materialize(open_.where("core IS NOT NULL"), "open")
-        if open_.isEmpty():
+        if turn and open_.isEmpty():
             break
         if turn < HUB_ROUNDS:
-            chosen = F.explode(F.array(*(F.col(f"hub{k}") for k in range(HUBS)))).alias("hub")
+            # A member meets the hubs of its largest open bucket; copies share most of their buckets.
             widest = open_.groupBy("digest", "root").agg(F.max(F.struct("m", "bucket", *(f"hub{k}" for k in range(HUBS)))).alias("x"))
-            more = widest.select("digest", "root", *(F.col(f"x.hub{k}") for k in range(HUBS))).select("digest", "root", chosen).where("root <> hub.root").select(F.least("digest", "hub.digest").alias("a"), F.greatest("digest", "hub.digest").alias("b")).distinct()
+            chosen = F.explode(F.array(*(F.col(f"x.hub{k}") for k in range(HUBS)))).alias("hub")
+            more = widest.select("digest", "root", chosen).where("root <> hub.root").select(F.least("digest", "hub.digest").alias("a"), F.greatest("digest", "hub.digest").alias("b"))
+            more = (more if turn else more.unionByName(small)).distinct()
             found = _verified(_survivors(more, classes, hashes, need), texts, words, percent)
         else:
             found = _block_links(open_, classes, texts, words, percent, hashes, need)
         fresh = materialize(found, "links")
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
+        if not turn or not fresh.isEmpty():
+            links = fresh if links is None else links.unionByName(fresh)
             roots = connected_components(links)
+        release(docs.sparkSession)
 
     id_of = classes.select("digest", "doc_id", "copies").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     named = attach_groups(id_of, ["root"], [F.min("doc_id").alias("component"), F.count("*").alias("k")], [F.min("component").alias("component"), F.sum("k").alias("k")], salt=F.col("digest"))
