@@ -27,6 +27,7 @@ BATCH = 16  # hashes that are compared at a time
 SMALL = 8  # buckets up to this size are compared pair by pair (28 pairs at most)
 HUB_ROUNDS, HUBS = 2, 3
 BLOCK, BLOCK_SHINGLES = 1024, 400_000  # members and shingles a block, about
+PAIRS = 1 << 15  # pairs of a block whose signatures are compared in full at a time
 STRETCH = 1 << 20
 _rng = np.random.default_rng(17)
 _byte = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -244,8 +245,11 @@ def _block_links(open_: DataFrame, sigs: DataFrame, texts: DataFrame, words: int
                 for k in range(first):
                     matches += x[:, None, k] == y[None, :, k]
                 i, j = np.nonzero((matches >= need[0]) & (left[:, None] != right[None, :]))
-                same = x[i] == y[j]
-                stay = (same.sum(axis=1) >= need[-1]) & (same.reshape(len(i), hashes // ROWS, ROWS).all(axis=2).argmax(axis=1) == band.as_py())
+                stay = np.zeros(len(i), bool)
+                for at in range(0, len(i), PAIRS):
+                    part = slice(at, at + PAIRS)
+                    same = x[i[part]] == y[j[part]]
+                    stay[part] = (same.sum(axis=1) >= need[-1]) & (same.reshape(len(same), hashes // ROWS, ROWS).all(axis=2).argmax(axis=1) == band.as_py())
                 i, j = i[stay], j[stay]
                 if not len(i):
                     continue

@@ -20,7 +20,7 @@ from .common import bounded_batches
 
 SPACE = "▁"
 #: Entries of each generation of the word cache, and of the cache of compatible pairs, in a Python worker.
-MAX_WORDS, MAX_PAIRS = 250_000, 1_000_000
+MAX_WORDS, MAX_PAIRS = 120_000, 400_000
 
 
 class BacktrackingEncoder:
