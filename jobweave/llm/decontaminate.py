@@ -56,23 +56,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     an empty benchmark hits nothing.
     """
     found = _hits(docs.select("doc_id", "text"), benchmark, window, max_inline)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), F.expr("n_hit > 0 AND 20 * n_hit >= n_words").alias("contaminated"), "items", "spans")
+    return found.select("doc.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), F.expr("n_hit > 0 AND 20 * n_hit >= n_words").alias("contaminated"), "items", "spans")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents (all their columns) that are not contaminated."""
     found = _hits(docs, benchmark, WINDOW, MAX_INLINE)
-    return found.where("NOT (n_hit > 0 AND 20 * n_hit >= n_words)").select(*docs.columns)
+    return found.where("NOT (n_hit > 0 AND 20 * n_hit >= n_words)").select("doc.*")
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, window: int, max_inline: int) -> DataFrame:
+    """doc (all columns, as a struct, so that no name clashes), n_words, n_hit, items, spans."""
     columns = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")]
     windows = materialize(bench_windows(benchmark, window), "windows")
     sizes = [r[0] for r in windows.select("shingle").distinct().collect()]
     n_words = F.size("words").cast("long").alias("n_words")
     tokens = docs.select(*columns, words_of(F.col("text")).alias("words")).select("doc", "words", n_words)
     if not sizes:
-        return tokens.select("doc.*", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+        return tokens.select("doc", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
     shingles = materialize(_shingles(windows, sizes), "shingles")
     distinct = shingles.select("h").distinct()
     inline = distinct.count() <= max_inline
@@ -111,7 +112,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int, max_inline: int) -
     found = found.select("row", F.array_sort(F.transform("items", lambda x: x.cast("string"))).alias("items"), F.expr(joined).alias("spans"))
     out = marked.select("row", "doc", "n_words").join(found, "row", "left")
     total = F.expr("aggregate(coalesce(spans, array()), 0L, (a, x) -> a + x.end - x.start)")
-    return out.select("doc.*", "n_words", total.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
+    return out.select("doc", "n_words", total.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
 
 
 ORACLE = r"""

@@ -138,7 +138,7 @@ def predict_language(docs: DataFrame) -> DataFrame:
 
 def keep_known_languages(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents (all their columns as they were) whose language is known with at least that score."""
-    return _predicted(docs, "_held_out", "_lang_pred", "_score").where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least)).select(*docs.columns)
+    return _predicted(docs, "__jw_held_out", "__jw_lang_pred", "__jw_score").where((F.col("__jw_lang_pred") != UNKNOWN) & (F.col("__jw_score") >= least)).select(*docs.columns)
 
 
 def _predicted(docs: DataFrame, held: str, lang: str, score: str) -> DataFrame:

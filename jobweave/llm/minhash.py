@@ -341,6 +341,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, with all its columns; rows that repeat a kept document go too."""
-    kept = near_duplicates(docs, words, percent).where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("at").alias("_at")).distinct()
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_at", F.xxhash64("text"))
-    return rows.join(kept, ["_id", "_at"]).dropDuplicates(["_id", "_at"]).select(*docs.columns)
+    kept = near_duplicates(docs, words, percent).where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("__jw_id"), F.col("at").alias("__jw_at")).distinct()
+    rows = docs.withColumn("__jw_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("__jw_at", F.xxhash64("text"))
+    return rows.join(kept, ["__jw_id", "__jw_at"]).dropDuplicates(["__jw_id", "__jw_at"]).select(*docs.columns)
