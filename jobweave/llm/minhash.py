@@ -326,7 +326,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
             found = _verified(_survivors(more, classes, hashes, need), texts, words, percent)
         else:
             found = _block_links(open_, classes, texts, words, percent, hashes, need)
+            bounded_batches(docs.sparkSession, rows=2)  # a row is two blocks, some MB
         fresh = materialize(found, "links")
+        bounded_batches(docs.sparkSession)
         if not turn or not fresh.isEmpty():
             links = fresh if links is None else links.unionByName(fresh)
             roots = connected_components(links)

@@ -86,7 +86,7 @@ def test_contamination(spark):
 
 def test_licenses(spark):
     mit = next(t for x, t in licenses.TEMPLATES if x == "MIT")
-    rows = [(1, "Text that goes before.\nReleased under the MIT License.\nMore of it."), (2, "(c) 2020 Someone\n\n" + mit.replace(". ", ".\n")), (3, "Nothing here"), (4, None), (5, ""), (6, "licensed UNDER the Apache license version 2.0"), (6, "licensed UNDER the Apache license version 2.0"), (7, mit + " word" * 3000), (8, "license")]
+    rows = [(1, "Text that goes before.\nReleased under the MIT License.\nMore of it."), (2, "(c) 2020 Someone\n\n" + mit.replace(". ", ".\n")), (3, "Nothing here"), (4, None), (5, ""), (6, "licensed UNDER the Apache license version 2.0"), (6, "licensed UNDER the Apache license version 2.0"), (7, mit + "".join(f" word{i}" for i in range(3000))), (8, "license")]
     out = {r.doc_id: (r.licenses, r.n_units) for r in licenses.scan_licenses(docs(spark, rows)).collect()}
     assert out[1] == (["MIT"], 1) and "MIT" in out[2][0] and out[6][0] == ["Apache-2.0"]
     assert all(out[i] == ([], 0) for i in (3, 4, 5, 7, 8))
