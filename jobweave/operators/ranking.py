@@ -85,6 +85,13 @@ def label_counts(labels: DataFrame) -> DataFrame:
     return every.join(labels.groupBy("label").count(), "label", "left").select("label", F.coalesce("count", F.lit(0)).alias("n"))
 
 
+def label_shares(labels: DataFrame) -> DataFrame:
+    """Share of all rows that each label present has."""
+    counts = labels.groupBy("label").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.select("label", (F.col("n") / total.scalar()).alias("share"))
+
+
 def expected_rating(p: Column) -> Column:
     return F.get(p, F.lit(1)) + 2 * F.get(p, F.lit(2))
 

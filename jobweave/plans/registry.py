@@ -470,6 +470,78 @@ def oof_precision(spark, d):
     return ranking.benchmark(scored.fillna({"cosine": 0.0}), ["rating", "cosine"])
 
 
+@query("SELECT source AS origin, unnest(generate_series(0, count(*) - 1, 20)) AS page_offset FROM documents GROUP BY source")
+def listing_pages(spark, d):
+    sizes = _table(spark, d, "documents").groupBy(F.col("source").alias("origin")).agg(F.count("*").cast("int").alias("total"))
+    return sizes.select("origin", F.explode(src.page_offsets(F.col("total"), 20).cast("array<bigint>")).alias("page_offset"))
+
+
+@query(f"{WITH} SELECT origin AS company, title, url AS external_path FROM p WHERE vacancy_id % 4 <> 0")
+def workday_listing(spark, d):
+    # Two entries a page; the paths of some are missing or null.
+    p = synth.postings(spark, d)
+    entry = F.struct("title", F.when(F.col("vacancy_id") % 4 != 0, F.col("url")).alias("externalPath"))
+    pages = p.select(F.col("origin").alias("company"), F.to_json(F.struct(F.lit(2).alias("total"), F.array(entry, F.struct(F.lit("No path").alias("title"), F.lit(None).cast("string").alias("externalPath"))).alias("jobPostings"))).alias("payload"))
+    return src.workday_listing(pages)
+
+
+@query(f"{WITH} SELECT vacancy_id, list_transform(string_split(language_requirement, ','), lambda x: trim(x)) AS languages FROM p")
+def page_languages(spark, d):
+    spans = F.array_join(F.transform(F.split("language_requirement", ","), lambda x: F.concat(F.lit("<div><span>"), x, F.lit("</span><span>fluent</span></div>"))), "")
+    page = F.concat(F.lit('<body><div data-testid="languages"><div>Languages</div><div>'), spans, F.lit("</div></div></body>"))
+    return synth.postings(spark, d).select("vacancy_id", T.required_languages(page).alias("languages"))
+
+
+_SOURCES = ("workday", "greenhouse", "ashby", "lever", "smartrecruiters", "magnetme")
+
+
+@query(
+    f"{WITH}, c AS (SELECT count(*) AS n, count(*) FILTER (level NOT IN ({_quoted(rules.EXCLUDED_LEVELS)})) AS kept FROM p) "
+    f"SELECT s AS source, CASE WHEN s = 'smartrecruiters' THEN kept ELSE n END AS n FROM c, (SELECT unnest([{_quoted(_SOURCES)}]) AS s)"
+)
+def all_sources(spark, d):
+    boards = [source_projection_workday, source_projection_greenhouse, source_projection_ashby, source_projection_lever, source_projection_smartrecruiters, json_ld_posting]
+    named = [f(spark, d).select(F.lit(s).alias("source"), "url", "title") for s, f in zip(_SOURCES, boards, strict=True)]
+    return src.all_postings(*named).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query(f"{WITH} SELECT vacancy_id % 7 <> 0 AND vacancy_id % 5 <> 0 AS accepted, count(*) AS n FROM p GROUP BY ALL")
+def posting_quarantine(spark, d):
+    missing = lambda name, k: F.when(F.col("vacancy_id") % k != 0, F.col(name)).alias(name)
+    ok, held = src.quarantine(synth.postings(spark, d).select("source", missing("url", 7), missing("title", 5)))
+    both = ok.withColumn("accepted", F.lit(True)).unionByName(held.withColumn("accepted", F.lit(False)))
+    return both.groupBy("accepted").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_LABELS} SELECT vacancy_id, label FROM l")
+def insert_labels(spark, d):
+    labels = _labels(spark, d)
+    return state.insert_labels(labels.where("vacancy_id % 5 <> 0"), labels.where("vacancy_id % 5 = 0")).select("vacancy_id", "label")
+
+
+@query(f"WITH {_LABELS} SELECT label, round(count(*) / (SELECT count(*) FROM l), 9) AS share FROM l GROUP BY label")
+def label_shares(spark, d):
+    return ranking.label_shares(_labels(spark, d)).select("label", F.round("share", 9).alias("share"))
+
+
+@query("SELECT cast(event_id % 3 AS integer) AS slot, count(*) AS n FROM events GROUP BY ALL")
+def round_robin_calls(spark, d):
+    return _table(spark, d, "events").groupBy(ranking.round_robin(F.col("event_id"), 3).alias("slot")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_LABELS} SELECT vacancy_id, label, NULL::varchar AS note FROM l")
+def evolved_labels(spark, d):
+    return state.evolve(_labels(spark, d), {"note": "string"})
+
+
+@query(None)
+def coefficient_axis(spark, d):
+    """Features that speak most for label 2 over label 0, and most against; a fitted model is not expressible in SQL."""
+    rows = _model_rows(spark, d).cache()
+    features = model.Features.fit(rows)
+    return model.coefficient_axis(model.fit_model(rows, features), features).select("feature", F.round("axis", 4).alias("axis"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 labelled postings nearest to the profile, without those that require another language, and precision@k so far."""
     kept = synth.postings(spark, sf_dir).where(~rules.requires_other_language(F.col("language_requirement"))).select("vacancy_id", "title", "source")
