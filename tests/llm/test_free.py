@@ -98,6 +98,13 @@ def test_word_hashes_cross_stretches(monkeypatch):
     assert (minhash.word_hashes(text) == whole).all() and len(whole) == len(text.split())
 
 
+def test_rows_of_numbers_stay(spark):
+    rows = [(k, f"{k} {k + 1}.5 {k * 7} {k}\nid {k} of {k + 2} {k + 3}\nitem number {k} was sold today") for k in range(4)]
+    out = {r.doc_id: r.text.split("\n") for r in line_dedup.drop_recurring_lines(docs(spark, rows)).collect()}
+    assert out[0] == rows[0][1].split("\n")
+    assert all(out[k] == rows[k][1].split("\n")[:2] for k in (1, 2, 3))
+
+
 def test_line_dedup(spark):
     long = " ".join(f"word{chr(97 + i % 26)}" for i in range(60))
     rows = [(1, f"own line of the first text\n{long}\nshort one"), (2, f"{long}\nanother line that stands alone\nshort one"), (3, "request 12 took 5 ms in all"), (4, "request 99 took 7 ms in all\n\ntail of the fourth text here"), (5, None), (6, ""), (None, long), (7, long), (7, long)]
