@@ -283,6 +283,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     repeat a doc_id are nodes of their own by text, so one doc_id may be in several components. Other columns are
     ignored; an empty table gives an empty result.
     """
+    return _components(docs, words, percent, miss).drop("root")
+
+
+def _components(docs: DataFrame, words: int, percent: int, miss: float = 1e-6) -> DataFrame:
+    """The rows of near_duplicates, and root, which names the component (null where nothing is linked)."""
     bounded_batches(docs.sparkSession)
     bands, need = plan(percent / 100, miss)
     hashes = bands * ROWS
@@ -336,13 +341,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
 
     id_of = classes.select("digest", "doc_id", "copies").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     named = attach_groups(id_of, ["root"], [F.min("doc_id").alias("component"), F.count("*").alias("k")], [F.min("component").alias("component"), F.sum("k").alias("k")], salt=F.col("digest"))
-    facts = named.where("k > 1 OR copies > 1").select("digest", "component")
+    facts = named.where("k > 1 OR copies > 1").select("digest", "component", "root")
     out = attach_by_key(signed.select("doc_id", "at", "n", "digest"), facts, "digest", F.col("doc_id")).withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "at")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "at", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, with all its columns; rows that repeat a kept document go too."""
-    kept = near_duplicates(docs, words, percent).where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("__jw_id"), F.col("at").alias("__jw_at")).distinct()
+    """One document of each component, with all its columns: the one of the least doc_id, then of the least hash of its text where
+    rows of one doc_id, or of none, are linked. Rows that repeat the kept document go too; documents that are linked with nothing stay."""
+    alone = F.col("root").isNull()
+    kept = _components(docs, words, percent).where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("__jw_id"), F.col("at").alias("__jw_at"), "root")
+    kept = kept.groupBy("root", F.when(alone, F.col("__jw_id")), F.when(alone, F.col("__jw_at"))).agg(F.min(F.struct("__jw_id", "__jw_at")).alias("k")).select("k.*")
     rows = docs.withColumn("__jw_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("__jw_at", F.xxhash64("text"))
     return rows.join(kept, ["__jw_id", "__jw_at"]).dropDuplicates(["__jw_id", "__jw_at"]).select(*docs.columns)
