@@ -7,9 +7,12 @@ documents hold is recurring: its first line (by doc_id, then place) stays, the o
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import attach_by_key, attach_groups, bounded_batches, materialize
 
 ANY = "<*>"
-DEPTH, DEEPER = 4, 10  # leading tokens of a leaf, and of a leaf that holds more than MAX_LEAF different lines
+DEPTH, DEEPER = 4, 10  # leading tokens of a leaf, and of a part of one that is split
 MAX_LEAF = 400
 AGREE = 0.8  # share of places in which a line must agree with a template
 MIN_TOKENS = 4  # shorter lines are never dropped, nor are lines most of whose tokens are variable (rows of numbers have no template)
@@ -79,52 +82,87 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.dropDuplicates(["h"])
 
 
+class Templates:
+    """The templates of lines of one token count, the first `lead` tokens of which are equal.
+
+    A line joins the template that it agrees with most (ties: the first), if in enough places; places that differ become variable.
+    Only those are compared that can agree: a line may differ from a template in `spare` places, so of spare + 1 segments one
+    is equal. Holds templates, not lines.
+    """
+
+    def __init__(self, n: int, lead: int = 0):
+        self.least = math.ceil(AGREE * n)
+        parts = n - self.least + 1
+        self.cuts = [lead + (n - lead) * i // parts for i in range(parts + 1)]
+        self.ids, self.index, self.n = {ANY: 0}, {}, 0
+        self.rows = np.zeros((4, n), np.int32)
+
+    def _keys(self, row: np.ndarray) -> list[tuple[int, bytes]]:
+        return [(i, row[a:b].tobytes()) for i, (a, b) in enumerate(pairwise(self.cuts))]
+
+    def add(self, tokens: list[str]) -> int:
+        """The number of the template that the line joins."""
+        row = np.array([self.ids.get(t, -1) for t in tokens], np.int32)
+        held = [x for x in map(self.index.get, self._keys(row)) if x]
+        if held:
+            few = sum(map(len, held)) < self.n
+            near = np.array(sorted(set().union(*held))) if few else np.arange(self.n)
+            same = ((self.rows[near] if few else self.rows[: self.n]) == row).sum(axis=1)
+            best = int(same.argmax())
+            if same[best] >= self.least:
+                at = int(near[best])
+                self._generalise(at, row)
+                return at
+        if self.n == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[self.n] = [self.ids.setdefault(t, len(self.ids)) for t in tokens]
+        for key in self._keys(self.rows[self.n]):
+            self.index.setdefault(key, set()).add(self.n)
+        self.n += 1
+        return self.n - 1
+
+    def _generalise(self, at: int, row: np.ndarray) -> None:
+        old = self._keys(self.rows[at])
+        self.rows[at][self.rows[at] != row] = 0
+        for was, now in zip(old, self._keys(self.rows[at]), strict=True):
+            if was != now:
+                self.index[was].discard(at)
+                if not self.index[was]:
+                    del self.index[was]
+                self.index.setdefault(now, set()).add(at)
+
+
 def cluster(rows: list[list[str]]) -> list[int]:
-    """For lines of one token count, in order, the number of the template that each joins: the one that it agrees with most, if in
-    enough places; places that differ become variable."""
-    templates: list[list[str]] = []
-    chosen = []
-    for tokens in rows:
-        best, at = 0, -1
-        for k, t in enumerate(templates):
-            same = sum(map(str.__eq__, t, tokens))
-            if same > best:
-                best, at = same, k
-        if at >= 0 and best >= AGREE * len(tokens):
-            templates[at] = [x if x == y else ANY for x, y in zip(templates[at], tokens, strict=True)]
-        else:
-            at = len(templates)
-            templates.append(list(tokens))
-        chosen.append(at)
-    return chosen
+    """For lines of one token count, in order, the number of the template that each joins."""
+    templates = Templates(len(rows[0])) if rows else None
+    return [templates.add(tokens) for tokens in rows]
 
 
 def _templates(lines: DataFrame) -> DataFrame:
     """lines: leaf, sub, h, masked. Gives h and template: the h of the first line of the line's template."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def flush():
-            chosen, first = cluster([m.split(" ") for _, m in held]), {}
-            for (h, _), k in zip(held, chosen, strict=True):
-                first.setdefault(k, h)
-            return pa.RecordBatch.from_arrays([pa.array([h for h, _ in held], pa.binary()), pa.array([first[k] for k in chosen], pa.binary())], names=["h", "template"])
-
+        key, held = None, {}
         for batch in batches:
-            for leaf, sub, h, masked in zip(*(batch.column(c).to_pylist() for c in ("leaf", "sub", "h", "masked")), strict=True):
+            hs, firsts = batch.column("h").to_pylist(), []
+            for leaf, sub, h, masked in zip(*(batch.column(c).to_pylist() for c in ("leaf", "sub")), hs, batch.column("masked").to_pylist(), strict=True):
                 if (leaf, sub) != key:
-                    if held:
-                        yield flush()
-                    key, held = (leaf, sub), []
-                held.append((h, masked))
-        if held:
-            yield flush()
+                    key, held = (leaf, sub), {}
+                tokens = masked.split(" ")
+                n = len(tokens)  # one a leaf, but for colliding hashes
+                if n not in held:
+                    held[n] = (Templates(n, DEPTH), [])
+                templates, first = held[n]
+                k = templates.add(tokens)
+                if k == len(first):
+                    first.append(h)
+                firsts.append(first[k])
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.binary()), pa.array(firsts, pa.binary())], names=["h", "template"])
 
     return lines.select("leaf", "sub", "h", "masked").repartition("leaf", "sub").sortWithinPartitions("leaf", "sub", "masked").mapInArrow(run, "h binary, template binary")
 
 
-def recurring_lines(docs: DataFrame) -> DataFrame:
+def recurring_lines(docs: DataFrame, split_crowded: bool = True) -> DataFrame:
     """Lines to drop: id (doc_id, or the largest long for null), at, no."""
     lines = materialize(_lines(docs), "lines")
     doc = F.xxhash64("id", "at").alias("doc")
@@ -138,9 +176,10 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     count = lambda df, keys, name: attach_groups(df, keys, [F.count("*").alias(name)], [F.sum(name).alias(name)], salt=F.col("h"))
     mixed = count(distinct.select("leaf", "h", "first"), ["leaf"], "n").where("n > 1")
     texts = materialize(_texts(docs, mixed.select("leaf", "h", "first")), "line-texts")
-    # Crowded leaves are split by more leading tokens, then by whole lines, so that no leaf grows without bound.
-    sized = count(texts, ["leaf"], "n").withColumn("sub", F.when(F.col("n") > MAX_LEAF, F.col("deep")).otherwise(0))
-    sized = count(sized, ["leaf", "sub"], "k").withColumn("sub", F.when(F.col("k") > MAX_LEAF, F.xxhash64("h")).otherwise(F.col("sub")))
+    sized = texts.withColumn("sub", F.lit(0).cast("long"))
+    if split_crowded:  # by more leading tokens, then by whole lines
+        sized = count(texts, ["leaf"], "n").withColumn("sub", F.when(F.col("n") > MAX_LEAF, F.col("deep")).otherwise(0))
+        sized = count(sized, ["leaf", "sub"], "k").withColumn("sub", F.when(F.col("k") > MAX_LEAF, F.xxhash64("h")).otherwise(F.col("sub")))
     named = distinct.join(_templates(sized), "h", "left").withColumn("template", F.coalesce("template", "h"))
     partial = [F.min("first").alias("f"), F.min("x").alias("fx"), F.max("y").alias("fy")]
     named = attach_groups(named, ["template"], partial, [F.min("f").alias("f"), F.min("fx").alias("fx"), F.max("fy").alias("fy")], salt=F.col("h"), having=F.col("fx") != F.col("fy"))
@@ -148,16 +187,19 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     return attach_by_key(held.select("id", "at", "no", "h"), facts, "h", F.struct("id", "no")).where("f IS NOT NULL AND NOT (id = f.id AND at = f.at AND no = f.no)").select("id", "at", "no")
 
 
-def drop_recurring_lines(docs: DataFrame) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, split_crowded: bool = True) -> DataFrame:
     """The documents' columns with the new text, and n_lines, n_dropped; n_chars, where it is a column, follows the text.
 
     Lines end at line feeds. Null and empty texts stay as they are (an empty text is one line, which is never dropped). A null
     doc_id comes last. Rows that repeat a doc_id and its text are one document, and lose the same lines. Lines of fewer than four tokens,
     or most of whose tokens hold digits, are never dropped. A document all of whose lines recur elsewhere keeps its row, with an
     empty text. Extra columns are kept; an empty table gives an empty result.
+
+    split_crowded: splits leaves of over MAX_LEAF different lines, down to whole lines; templates generalise less there. Without
+    it, one rule holds at every size, and one task meets all different lines of a leaf (it holds their templates only).
     """
     bounded_batches(docs.sparkSession)
-    drops = recurring_lines(docs).groupBy("id", "at").agg(F.collect_set("no").alias("__jw_drop")).withColumnsRenamed({"id": "__jw_id", "at": "__jw_at"})
+    drops = recurring_lines(docs, split_crowded).groupBy("id", "at").agg(F.collect_set("no").alias("__jw_drop")).withColumnsRenamed({"id": "__jw_id", "at": "__jw_at"})
     rows = docs.withColumns({"__jw_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__jw_at": F.xxhash64("text")}).join(drops, ["__jw_id", "__jw_at"], "left")
     # Linear in the lines: the numbers that stay come from a hash set, and the text is split once.
     stay = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "__jw_drop")

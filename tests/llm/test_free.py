@@ -142,6 +142,49 @@ def test_crowded_leaf(spark, monkeypatch):
     assert out.pop(50) == "" and out == dict(rows)
 
 
+@pytest.mark.parametrize("at", ["late", "early", "random"])
+def test_template_rule_holds_at_every_size(spark, at):
+    """300 variants of one line and 3000 give the same result: all lose it but the first (random: but the first of each template)."""
+    left = {}
+    for n in (300, 3000):
+        rng, rows = random.Random(1), []
+        for i in range(n):
+            line = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
+            for j, k in enumerate({"late": (20, 30, 40), "early": (5, 7, 40), "random": rng.sample(range(4, 60), 3)}[at]):
+                line[k] = "".join(chr(97 + int(d)) for d in f"{i}{j}")
+            rows.append((i, " ".join(line)))
+        out = line_dedup.drop_recurring_lines(docs(spark, rows), split_crowded=False).select("doc_id", "text").collect()
+        left[n] = sum(r.text != "" for r in out)
+        if at != "random":
+            assert sorted(r.doc_id for r in out if r.text) == [0]
+        lines = sorted(t.split() for _, t in rows)
+        assert left[n] == len(set(brute_cluster(lines)))
+    assert left[3000] < 3000 * max(left[300], 10) / 300
+
+
+def brute_cluster(rows):
+    templates, chosen = [], []
+    for tokens in rows:
+        same = [sum(x == y for x, y in zip(t, tokens, strict=True)) for t in templates]
+        if same and max(same) >= line_dedup.AGREE * len(tokens):
+            at = same.index(max(same))
+            templates[at] = [x if x == y else line_dedup.ANY for x, y in zip(templates[at], tokens, strict=True)]
+        else:
+            at = len(templates)
+            templates.append(tokens)
+        chosen.append(at)
+    return chosen
+
+
+@pytest.mark.parametrize("n", [4, 5, 6, 9, 10, 23])
+def test_templates_compare_all_that_agree(n):
+    rng = random.Random(n)
+    rows = [["a", "b", "c", "d", *rng.choices(["<*>", "x", "y", *map(str, range(8))], [3, 9, 3, *[1] * 8], k=n - 4)] for _ in range(600)]
+    whole, led = line_dedup.Templates(n), line_dedup.Templates(n, 4)
+    want = brute_cluster(rows)
+    assert [whole.add(r) for r in rows] == want and [led.add(r) for r in rows] == want
+
+
 def test_warc(spark, tmp_path):
     big = "é" * 600
     rows = [(1, "http://a/ b", big), (5, None, big), (3, "x", big), (2, "y", "small"), (4, "z", "small"), (6, "q", None), (None, "n", big), (5, "again", big)] + [(i, "u", f"page {i} " + "t" * 3000) for i in range(100, 300)]
