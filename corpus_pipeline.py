@@ -18,7 +18,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first of the lines of each recurring template; documents keep their rows."""
-    return line_dedup.drop_recurring_lines(docs, split_crowded=False).select(*docs.columns)
+    return line_dedup.drop_recurring_lines(docs, split_crowded=False, repeats=True).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,29 +24,38 @@ ANY = "<*>"
 DEPTH, DEEPER = 4, 10  # leading tokens of a leaf, and of a part of one that is split
 MAX_LEAF = 400
 AGREE = 0.8  # share of places in which a line must agree with a template
-MIN_TOKENS = 4  # shorter lines are never dropped, nor are lines most of whose tokens are variable (rows of numbers have no template)
+MIN_TOKENS = 4  # shorter lines have no template, nor have lines most of whose tokens are variable (rows of numbers)
 LAST = (1 << 63) - 1
 _digit = re.compile("[0-9]").search
+#: Thai, Lao, Tibetan, Burmese, Khmer, Tai, kana, Han: written without spaces between words.
+_unspaced = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 def _tokens(line: str) -> list[str]:
-    """Tokens by white space; those with a digit are variable."""
+    """Tokens by white space, and single characters of scripts without spaces; those with a digit are variable."""
+    if not line.isascii() and _unspaced.search(line):
+        line = _unspaced.sub(r" \g<0> ", line)
     tokens = line.split()
     return [ANY if _digit(t) else t for t in tokens] if _digit(line) else tokens
 
 
+def _signed(text: str) -> int:
+    value = xxhash.xxh3_64_intdigest(text)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def _leaf(tokens: list[str], depth: int = DEPTH) -> int:
     """The leaf of a line: a 64-bit hash of its token count and leading tokens."""
-    value = xxhash.xxh3_64_intdigest(" ".join([str(len(tokens)), *tokens[:depth]]))
-    return value - (1 << 64) if value >> 63 else value
+    return _signed(" ".join([str(len(tokens)), *tokens[:depth]]))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64("text").alias("at"), "text")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """id, at (which text of that doc_id), no, leaf, h (128-bit hash of the line with its variable fields replaced)."""
+def _lines(docs: DataFrame, repeats: bool) -> DataFrame:
+    """id, at (which text of that doc_id), no, leaf, h (128-bit hash of the line with its variable fields replaced). repeats: lines
+    without a template too, each with a leaf of its own words, none replaced; blank lines never."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,8 +64,14 @@ def _lines(docs: DataFrame) -> DataFrame:
                 for no, line in enumerate((text.as_py() or "").split("\n")):
                     tokens = _tokens(line)
                     if len(tokens) >= max(MIN_TOKENS, 2 * tokens.count(ANY)):
-                        for column, value in zip(out, (id_, at, no, _leaf(tokens), xxhash.xxh3_128_digest(" ".join(tokens))), strict=True):
-                            column.append(value)
+                        leaf, key = _leaf(tokens), " ".join(tokens)
+                    elif repeats and tokens:
+                        key = " ".join(line.split())
+                        leaf = _signed(f"= {key}")
+                    else:
+                        continue
+                    for column, value in zip(out, (id_, at, no, leaf, xxhash.xxh3_128_digest(key)), strict=True):
+                        column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["id", "at", "no", "leaf", "h"])
 
@@ -162,9 +177,9 @@ def _templates(lines: DataFrame) -> DataFrame:
     return lines.select("leaf", "sub", "h", "masked").repartition("leaf", "sub").sortWithinPartitions("leaf", "sub", "masked").mapInArrow(run, "h binary, template binary")
 
 
-def recurring_lines(docs: DataFrame, split_crowded: bool = True) -> DataFrame:
+def recurring_lines(docs: DataFrame, split_crowded: bool = True, repeats: bool = False) -> DataFrame:
     """Lines to drop: id (doc_id, or the largest long for null), at, no."""
-    lines = materialize(_lines(docs), "lines")
+    lines = materialize(_lines(docs, repeats), "lines")
     doc = F.xxhash64("id", "at").alias("doc")
     # Only leaves of several documents can hold a recurring template. Their list is written first, so that the join reads both sides
     # straight from a shuffle, where adaptive execution splits a leaf that holds many lines.
@@ -187,19 +202,20 @@ def recurring_lines(docs: DataFrame, split_crowded: bool = True) -> DataFrame:
     return attach_by_key(held.select("id", "at", "no", "h"), facts, "h", F.struct("id", "no")).where("f IS NOT NULL AND NOT (id = f.id AND at = f.at AND no = f.no)").select("id", "at", "no")
 
 
-def drop_recurring_lines(docs: DataFrame, split_crowded: bool = True) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, split_crowded: bool = True, repeats: bool = False) -> DataFrame:
     """The documents' columns with the new text, and n_lines, n_dropped; n_chars, where it is a column, follows the text.
 
     Lines end at line feeds. Null and empty texts stay as they are (an empty text is one line, which is never dropped). A null
     doc_id comes last. Rows that repeat a doc_id and its text are one document, and lose the same lines. Lines of fewer than four tokens,
-    or most of whose tokens hold digits, are never dropped. A document all of whose lines recur elsewhere keeps its row, with an
+    or most of whose tokens hold digits, have no template: without repeats they are never dropped. A document all of whose lines recur elsewhere keeps its row, with an
     empty text. Extra columns are kept; an empty table gives an empty result.
 
     split_crowded: splits leaves of over MAX_LEAF different lines, down to whole lines; templates generalise less there. Without
     it, one rule holds at every size, and one task meets all different lines of a leaf (it holds their templates only).
+    repeats: lines without a template are dropped too where several documents hold the same words, digits included; blank lines stay.
     """
     bounded_batches(docs.sparkSession)
-    drops = recurring_lines(docs, split_crowded).groupBy("id", "at").agg(F.collect_set("no").alias("__jw_drop")).withColumnsRenamed({"id": "__jw_id", "at": "__jw_at"})
+    drops = recurring_lines(docs, split_crowded, repeats).groupBy("id", "at").agg(F.collect_set("no").alias("__jw_drop")).withColumnsRenamed({"id": "__jw_id", "at": "__jw_at"})
     rows = docs.withColumns({"__jw_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__jw_at": F.xxhash64("text")}).join(drops, ["__jw_id", "__jw_at"], "left")
     # Linear in the lines: the numbers that stay come from a hash set, and the text is split once.
     stay = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "__jw_drop")

@@ -162,6 +162,14 @@ def test_template_rule_holds_at_every_size(spark, at):
     assert left[3000] < 3000 * max(left[300], 10) / 300
 
 
+def test_lines_without_a_template_go_as_exact_repeats(spark):
+    zh = "版权所有未经许可不得转载本站任何内容"
+    rows = [(1, f"Les.\n10 20 30 40 50\nown 1\n\n{zh}甲\n12"), (2, f"Les.\n10 20 30 40 51\nown 2\n\n{zh}乙\n12\n版权"), (3, f"{zh}丙\n10 20 30 40 50\n les. \n版权\n13"), (4, "Les.\nLes.\nown 1 2")]
+    out = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_recurring_lines(docs(spark, rows), split_crowded=False, repeats=True).collect()}
+    assert out == {1: (rows[0][1], 6, 0), 2: ("10 20 30 40 51\nown 2\n\n版权", 7, 3), 3: (" les. \n13", 5, 3), 4: ("own 1 2", 3, 2)}
+    assert line_dedup._tokens("ab 日本語2024年 ไท") == ["ab", "日", "本", "語", line_dedup.ANY, "年", "ไ", "ท"]
+
+
 def brute_cluster(rows):
     templates, chosen = [], []
     for tokens in rows:
