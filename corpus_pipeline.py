@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from jobweave.llm import decontaminate, langid, line_dedup, minhash, spm
 from jobweave.llm.common import materialize, table
@@ -17,8 +18,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first of the lines of each recurring template; documents keep their rows."""
-    return line_dedup.drop_recurring_lines(docs, split_crowded=False, repeats=True).select(*docs.columns)
+    """Keeps the first of the lines of each recurring template; drops documents that had words and lost every line."""
+    out = line_dedup.drop_recurring_lines(docs, split_crowded=False, repeats=True)
+    emptied = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]")
+    return out.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

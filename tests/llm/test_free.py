@@ -285,3 +285,11 @@ def test_pipeline(spark, tmp_path):
     out = {r.doc_id: r for r in pipeline.run(spark, str(tmp_path)).collect()}
     assert not {500, 502, 503} & set(out) and 501 in out and len(out) >= 85
     assert len(pipeline.STAGES) == 5
+
+
+def test_emptied_documents_leave_the_pipeline(spark):
+    pipeline = importlib.import_module("corpus_pipeline")
+    line, other = "one line that several documents hold", "and one more of that kind here"
+    rows = [(1, f"{line}\n{other}"), (2, line), (3, f"{other}\n\n\u00a0\n{line}"), (4, f"{line}\nown"), (5, None), (6, ""), (7, " \n"), (None, line)]
+    out = pipeline.lines(spark, docs(spark, rows), "").collect()
+    assert sorted((r.doc_id, r.text or "") for r in out) == [(1, rows[0][1]), (4, "own"), (5, ""), (6, ""), (7, " \n")]
