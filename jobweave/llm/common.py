@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,14 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests), one of our own."""
+    """The folder of spark.checkpoint.dir. Only where that is unset and driver and tasks are one process (tests), one of our own:
+    on a cluster, executors would write to disks that nobody else sees."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="jobweave-")
-        spark.sparkContext.setCheckpointDir(_own_dirs[app])
+        context.setCheckpointDir(_own_dirs[app])
     return _own_dirs[app]
 
 
@@ -50,25 +55,42 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings that hold inside the block only. Names have _ for the dots."""
+    names = {k.replace("_", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def write_table(df: DataFrame, path: str, rows: int = 2000, mb: int = 16) -> None:
+    """Writes df as Parquet. An Arrow batch to a Python worker is bounded in rows and bytes, so that long texts fit; the shuffle
+    files of the job go as soon as the table stands."""
+    with settings(df.sparkSession, spark_sql_execution_arrow_maxRecordsPerBatch=str(rows), spark_sql_execution_arrow_maxBytesPerBatch=str(mb << 20), spark_sql_classic_shuffleDependency_fileCleanup_enabled="true"):
+        df.write.parquet(path)
+
+
+def materialize(df: DataFrame, tag: str, rows: int = 2000, mb: int = 16) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: the lineage ends there, and a lost
     executor costs only the tasks that it ran."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    write_table(df, path, rows, mb)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._jw_path = path
+    return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a materialized table that nothing needs any longer."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets the driver collect garbage, so that Spark's cleaner deletes the shuffle files of the steps that are over; long
-    loops call it once a round (left alone, the cleaner waits until the driver's heap is full)."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes the files of materialized tables that nothing reads any longer."""
+    for df in tables:
+        if df is not None:
+            _delete(df.sparkSession, df._jw_path)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -94,12 +116,6 @@ def attach_groups(rows: DataFrame, keys: Sequence[str], partial: Sequence[Column
     return salted.join(totals.withColumn("_salt", F.explode("_salts")).drop("_salts"), [*keys, "_salt"], "left").drop("_salt")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
-    """Bounds what one Arrow batch brings to a Python worker, in rows and in bytes, so that long texts fit."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)
-
-
 def attach_by_key(rows: DataFrame, facts: DataFrame, key: str, salt: Column, salts: int = 64) -> DataFrame:
     """Left-joins rows with facts (at most one row a key), safely where one key holds many rows: a fact goes to each of the
     (key, salt) pairs that rows have, and nowhere else. Null keys match nothing."""

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out
+from .common import held_out
 
 BITS = 15  # buckets of each kind of feature: words, 3-grams, 4-grams
 KINDS = 3
@@ -143,7 +143,6 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     classes the score is constant (0.5 without any).
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     model = spark.sparkContext.broadcast(train(docs, labels, ~held_out(F.col("doc_id"))))  # 400 KB, of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

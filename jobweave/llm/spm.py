@@ -16,8 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
-
 SPACE = "▁"
 #: Entries of each generation of the word cache, and of the cache of compatible pairs, in a Python worker.
 MAX_WORDS, MAX_PAIRS = 120_000, 400_000
@@ -174,7 +172,6 @@ def encode_decode(docs: DataFrame, model_path: str | None = None, values: bool =
     import numpy as np
 
     spark = docs.sparkSession
-    bounded_batches(spark)
     with open(model_path or default_model(), "rb") as f:
         model = spark.sparkContext.broadcast(f.read())  # half a MB, of fixed size
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * values

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach_groups, bounded_batches, new_path
+from .common import attach_groups, new_path, write_table
 
 FRAME, BUNDLE = 256 << 10, 4 << 20  # bytes of records in a frame, bytes of frames in a bundle, about
 MIN_REVISIT = 1000
@@ -138,7 +138,6 @@ def write_archive(pages: DataFrame, path: str | None = None, min_revisit: int =
     an empty table gives an empty archive.
     """
     spark = pages.sparkSession
-    bounded_batches(spark)
     path = path or new_path(spark, "warc")
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"))
@@ -162,7 +161,7 @@ def write_archive(pages: DataFrame, path: str | None = None, min_revisit: int =
         if bundle.entries:
             yield bundle.row()
 
-    rows.mapInArrow(run, SCHEMA).write.parquet(path)
+    write_table(rows.mapInArrow(run, SCHEMA), path)
     return Archive(spark, path)
 
 
