@@ -15,7 +15,7 @@ def op2_decontamination(spark, sf_dir):
 
 
 def op3_line_dedup(spark, sf_dir):
-    return line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), split_crowded=False, repeats=True)
+    return line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), repeats=True)
 
 
 def op4_exact_dedup(spark, sf_dir):

@@ -133,13 +133,19 @@ def test_cluster():
     assert line_dedup.cluster([a, b, list("abcdefghij"), a]) == [0, 0, 1, 0]
 
 
-def test_crowded_leaf(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "MAX_LEAF", 3)
-    rows = [(i, f"same four leading words then v{chr(97 + i)} and others follow {'x' * i} here") for i in range(12)]
-    # These lines agree in all places but two of ten, so one template would take them all; a crowded leaf is split by its leading
-    # tokens, then by whole lines: the exact repeat goes, lines that only share a template stay.
-    out = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(docs(spark, rows + [(50, rows[3][1])])).collect()}
-    assert out.pop(50) == "" and out == dict(rows)
+def brute_templates(spark, texts):
+    """The template of each masked line: greedy in each part of the leaf, then greedy over the parts' templates."""
+    part = {r.m: r.p for r in spark.createDataFrame([(t, bytearray(line_dedup.xxhash.xxh3_128_digest(t))) for t in texts], "m string, h binary").select("m", F.pmod(F.xxhash64("h"), F.lit(line_dedup.PARTS)).alias("p")).collect()}
+    first, lines = [], {}
+    for p in range(line_dedup.PARTS):
+        mine = sorted(t for t in texts if part[t] == p)
+        chosen, shown = brute_cluster([t.split() for t in mine], True)
+        for k, t in enumerate(mine):
+            lines[t] = (p, chosen[k])
+        first += [(" ".join(x), line_dedup.xxhash.xxh3_128_digest(mine[chosen.index(k)]), (p, k)) for k, x in enumerate(shown)]
+    first.sort()
+    whole = dict(zip((x[2] for x in first), brute_cluster([x[0].split() for x in first]), strict=True))
+    return {t: whole[k] for t, k in lines.items()}
 
 
 @pytest.mark.parametrize("at", ["late", "early", "random"])
@@ -153,24 +159,23 @@ def test_template_rule_holds_at_every_size(spark, at):
             for j, k in enumerate({"late": (20, 30, 40), "early": (5, 7, 40), "random": rng.sample(range(4, 60), 3)}[at]):
                 line[k] = "".join(chr(97 + int(d)) for d in f"{i}{j}")
             rows.append((i, " ".join(line)))
-        out = line_dedup.drop_recurring_lines(docs(spark, rows), split_crowded=False).select("doc_id", "text").collect()
+        out = line_dedup.drop_recurring_lines(docs(spark, rows)).select("doc_id", "text").collect()
         left[n] = sum(r.text != "" for r in out)
         if at != "random":
             assert sorted(r.doc_id for r in out if r.text) == [0]
-        lines = sorted(t.split() for _, t in rows)
-        assert left[n] == len(set(brute_cluster(lines)))
+        assert left[n] == len(set(brute_templates(spark, [t for _, t in rows]).values()))
     assert left[3000] < 3000 * max(left[300], 10) / 300
 
 
 def test_lines_without_a_template_go_as_exact_repeats(spark):
     zh = "版权所有未经许可不得转载本站任何内容"
     rows = [(1, f"Les.\n10 20 30 40 50\nown 1\n\n{zh}甲\n12"), (2, f"Les.\n10 20 30 40 51\nown 2\n\n{zh}乙\n12\n版权"), (3, f"{zh}丙\n10 20 30 40 50\n les. \n版权\n13"), (4, "Les.\nLes.\nown 1 2")]
-    out = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_recurring_lines(docs(spark, rows), split_crowded=False, repeats=True).collect()}
+    out = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_recurring_lines(docs(spark, rows), repeats=True).collect()}
     assert out == {1: (rows[0][1], 6, 0), 2: ("10 20 30 40 51\nown 2\n\n版权", 7, 3), 3: (" les. \n13", 5, 3), 4: ("own 1 2", 3, 2)}
     assert line_dedup._tokens("ab 日本語2024年 ไท") == ["ab", "日", "本", "語", line_dedup.ANY, "年", "ไ", "ท"]
 
 
-def brute_cluster(rows):
+def brute_cluster(rows, shown=False):
     templates, chosen = [], []
     for tokens in rows:
         same = [sum(x == y for x, y in zip(t, tokens, strict=True)) for t in templates]
@@ -181,7 +186,7 @@ def brute_cluster(rows):
             at = len(templates)
             templates.append(tokens)
         chosen.append(at)
-    return chosen
+    return (chosen, templates) if shown else chosen
 
 
 @pytest.mark.parametrize("n", [4, 5, 6, 9, 10, 23])
