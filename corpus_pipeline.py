@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first of the lines of each recurring template; drops documents that had words and lost every line."""
-    out = line_dedup.drop_recurring_lines(docs, split_crowded=False, repeats=True)
+    out = line_dedup.drop_recurring_lines(docs, repeats=True)
     emptied = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]")
     return out.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
 
