@@ -14,19 +14,20 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_by_key, attach_groups, bounded_batches, materialize, release
+from .common import attach_by_key, attach_groups, forget, materialize
 
 ROWS = 4  # hashes a band
 BATCH = 16  # hashes that are compared at a time
 SMALL = 8  # buckets up to this size are compared pair by pair (28 pairs at most)
 HUB_ROUNDS, HUBS = 2, 3
-BLOCK, BLOCK_SHINGLES = 1024, 400_000  # members and shingles a block, about
+BLOCK, BLOCK_SHINGLES = 512, 400_000  # members and shingles a block, about
 PAIRS = 1 << 15  # pairs of a block whose signatures are compared in full at a time
 STRETCH = 1 << 20
 _rng = np.random.default_rng(17)
@@ -190,9 +191,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # Small-star: a node and its smaller neighbours go to the least of them.
         near = attach_groups(large, ["a"], [F.min("b").alias("m")], [F.min("m").alias("m")], salt=F.col("b"))
         small = near.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(near.select("a", F.col("m").alias("b")))
-        edges = materialize(small.where("a <> b").distinct(), "edges")
-        release(edges.sparkSession)
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        old, edges = edges, materialize(small.where("a <> b").distinct(), "edges")
+        forget(old)
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out._jw_path = edges._jw_path
+    return out
 
 
 def _set_table(texts: DataFrame, words: int) -> DataFrame:
@@ -219,53 +222,70 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total
 
 
+def _links_between(band: int, us: list[tuple], vs: list[tuple], percent: int, hashes: int, need: list[int]) -> Iterator[tuple[bytes, bytes]]:
+    """Links of the members (digest, root, signature, set) of two blocks that join their components. A pair that shares several bands
+    is compared in the first one; survivors of the signatures are verified on full sets."""
+    x, y = (np.frombuffer(b"".join(r[2] for r in s), "<u4").reshape(-1, hashes) for s in (us, vs))
+    number = {r: i for i, r in enumerate({r[1] for r in [*us, *vs]})}
+    left, right = (np.array([number[r[1]] for r in s]) for s in (us, vs))
+    matches = np.zeros((len(x), len(y)), np.int32)
+    for k in range(min(BATCH, hashes)):
+        matches += x[:, None, k] == y[None, :, k]
+    i, j = np.nonzero((matches >= need[0]) & (left[:, None] != right[None, :]))
+    stay = np.zeros(len(i), bool)
+    for at in range(0, len(i), PAIRS):
+        part = slice(at, at + PAIRS)
+        same = x[i[part]] == y[j[part]]
+        stay[part] = (same.sum(axis=1) >= need[-1]) & (same.reshape(len(same), hashes // ROWS, ROWS).all(axis=2).argmax(axis=1) == band)
+    i, j = i[stay], j[stay]
+    if not len(i):
+        return
+    p, q = np.unique(i), np.unique(j)
+    a, b = ([np.frombuffer(s[k][3], np.uint64) for k in at] for s, at in ((us, p), (vs, q)))
+    common = _common(a, b)[np.searchsorted(p, i), np.searchsorted(q, j)].astype(np.int64)
+    size = np.array([len(us[k][3]) // 8 for k in i]) + np.array([len(vs[k][3]) // 8 for k in j]) - common
+    top = list(range(len(number)))
+    for k in np.flatnonzero(100 * common >= percent * size):
+        r, s = (_find(top, int(side[at[k]])) for side, at in ((left, i), (right, j)))
+        if r != s:
+            top[r] = s
+            yield us[i[k]][0], vs[j[k]][0]
+
+
 def _block_links(open_: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, percent: int, hashes: int, need: list[int]) -> DataFrame:
     """Links among all pairs of different components in the open buckets: blocks of the members outside each bucket's core
-    component against blocks of all members. A pair that shares several bands is compared in the first one; survivors of the
-    signatures are verified on full sets inside the block, and of the links only those that join components leave it."""
+    component (side u) against blocks of all members (side v). Of the links found only those that join components leave a pair
+    of blocks. Blocks are runs of sorted rows, never one value: sorting spills, and a worker holds two blocks."""
     sets = _set_table(texts.join(open_.select("digest").distinct(), "digest", "left_semi"), words)
-    known = open_.join(sigs.select("digest", "sig").join(sets, "digest"), "digest")
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    known = known.withColumn("block", F.pmod(F.xxhash64("digest"), blocks).cast("int"))
-    member = F.struct("digest", "root", "sig", "members")
-    all_ = known.groupBy("bucket", "block").agg(F.collect_list(member).alias("v"))
-    odd = known.where("root <> core").groupBy("bucket", "band", F.col("block").alias("of"), "m", "total").agg(F.collect_list(member).alias("u"))
-    odd = odd.select("bucket", "band", "u", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    placed = open_.select("bucket", "band", "digest", "root", "core", blocks.alias("blocks"), F.pmod(F.xxhash64("digest"), blocks).cast("int").alias("block"))
+    odd = placed.where("root <> core")
+    u = odd.select("bucket", "band", "digest", "root", F.col("block").alias("of"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"))
+    taken = odd.groupBy("bucket").agg(F.collect_set("block").alias("taken"))
+    v = attach_by_key(placed, taken, "bucket", F.col("digest")).select("bucket", "band", "digest", "root", F.explode("taken").alias("of"), "block", F.lit(1).alias("side"))
+    known = u.unionByName(v).join(sigs.select("digest", "sig").join(sets, "digest"), "digest")
+
+    def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes]]:
+        key, band, sides = None, 0, ([], [])
+        for batch in batches:
+            at = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "of", "block")), strict=True))
+            bands, which = batch.column("band").to_pylist(), batch.column("side").to_pylist()
+            for k, member in enumerate(zip(*(batch.column(c) for c in ("digest", "root", "sig", "members")), strict=True)):
+                if at[k] != key:
+                    if sides[0]:
+                        yield from _links_between(band, *sides, percent, hashes, need)
+                    key, band, sides = at[k], bands[k], ([], [])
+                sides[which[k]].append(tuple(x.as_py() for x in member))
+        if sides[0]:
+            yield from _links_between(band, *sides, percent, hashes, need)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            links = []
-            for band, u, v in zip(batch.column("band"), batch.column("u"), batch.column("v"), strict=True):
-                us, vs = u.as_py(), v.as_py()
-                x, y = (np.frombuffer(b"".join(r["sig"] for r in s), "<u4").reshape(-1, hashes) for s in (us, vs))
-                number = {r: i for i, r in enumerate({r["root"] for r in [*us, *vs]})}
-                left, right = (np.array([number[r["root"]] for r in s]) for s in (us, vs))
-                first = min(BATCH, hashes)
-                matches = np.zeros((len(x), len(y)), np.int32)
-                for k in range(first):
-                    matches += x[:, None, k] == y[None, :, k]
-                i, j = np.nonzero((matches >= need[0]) & (left[:, None] != right[None, :]))
-                stay = np.zeros(len(i), bool)
-                for at in range(0, len(i), PAIRS):
-                    part = slice(at, at + PAIRS)
-                    same = x[i[part]] == y[j[part]]
-                    stay[part] = (same.sum(axis=1) >= need[-1]) & (same.reshape(len(same), hashes // ROWS, ROWS).all(axis=2).argmax(axis=1) == band.as_py())
-                i, j = i[stay], j[stay]
-                if not len(i):
-                    continue
-                p, q = np.unique(i), np.unique(j)
-                a, b = ([np.frombuffer(s[k]["members"], np.uint64) for k in at] for s, at in ((us, p), (vs, q)))
-                common = _common(a, b)[np.searchsorted(p, i), np.searchsorted(q, j)].astype(np.int64)
-                size = np.array([len(us[k]["members"]) // 8 for k in i]) + np.array([len(vs[k]["members"]) // 8 for k in j]) - common
-                top = list(range(len(number)))
-                for k in np.flatnonzero(100 * common >= percent * size):
-                    r, s = (_find(top, int(side[at[k]])) for side, at in ((left, i), (right, j)))
-                    if r != s:
-                        top[r] = s
-                        links.append((us[i[k]]["digest"], vs[j[k]]["digest"]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+        links = links_of(batches)
+        while some := list(islice(links, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*some, strict=True)], names=["a", "b"])
 
-    return odd.join(all_, ["bucket", "block"]).select("band", "u", "v").mapInArrow(run, "a binary, b binary").distinct()
+    dealt = known.repartition("bucket", "of", "block").sortWithinPartitions("bucket", "of", "block", "side", "digest")
+    return dealt.select("bucket", "of", "block", "band", "side", "digest", "root", "sig", "members").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def _find(top: list[int], x: int) -> int:
@@ -283,12 +303,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     repeat a doc_id are nodes of their own by text, so one doc_id may be in several components. Other columns are
     ignored; an empty table gives an empty result.
     """
-    return _components(docs, words, percent, miss).drop("root")
+    return _components(docs, words, percent, miss)[0].drop("root")
 
 
-def _components(docs: DataFrame, words: int, percent: int, miss: float = 1e-6) -> DataFrame:
-    """The rows of near_duplicates, and root, which names the component (null where nothing is linked)."""
-    bounded_batches(docs.sparkSession)
+def _components(docs: DataFrame, words: int, percent: int, miss: float = 1e-6) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of near_duplicates, and root, which names the component (null where nothing is linked); the tables that these
+    rows are read from."""
     bands, need = plan(percent / 100, miss)
     hashes = bands * ROWS
     signed = materialize(_signed(docs, words, hashes), "signatures")
@@ -321,6 +341,7 @@ def _components(docs: DataFrame, words: int, percent: int, miss: float = 1e-6) -
         open_ = attach_groups(placed, ["bucket"], [F.min("root").alias("core"), F.max("root").alias("top"), *hubs], [F.min("core").alias("core"), F.max("top").alias("top"), *again], salt=F.col("digest"), having=F.col("core") != F.col("top"))
         open_ = materialize(open_.where("core IS NOT NULL"), "open")
         if turn and open_.isEmpty():
+            forget(open_)
             break
         if turn < HUB_ROUNDS:
             # A member meets the hubs of its largest open bucket; copies share most of their buckets.
@@ -331,26 +352,38 @@ def _components(docs: DataFrame, words: int, percent: int, miss: float = 1e-6) -
             found = _verified(_survivors(more, classes, hashes, need), texts, words, percent)
         else:
             found = _block_links(open_, classes, texts, words, percent, hashes, need)
-            bounded_batches(docs.sparkSession, rows=2)  # a row is two blocks, some MB
         fresh = materialize(found, "links")
-        bounded_batches(docs.sparkSession)
+        forget(open_)
         if not turn or not fresh.isEmpty():
             links = fresh if links is None else links.unionByName(fresh)
-            roots = connected_components(links)
-        release(docs.sparkSession)
+            old, roots = roots, connected_components(links)
+            forget(old)
+    forget(members, texts)
 
     id_of = classes.select("digest", "doc_id", "copies").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     named = attach_groups(id_of, ["root"], [F.min("doc_id").alias("component"), F.count("*").alias("k")], [F.min("component").alias("component"), F.sum("k").alias("k")], salt=F.col("digest"))
     facts = named.where("k > 1 OR copies > 1").select("digest", "component", "root")
     out = attach_by_key(signed.select("doc_id", "at", "n", "digest"), facts, "digest", F.col("doc_id")).withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "at", "root")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "at", "root")
+    return out, [signed, classes, roots]
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, with all its columns: the one of the least doc_id, then of the least hash of its text where
     rows of one doc_id, or of none, are linked. Rows that repeat the kept document go too; documents that are linked with nothing stay."""
+    found, tables = _components(docs, words, percent)
+    id_, at = F.coalesce("doc_id", F.lit(-1)).alias("__jw_id"), F.col("at").alias("__jw_at")
     alone = F.col("root").isNull()
-    kept = _components(docs, words, percent).where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("__jw_id"), F.col("at").alias("__jw_at"), "root")
-    kept = kept.groupBy("root", F.when(alone, F.col("__jw_id")), F.when(alone, F.col("__jw_at"))).agg(F.min(F.struct("__jw_id", "__jw_at")).alias("k")).select("k.*")
+    # How often each kept row stands in the table; then one of each component, and all that are linked with nothing.
+    each = found.where("kept").groupBy("root", id_, at).agg(F.count("*").alias("__jw_n"))
+    one = each.groupBy("root", F.when(alone, F.col("__jw_id")), F.when(alone, F.col("__jw_at"))).agg(F.min(F.struct("__jw_id", "__jw_at", "__jw_n")).alias("k"))
+    kept = materialize(one.select("k.*"), "kept")
+    forget(*tables)
     rows = docs.withColumn("__jw_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("__jw_at", F.xxhash64("text"))
-    return rows.join(kept, ["__jw_id", "__jw_at"]).dropDuplicates(["__jw_id", "__jw_at"]).select(*docs.columns)
+    # The small side is hashed, so texts are not sorted; adaptive execution splits a row that is repeated very often.
+    rows = rows.join(kept.hint("shuffle_hash"), ["__jw_id", "__jw_at"])
+    if kept.where("__jw_n > 1").isEmpty():
+        return rows.select(*docs.columns)
+    rows = materialize(rows.withColumn("__jw_salt", F.pmod(F.monotonically_increasing_id(), F.lit(64)).cast("int")), "kept-rows")
+    again = rows.where("__jw_n > 1").dropDuplicates(["__jw_id", "__jw_at", "__jw_salt"]).dropDuplicates(["__jw_id", "__jw_at"])
+    return rows.where("__jw_n = 1").unionByName(again).select(*docs.columns)
