@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+MAX_BROADCAST = 32 << 20  # bytes of templates and size ranges that are broadcast; more are joined by shuffling, salted
+SALTS = 32
 MAX_MARKS = 20_000  # necessary words that are looked up inside the scan; with more of them, every document is compared
 
 #: Public licence texts and notices (identifier, text).
@@ -87,8 +89,7 @@ def licence_hits(docs: DataFrame, known: DataFrame | None = None, threshold: flo
     another unit of their document are compared once, and of a unit's templates the best stays (ties: the first)."""
     spark = docs.sparkSession
     known = templates(spark) if known is None else known
-    span = known.select("license", "template", "b", "nb", F.explode(F.sequence(F.ceil(F.col("nb") * (threshold / (2 - threshold)) - 1e-9).cast("int"), F.floor(F.col("nb") * ((2 - threshold) / threshold) + 1e-9).cast("int"))).alias("na"))
-    # Templates are a list in this module (or the caller's); their size decides whether Spark broadcasts them.
+    span = known.select("template", F.explode(F.sequence(F.ceil(F.col("nb") * (threshold / (2 - threshold)) - 1e-9).cast("int"), F.floor(F.col("nb") * ((2 - threshold) / threshold) + 1e-9).cast("int"))).alias("na"))
     top = known.agg(F.max(F.floor(F.col("nb") * ((2 - threshold) / threshold) + 1e-9))).first()[0]
     text = F.coalesce("text", F.lit(""))
     parts = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[ \t\r]*\n"), F.array(text)))
@@ -102,7 +103,13 @@ def licence_hits(docs: DataFrame, known: DataFrame | None = None, threshold: flo
     # All inside one expression, so that each unit is cut into words once; units of a size that no template meets go at once.
     cut = F.filter(F.transform(parts, lambda u: F.struct(u.alias("unit"), _bigrams(words_of(u)).alias("a"))), lambda x: (F.size(x["a"]) >= int(least)) & (F.size(x["a"]) <= int(top)))
     units = docs.select("doc_id", F.explode(cut).alias("u")).select("doc_id", "u.unit", "u.a", F.size("u.a").alias("na"))
-    met = units.join(span, "na").withColumn("dice", F.lit(2.0) * F.size(F.array_intersect("a", "b")) / (F.col("na") + F.col("nb"))).where(F.col("dice") >= threshold)
+    # A size is a key of few values, and a template one of many units, so both joins are either broadcast or salted.
+    if known.agg(F.sum(F.aggregate("b", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 24) + 48 * F.col("nb"))).first()[0] <= MAX_BROADCAST:
+        met = units.join(F.broadcast(span), "na").join(F.broadcast(known), "template")
+    else:
+        every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        met = units.withColumn("salt", F.pmod(F.xxhash64("doc_id", "unit"), F.lit(SALTS)).cast("int")).join(span.withColumn("salt", every), ["na", "salt"]).join(known.withColumn("salt", every), ["template", "salt"])
+    met = met.withColumn("dice", F.lit(2.0) * F.size(F.array_intersect("a", "b")) / (F.col("na") + F.col("nb"))).where(F.col("dice") >= threshold)
     best = F.max(F.struct("dice", (-F.col("template")).alias("order"), "license")).alias("x")
     return met.groupBy("doc_id", "unit").agg(best).select("doc_id", "unit", "x.license", (-F.col("x.order")).alias("template"), "x.dice")
 
