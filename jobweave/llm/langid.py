@@ -21,6 +21,8 @@ from .common import held_out
 WINDOW, DIM, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 12
 #: Labelled rows a language that the model is fitted on, at most; each gives two snippets of a window's length.
 SAMPLE_PER_LANG = 400
+#: And of all languages together; of more languages than that, the most frequent are learned.
+SAMPLE_ROWS = 20_000
 EPOCHS, BATCH, RATE, SEED = 12, 32, 0.15, 3
 BLOCK = 64  # windows that are handled at once
 
@@ -66,18 +68,39 @@ def cut(text: str) -> tuple[np.ndarray, np.ndarray]:
     return windows, weight / max(weight.sum(), 1)
 
 
+def gradients(model: Model, windows: np.ndarray, y: np.ndarray, weight: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of the mean weighted cross-entropy, by parameter. mask: where narrow filters have no weights."""
+    seen, values, pooled, p = model._pass(windows)
+    p[np.arange(len(y)), y] -= 1
+    dz = p * weight[:, None] / len(y)
+    dpool = (dz @ model.out.T) * (pooled > 0)
+    place = values.argmax(axis=1)  # where each filter was largest
+    rows = np.arange(len(y))[:, None]
+    dembed = np.zeros_like(model.embed)
+    back = dpool[:, :, None] * model.kernel.T[None]
+    for j in range(max(WIDTHS)):
+        np.add.at(dembed, windows[rows, place + j], back[:, :, j * DIM : (j + 1) * DIM])
+    dembed[0] = 0
+    return {"embed": dembed, "kernel": np.einsum("nf,nfi->if", dpool, seen[rows, place]) * mask, "bias": dpool.sum(axis=0), "out": pooled.T @ dz, "out_bias": dz.sum(axis=0)}
+
+
+def kernel_mask() -> np.ndarray:
+    return np.concatenate([np.repeat([[1.0]] * w * DIM + [[0.0]] * (max(WIDTHS) - w) * DIM, FILTERS, axis=1) for w in WIDTHS], axis=1).astype(np.float32)
+
+
 def fit(snippets: list[tuple[str, str]]) -> Model:
     """snippets: text and language. Classes weigh alike, however many snippets they have."""
     langs = sorted({x for _, x in snippets})
     rng = np.random.default_rng(SEED)
     filters = FILTERS * len(WIDTHS)
-    mask = np.concatenate([np.repeat([[1.0]] * w * DIM + [[0.0]] * (max(WIDTHS) - w) * DIM, FILTERS, axis=1) for w in WIDTHS], axis=1).astype(np.float32)
+    mask = kernel_mask()
     model = Model(langs, rng.normal(0, 0.5, (256, DIM)).astype(np.float32), rng.normal(0, 0.35, (max(WIDTHS) * DIM, filters)).astype(np.float32) * mask, np.zeros(filters, np.float32), np.zeros((filters, len(langs)), np.float32), np.zeros(len(langs), np.float32))
     model.embed[0] = 0
     if not snippets:
         return model
     windows = np.concatenate([cut(t)[0][:1] for t, _ in snippets])
-    y = np.array([langs.index(x) for _, x in snippets])
+    at = {x: k for k, x in enumerate(langs)}
+    y = np.array([at[x] for _, x in snippets])
     weight = (len(y) / len(langs) / np.bincount(y, minlength=len(langs)))[y].astype(np.float32)
     steps, done = EPOCHS * -(-len(y) // BATCH), 0
     for _ in range(EPOCHS):
@@ -86,39 +109,27 @@ def fit(snippets: list[tuple[str, str]]) -> Model:
             k = order[at : at + BATCH]
             rate = np.float32(RATE * (1 - done / steps))
             done += 1
-            seen, values, pooled, p = model._pass(windows[k])
-            p[np.arange(len(k)), y[k]] -= 1
-            dz = p * weight[k, None] / len(k)
-            dpool = (dz @ model.out.T) * (pooled > 0)
-            place = values.argmax(axis=1)  # where each filter was largest
-            rows = np.arange(len(k))[:, None]
-            dseen = seen[rows, place]  # windows x filters x inputs
-            dkernel = np.einsum("nf,nfi->if", dpool, dseen) * mask
-            dembed = np.zeros_like(model.embed)
-            back = dpool[:, :, None] * model.kernel.T[None]
-            for j in range(max(WIDTHS)):
-                np.add.at(dembed, windows[k][rows, place + j], back[:, :, j * DIM : (j + 1) * DIM])
-            model.out -= rate * (pooled.T @ dz)
-            model.out_bias -= rate * dz.sum(axis=0)
-            model.kernel -= rate * dkernel
-            model.bias -= rate * dpool.sum(axis=0)
-            model.embed -= rate * dembed
+            grad = gradients(model, windows[k], y[k], weight[k], mask)
+            for name, g in grad.items():
+                setattr(model, name, getattr(model, name) - rate * g)
             model.embed[0] = 0
     return model
 
 
-def train(docs: DataFrame, eligible: Column, per_lang: int = SAMPLE_PER_LANG) -> Model:
-    """Fits on about per_lang rows of each language, drawn by a hash of doc_id, two snippets at hashed places of each."""
-    rows = docs.where(F.col("lang").isNotNull() & F.coalesce(eligible, F.lit(False)) & F.col("text").rlike(r"\p{L}"))
-    langs = {r["lang"]: r["n"] for r in docs.where(F.col("lang").isNotNull() & F.coalesce(eligible, F.lit(False))).groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not langs:
+def train(docs: DataFrame, eligible: Column, per_lang: int = SAMPLE_PER_LANG, most: int = SAMPLE_ROWS) -> Model:
+    """Fits on about per_lang rows of each language and at most about `most` in all, drawn by a hash of doc_id, two snippets at
+    hashed places of each."""
+    known = docs.where(F.col("lang").isNotNull() & F.coalesce(eligible, F.lit(False)))
+    counts = known.groupBy("lang").agg(F.count("*").alias("__jw_n")).orderBy(F.col("__jw_n").desc(), "lang").limit(most).collect()
+    if not counts:
         return fit([])
-    share = F.lit(0)
-    for lang, n in langs.items():
-        share = F.when(F.col("lang") == lang, int(1_000_000 * min(1, per_lang / n))).otherwise(share)
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share)
+    per_lang = min(per_lang, max(1, most // len(counts)))
+    # At most `most` rows of a language and a number.
+    counts = docs.sparkSession.createDataFrame(counts, "lang string, __jw_n long")
+    drawn = known.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text").join(F.broadcast(counts), "lang")
+    drawn = drawn.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) * F.col("__jw_n") < 1_000_000 * per_lang)
     place = lambda k: F.expr(f"substring(text, cast(1 + pmod(xxhash64(doc_id, {k}), greatest(char_length(text) - {WINDOW}, 1)) AS int), {WINDOW})")
-    got = drawn.select("doc_id", "lang", F.explode(F.array(place(1), place(2))).alias("snippet")).orderBy(F.xxhash64("doc_id", F.lit(6))).limit(3 * per_lang * len(langs))
+    got = drawn.select("doc_id", "lang", F.explode(F.array(place(1), place(2))).alias("snippet")).orderBy(F.xxhash64("doc_id", F.lit(6))).limit(2 * min(2 * most, 2 * per_lang * counts.count()))
     return fit([(r["snippet"], r["lang"]) for r in sorted(got.collect(), key=lambda r: (r["doc_id"], r["snippet"])) if any(map(str.isalpha, r["snippet"]))])
 
 
