@@ -1,8 +1,9 @@
 """Quality classifier: supervised subword embeddings.
 
-Each whole text becomes hashed features: its words, and its byte n-grams of three and four. Feature vectors are learned with a
-softmax output by stochastic gradient descent in numpy, on a bounded sample of labelled rows. A text's vector is the mean of
-its features' vectors; as the output is linear in it, scoring sums one learned number a feature.
+Each whole text becomes hashed features: its words, pairs of neighbouring words, and character n-grams of three and four (white
+space counts as one kind of character). Feature vectors are learned with a softmax output by stochastic gradient descent in numpy, on a bounded sample of labelled
+rows. A text's vector is the mean of its features' vectors; as the output is linear in it, scoring sums one learned number
+a feature.
 """
 
 from __future__ import annotations
@@ -17,56 +18,65 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
-BITS = 15  # buckets of each kind of feature: words, 3-grams, 4-grams
-KINDS = 3
+BITS = 15  # buckets of each kind of feature: words, pairs of words, 3-grams and 4-grams of characters
+KINDS = 4
 #: Labelled rows a class that the model is fitted on, at most.
 SAMPLE_PER_CLASS = 1500
+#: Distinct features of a row of the sample that the fit sees, at most: those with the largest shares. Scores use all features.
+SAMPLE_FEATURES = 8192
 DIM, EPOCHS, RATE, SEED = 8, 8, 60.0, 11
-STRETCH = 1 << 20  # bytes of a text that are handled at once
+STRETCH = 1 << 19  # characters of a text that are handled at once
 
 
-def _stretches(data: bytes) -> Iterator[bytes]:
-    """Pieces of a text of about a MB that end behind white space, where there is some."""
+#: White space characters (code points): between words.
+_WHITE = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+_powers = np.random.default_rng(5).integers(1, 1 << 32, 64, dtype=np.uint32) | np.uint32(1)
+
+
+def _stretches(text: str) -> Iterator[str]:
+    """Pieces of a text of half a million characters that end behind white space, where there is some."""
     at = 0
-    while at < len(data):
+    while at < len(text):
         end = at + STRETCH
-        if end < len(data):
-            space = max(data.rfind(b" ", at, end), data.rfind(b"\n", at, end))
+        if end < len(text):
+            space = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
             end = space + 1 if space > at else end
-        yield data[at:end]
+        yield text[at:end]
         at = end
 
 
-def buckets(data: bytes) -> np.ndarray:
-    """Feature buckets (with repeats) of a stretch of text."""
-    b = np.frombuffer(data, np.uint8)
-    n = len(b)
-    wide = b.astype(np.uint32)
-    two = wide[:-1] << np.uint32(8) | wide[1:]
-    shift = np.uint32(32 - BITS)
-    three = (two[:-1] << np.uint32(8) | wide[2:]) * np.uint32(2654435761) >> shift
-    four = ((two[:-2] << np.uint32(16) | two[2:]) * np.uint32(2246822519) >> shift) if n > 3 else wide[:0]
-    # A word's hash is the sum of its bytes, weighted by their places in the word.
-    starts = np.flatnonzero(np.concatenate([b[:1] > 32, (b[1:] > 32) & (b[:-1] <= 32)]))
-    word = wide[:0]
-    if len(starts):
-        inside = np.arange(n - starts[0]) - np.repeat(starts - starts[0], np.diff(np.append(starts, n)))
-        mixed = (wide[starts[0] :] + np.uint32(1)) * _powers[inside & 63]
-        mixed[b[starts[0] :] <= 32] = 0
-        sums = np.add.reduceat(mixed, starts - starts[0], dtype=np.uint32)
-        word = (sums ^ (sums >> np.uint32(15))) * np.uint32(2654435761) >> shift
-    return np.concatenate([word, three + np.uint32(1 << BITS), four + np.uint32(2 << BITS)])
-
-
-_powers = np.random.default_rng(5).integers(1, 1 << 32, 64, dtype=np.uint32) | np.uint32(1)
+def _bucket(mixed: np.ndarray, kind: int) -> np.ndarray:
+    return ((mixed ^ (mixed >> np.uint32(15))) * np.uint32(2654435761) >> np.uint32(32 - BITS)) + np.uint32(kind << BITS)
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a whole text and their shares."""
+def buckets(text: str) -> np.ndarray:
+    """Feature buckets (with repeats) of a stretch of text."""
+    b = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    # White space is rare above 0x20, and the table is sorted.
+    white = (b <= 32) | ((b > 126) & np.isin(b, _WHITE)) if int(b.max()) > 126 else b <= 32
+    b = np.where(white, np.uint32(32), b)
+    starts = np.flatnonzero(~white[1:] & white[:-1]) + 1
+    if not len(starts):
+        return np.zeros(0, np.uint32)
+    # A word's hash is the sum of its characters, weighted by their places in the word.
+    inside = np.arange(len(b) - starts[0]) - np.repeat(starts - starts[0], np.diff(np.append(starts, len(b))))
+    mixed = (b[starts[0] :] + np.uint32(1)) * _powers[inside & 63]
+    mixed[white[starts[0] :]] = 0
+    word = np.add.reduceat(mixed, starts - starts[0], dtype=np.uint32)
+    # n-grams of characters run on over spaces, as how words follow each other tells quality too.
+    m = [b * p for p in _powers[:4]]
+    three, four = m[0][:-2] + m[1][1:-1] + m[2][2:], m[0][:-3] + m[1][1:-2] + m[2][2:-1] + m[3][3:]
+    return np.concatenate([_bucket(word, 0), _bucket(word[:-1] * _powers[4] + word[1:] * _powers[5], 1), _bucket(three, 2), _bucket(four, 3)])
+
+
+def features(text: str, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a whole text and their shares; with `most`, only those with the largest ones (ties: the first)."""
     count = np.zeros(KINDS << BITS, np.float64)
-    for part in _stretches(text.encode()):
+    for part in _stretches(text):
         count += np.bincount(buckets(part), minlength=len(count))
     at = np.flatnonzero(count)
+    if most and len(at) > most:
+        at = np.sort(at[np.argsort(-count[at], kind="stable")[:most]])
     return at.astype(np.int32), (count[at] / max(count.sum(), 1)).astype(np.float32)
 
 
@@ -77,13 +87,23 @@ class Model:
 
     def score(self, text: str) -> float:
         total, n = 0.0, 0
-        for part in _stretches(text.encode()):
+        for part in _stretches(text):
             at = buckets(part)
             total += float(self.weight[at].sum(dtype=np.float64))
             n += len(at)
         return float(1 / (1 + np.exp(-np.clip(total / max(n, 1) + self.bias, -30, 30))))
 
 
+def gradients(vectors: np.ndarray, share: np.ndarray, out: np.ndarray, bias: np.ndarray, y: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of a text's cross-entropy by its features' vectors, the output weights and the biases."""
+    hidden = share @ vectors
+    z = hidden @ out + bias
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    p[y] -= 1
+    return share[:, None] * (out @ p)[None, :], np.outer(hidden, p), p
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], priors: tuple[float, float]) -> Model:
     """rows: buckets, shares and label. priors: the labels' weights, so that a sample balanced by class gives the
     probabilities of all labelled rows. With one class only, or none, the score is constant."""
@@ -100,15 +120,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], priors: tuple[float, flo
             at, share, y = rows[k]
             rate = 1 - done / steps
             done += 1
-            hidden = share @ vectors[at]
-            z = hidden @ out + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[y] -= 1
-            grad = out @ p
-            out -= np.float32(0.2 * rate) * np.outer(hidden, p)
-            bias -= np.float32(0.05 * rate) * p
-            vectors[at] -= np.float32(RATE * rate) * share[:, None] * grad[None, :]
+            dvector, dout, dbias = gradients(vectors[at], share, out, bias, y)
+            out -= np.float32(0.2 * rate) * dout
+            bias -= np.float32(0.05 * rate) * dbias
+            vectors[at] -= np.float32(RATE * rate) * dvector
     diff = out[:, 1] - out[:, 0]
     shift = float(np.log(priors[1] / priors[0]))
     return Model((vectors @ diff).astype(np.float32), float(bias[1] - bias[0]) + shift)
@@ -125,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, eligible: Column, per_class: int =
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t.as_py() or "") for t in batch.column("text")]
+            found = [features(t.as_py() or "", SAMPLE_FEATURES) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], names=["doc_id", "y", "at", "share"])
 
     got = texts.select(F.col("doc_id").cast("long"), F.col("y").cast("int"), "text").mapInArrow(featurise, "doc_id long, y int, at array<int>, share array<float>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
