@@ -39,7 +39,8 @@ def op8_language(spark, sf_dir):
 
 
 def op9_url_filter(spark, sf_dir):
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.spam_list(spark))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, url_filter.block_list(pages))
 
 
 def op10_sentencepiece(spark, sf_dir):
