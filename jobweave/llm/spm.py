@@ -145,6 +145,19 @@ class BacktrackingEncoder:
         return self.library.decode(ids)
 
 
+#: What a model of another kind (unigram, other normalisation, no dummy prefix, no byte fallback) would encode otherwise.
+PROBES = ("a", " lead and trail ", "two  spaces", "\ufb01ne \u2460 \uff21\u212b e\u0301 \u1112\u1161\u11ab", "tab\tline\nfeed\r\n", "\u00a0\u3000x", "\U0001f600\u0378 \ue000", "unbelievable internationalisation 12345", "\u2581mark \u4f60\u597d\u0e44\u0e17\u0e22")
+
+
+def check_model(model: bytes) -> None:
+    """Raises ValueError unless the encoder gives the library's ids for all probes."""
+    encoder = BacktrackingEncoder(model)
+    for text in PROBES:
+        ids = encoder.encode(text)
+        if [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)] != encoder.library.encode(text, add_bos=True, add_eos=True):
+            raise ValueError("only BPE models with byte fallback, identity normalisation and a dummy prefix are encoded exactly")
+
+
 _encoders: dict[bytes, BacktrackingEncoder] = {}
 
 
@@ -166,14 +179,16 @@ def encode_decode(docs: DataFrame, model_path: str | None = None, values: bool =
     """One row per input row, with begin and end ids: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if values, ids (array)
     and decoded (text).
 
-    Null text counts as empty and gives the begin and end ids only. Any text is encoded whole. Repeated rows give
+    A model that the method can't encode exactly raises ValueError. Null text counts as empty and gives the begin and end ids only. Any text is encoded whole. Repeated rows give
     repeated results; extra columns are ignored; an empty table gives an empty result.
     """
     import numpy as np
 
     spark = docs.sparkSession
     with open(model_path or default_model(), "rb") as f:
-        model = spark.sparkContext.broadcast(f.read())  # half a MB, of fixed size
+        data = f.read()
+    check_model(data)
+    model = spark.sparkContext.broadcast(data)  # half a MB, of fixed size
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * values
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -278,6 +278,113 @@ def test_quality(spark):
     assert quality.score_quality(docs(spark, []), labels).count() == 0
 
 
+def test_language_gradients():
+    rng = np.random.default_rng(0)
+    mask = langid.kernel_mask().astype(np.float64)
+    n = langid.FILTERS * len(langid.WIDTHS)
+    m = langid.Model(["a", "b", "c"], rng.normal(0, 0.5, (256, langid.DIM)), rng.normal(0, 0.35, mask.shape) * mask, rng.normal(0, 0.1, n), rng.normal(0, 0.5, (n, 3)), rng.normal(0, 0.1, 3))
+    m.embed[0] = 0
+    windows, y, w = np.concatenate([langid.cut(t)[0] for t in ("some text to try", "und noch einer", "ünï")]), np.array([0, 1, 2]), np.array([1.0, 0.5, 2.0])
+    loss = lambda: float(-(w * np.log(m.probabilities(windows)[np.arange(3), y])).sum() / 3)
+    for name, grad in langid.gradients(m, windows, y, w, mask).items():
+        values = getattr(m, name)
+        for at in np.argsort(-np.abs(grad).ravel())[:6]:
+            k = np.unravel_index(at, values.shape)
+            before, sides = values[k], []
+            for step in (1e-5, -1e-5):
+                values[k] = before + step
+                sides.append(loss())
+            values[k] = before
+            assert abs((sides[0] - sides[1]) / 2e-5 - grad[k]) < 1e-5 * max(1, abs(grad[k])), name
+
+
+def test_quality_gradients_and_features():
+    rng = np.random.default_rng(1)
+    vectors, share, out, bias = rng.normal(0, 1, (5, 8)), rng.random(5), rng.normal(0, 1, (8, 2)), rng.normal(0, 1, 2)
+
+    def loss():
+        z = share @ vectors @ out + bias
+        return float(np.log(np.exp(z).sum()) - z[1])
+
+    for values, grad in zip((vectors, out, bias), quality.gradients(vectors, share, out, bias, 1), strict=True):
+        for k in np.ndindex(values.shape):
+            before, sides = values[k], []
+            for step in (1e-6, -1e-6):
+                values[k] = before + step
+                sides.append(loss())
+            values[k] = before
+            assert abs((sides[0] - sides[1]) / 2e-6 - grad[k]) < 1e-6
+    # Two words, one pair of them, and the n-grams of three and four of six characters, spaces at the ends included.
+    assert len(quality.buckets("ab \u4f60")) == 2 + 1 + 4 + 3
+    assert list(quality.buckets("ab cd")) == list(quality.buckets("ab\u3000cd")) and len(quality.buckets(" \n")) == 0
+    assert len(quality.features("a few words of text", 3)[0]) == 3
+
+
+def test_many_languages(spark, monkeypatch):
+    """More languages than the fit's bound: the most frequent are learned; no plan grows with their number."""
+    monkeypatch.setattr(langid, "EPOCHS", 1)
+    rows = [(k, f"word{k % 3000} text") for k in range(4000)]
+    df = docs(spark, rows, [f"l{k % 3000:04d}" for k in range(4000)])
+    assert langid.predict_language(df).where("lang_pred IS NULL OR score < 0 OR score > 1").count() == 0
+    model = langid.train(df, F.lit(True), most=500)
+    assert len(model.langs) <= 500 and set(model.langs) <= {f"l{k:04d}" for k in range(1000)}
+
+
+def test_very_long_texts_and_repeated_rows(spark):
+    long = [(1, "good words " * 150_000), (1, "good words " * 150_000), (2, "x" * 1_500_000), (3, "a\n" * 400_000)]
+    df = docs(spark, long, ["aa", "aa", "bb", "bb"])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    scores = quality.score_quality(df, labels).collect()
+    assert len(scores) == 4 and len({r.score for r in scores if r.doc_id == 1}) == 1
+    assert langid.predict_language(df).where("lang_pred IN ('aa', 'bb')").count() == 4
+    out = {r.doc_id: r for r in line_dedup.drop_recurring_lines(df, repeats=True).collect()}
+    assert out[2].text == long[2][1] and out[3].n_lines == 400_001 and out[3].n_dropped == 0 and out[1].n_dropped == 0
+
+
+def test_another_kind_of_model_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(spm, "PROBES", ("a",))
+    monkeypatch.setattr(spm.BacktrackingEncoder, "encode", lambda self, text: b"")
+    with pytest.raises(ValueError, match="only BPE models"):
+        spm.encode_decode(docs(spark, [(1, "a")]))
+
+
+def test_shared_folder_off_local_masters(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from jobweave.llm import common
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(far)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None)
+    t = common.materialize(spark.range(3), "t")
+    assert t.count() == 3 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) == before
+    common.forget(t)
+    with pytest.raises(Exception):
+        t.count()
+
+
+def test_stages_on_an_empty_table_nulls_and_repeats(spark, tmp_path):
+    pipeline = importlib.import_module("corpus_pipeline")
+    long = " ".join(f"uniq{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    tables = {"empty": [], "odd": [(1, None), (2, ""), (None, long), (None, long), (5, long), (5, long), (6, " \n ")]}
+    for name, rows in tables.items():
+        d = tmp_path / name
+        spark.createDataFrame([(i, t, None, None, len(t or "")) for i, t in rows], kind).coalesce(1).write.parquet(str(d / "documents.parquet"))
+        spark.createDataFrame([(1, "some other item text"), (2, None)], "item_id long, text string").coalesce(1).write.parquet(str(d / "benchmark.parquet"))
+        docs_ = spark.read.parquet(str(d / "documents.parquet"))
+        for stage, f in pipeline.STAGES:
+            out = f(spark, docs_, str(d))
+            n = out.count()
+            assert n <= len(rows) and (stage == "encode" or out.columns == docs_.columns)
+            if stage == "near_copies" and rows:
+                assert sorted(str(r.doc_id) for r in out.collect() if r.text == long) == ["5"]
+            if stage == "benchmark":
+                assert n == len(rows)
+        assert pipeline.run(spark, str(d)).count() == 0  # no language is known
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = importlib.import_module("corpus_pipeline")
     rows, langs = labelled(90)
