@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +73,9 @@ def settings(spark: SparkSession, **values: str):
 
 def write_table(df: DataFrame, path: str, rows: int = 2000, mb: int = 16) -> None:
     """Writes df as Parquet. An Arrow batch to a Python worker is bounded in rows and bytes, so that long texts fit; the shuffle
-    files of the job go as soon as the table stands."""
-    with settings(df.sparkSession, spark_sql_execution_arrow_maxRecordsPerBatch=str(rows), spark_sql_execution_arrow_maxBytesPerBatch=str(mb << 20), spark_sql_classic_shuffleDependency_fileCleanup_enabled="true"):
+    files of the job go as soon as the table stands. Nothing is broadcast but where a caller has checked its size and says so: an
+    executor keeps a memory page of some 32 MB for each broadcast table, however small, until the driver happens to collect."""
+    with settings(df.sparkSession, spark_sql_execution_arrow_maxRecordsPerBatch=str(rows), spark_sql_execution_arrow_maxBytesPerBatch=str(mb << 20), spark_sql_classic_shuffleDependency_fileCleanup_enabled="true", spark_sql_autoBroadcastJoinThreshold="-1"):
         df.write.parquet(path)
 
 
@@ -93,6 +96,21 @@ def forget(*tables: DataFrame | None) -> None:
             _delete(df.sparkSession, df._jw_path)
 
 
+#: How to empty the caches that an operator keeps in a Python worker, by operator.
+worker_caches: dict[str, Callable[[], None]] = {}
+
+
+def begin(operator: str) -> None:
+    """Called in a Python worker as a task begins: a worker serves several operators in turn, and the caches that others left,
+    and memory that the allocators hold back, go."""
+    for name, clear in worker_caches.items():
+        if name != operator:
+            clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else (lower() would fold other letters too)."""
     return F.translate(text, UPPER, LOWER)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import held_out
+from .common import begin, held_out
 
 WINDOW, DIM, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 12
 #: Labelled rows a language that the model is fitted on, at most; each gives two snippets of a window's length.
@@ -157,6 +157,7 @@ def _predicted(docs: DataFrame, held: str, lang: str, score: str) -> DataFrame:
     model = spark.sparkContext.broadcast(train(docs, ~held_out(F.col("doc_id"))))  # some KB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("op8")
         m = model.value
         for batch in batches:
             found = []

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_by_key, attach_groups, forget, materialize
+from .common import attach_by_key, attach_groups, begin, forget, materialize
 
 ANY = "<*>"
 DEPTH = 4  # leading tokens of a leaf
@@ -84,6 +84,7 @@ def _lines(docs: DataFrame, repeats: bool) -> DataFrame:
                     yield id_, at, no, leaf, xxhash.xxh3_128_digest(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("op3")
         rows, kinds = rows_of(batches), [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         while some := list(islice(rows, CHUNK)):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names=["id", "at", "no", "leaf", "h"])
@@ -97,6 +98,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     places = materialize(places, "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("op3")
         for batch in batches:
             out: list[list] = [[], [], []]
             for text, places in zip(batch.column("text"), batch.column("places"), strict=True):
@@ -206,6 +208,7 @@ def _clustered(lines: DataFrame) -> DataFrame:
             yield from closing(key[0], held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("op3")
         rows, kinds = rows_of(batches), [pa.int64(), pa.binary(), pa.binary(), pa.string()]
         while some := list(islice(rows, CHUNK)):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names=["leaf", "h", "template", "masked"])

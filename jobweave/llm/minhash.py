@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_by_key, attach_groups, forget, materialize
+from .common import attach_by_key, attach_groups, begin, forget, materialize
 
 ROWS = 4  # hashes a band
 BATCH = 16  # hashes that are compared at a time
@@ -115,6 +115,7 @@ def signature(x: np.ndarray, hashes: int) -> bytes:
 
 def _signed(docs: DataFrame, words: int, hashes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("op6")
         for batch in batches:
             n, digest, sig = [], [], []
             for t in batch.column("text"):
@@ -135,6 +136,7 @@ def _survivors(pairs: DataFrame, sigs: DataFrame, hashes: int, need: list[int])
     """Pairs (a, b) that no batch rules out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("op6")
         for batch in batches:
             x, y = _matrix(batch.column("sig_a"), hashes), _matrix(batch.column("sig_b"), hashes)
             left, matches = np.arange(len(x)), np.zeros(len(x), np.int64)
@@ -153,6 +155,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     """Links: pairs whose full sets reach the threshold. Pairs are grouped by a; its text comes once for each (a, salt)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("op6")
         of, own = None, np.zeros(0, np.uint64)
         for batch in batches:
             links = []
@@ -200,6 +203,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def _set_table(texts: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("op6")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column("text")], pa.binary())], names=["digest", "members"])
 
@@ -280,6 +284,7 @@ def _block_links(open_: DataFrame, sigs: DataFrame, texts: DataFrame, words: int
             yield from _links_between(band, *sides, percent, hashes, need)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("op6")
         links = links_of(batches)
         while some := list(islice(links, 10_000)):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*some, strict=True)], names=["a", "b"])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import begin, held_out
 
 BITS = 15  # buckets of each kind of feature: words, pairs of words, 3-grams and 4-grams of characters
 KINDS = 4
@@ -139,6 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, eligible: Column, per_class: int =
     texts = docs.select("doc_id", "text").join(drawn, "doc_id")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("op1")
         for batch in batches:
             found = [features(t.as_py() or "", SAMPLE_FEATURES) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], names=["doc_id", "y", "at", "share"])
@@ -161,6 +162,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = spark.sparkContext.broadcast(train(docs, labels, ~held_out(F.col("doc_id"))))  # 400 KB, of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("op1")
         m = model.value
         for batch in batches:
             score = [m.score(t.as_py() or "") for t in batch.column("text")]

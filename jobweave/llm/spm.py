@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import begin, worker_caches
+
 SPACE = "▁"
 #: Entries of each generation of the word cache, and of the cache of compatible pairs, in a Python worker.
 MAX_WORDS, MAX_PAIRS = 120_000, 400_000
@@ -161,6 +163,15 @@ def check_model(model: bytes) -> None:
 _encoders: dict[bytes, BacktrackingEncoder] = {}
 
 
+def _forget_words() -> None:
+    for encoder in _encoders.values():
+        for cache in (encoder.new, encoder.old, encoder.pairs):
+            cache.clear()
+
+
+worker_caches["op10"] = _forget_words
+
+
 def _encoder(model: bytes) -> BacktrackingEncoder:
     key = hashlib.sha256(model).digest()
     if key not in _encoders:
@@ -192,6 +203,7 @@ def encode_decode(docs: DataFrame, model_path: str | None = None, values: bool =
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * values
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("op10")
         encoder = _encoder(model.value)
         for batch in batches:
             rows = []
