@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import pattern, strip
+from .text import PYTHON_SPACE, pattern, strip
 
 # Patterns, names and codes that decide which postings are in scope.
 RELEVANT = r"data[\s-]scien|machine[\s-]learning|\bai\b|artificial[\s-]intelligence|\bml\b|data[\s-]engineer|software[\s-]engineer|software[\s-]develop|\bdeveloper\b|backend|back[\s-]end|full[\s-]stack|fullstack|\bprogrammer\b|devops"
@@ -56,7 +56,8 @@ def too_much_experience(x: Column, most: int = MAX_YEARS) -> Column:
     """Some 'N years' with N (the low end of a range) over the most, and no junior word anywhere. 'ago' and 'old' don't count."""
     digits = F.exists(F.regexp_extract_all(x, F.lit(pattern(YEARS + NOT_PAST)), F.lit(1)), lambda n: n.cast("int") > most)
     words = F.exists(F.regexp_extract_all(x, F.lit(pattern(word_years() + NOT_PAST)), F.lit(1)), lambda n: F.array_position(F.array(*map(F.lit, NUMBER_WORDS)), F.lower(n)) > most)
-    return sure((digits | words) & ~found(x, JUNIOR))
+    # Most texts name no years: a plain search spares them the patterns.
+    return sure(F.when(F.contains(F.lower(x), F.lit("year")), (digits | words) & ~found(x, JUNIOR)))
 
 
 def country_in_region(x: Column) -> Column:
@@ -92,7 +93,7 @@ def requires_dutch(languages: Column) -> Column:
 
 def requires_other_language(x: Column) -> Column:
     """A comma-separated part is exactly one of the listed languages."""
-    return sure(F.arrays_overlap(F.transform(F.split(x, ","), lambda t: F.lower(strip(t))), F.array(*map(F.lit, LANGUAGES))))
+    return sure(F.arrays_overlap(F.transform(F.split(x, ","), lambda t: F.lower(strip(t, PYTHON_SPACE))), F.array(*map(F.lit, LANGUAGES))))
 
 
 def excluded_url(x: Column) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import html as _html
+import html.entities as _entities
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,18 +13,19 @@ from pyspark.sql.types import ArrayType, StringType
 #: Word boundary with an ASCII idea of words, whatever the JDK's is.
 BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 TAG = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->|</?[a-z][^>]*>|<![^>]*>"
-#: Entities in the order in which they are decoded.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-
-
 def pattern(regex: str) -> str:
     """A case-insensitive pattern whose \\b is ASCII."""
     return "(?i)" + regex.replace(r"\b", BOUNDARY)
 
 
-def strip(x: Column) -> Column:
-    """Without white space (of any script) at both ends."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+#: White space of Java's strip (no-break spaces are none) and of Python's.
+JAVA_SPACE = r"[\t-\r\x1c- \u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000]"
+PYTHON_SPACE = r"[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def strip(x: Column, space: str = JAVA_SPACE) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(x, f"^{space}+|{space}+$", "")
 
 
 def blank_to_null(x: Column) -> Column:
@@ -31,17 +33,51 @@ def blank_to_null(x: Column) -> Column:
     return F.when(strip(x) != "", x)
 
 
-def unescape(x: Column) -> Column:
-    """Decodes the common entities, once."""
-    for name, char in ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return x
+ENTITY = r"^&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+def _names() -> Column:
+    """A constant map: entity names, with and without their semicolons, as the standard library lists them, and numbers 128 to 159, which
+    stand for characters of Windows-1252."""
+    known = dict(_entities.html5)
+    for k in range(0x80, 0xA0):
+        known[f"#{k}"] = bytes([k]).decode("cp1252") if k not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(k)
+    keys, values = ("\x01".join(x) for x in (known.keys(), known.values()))
+    return F.map_from_arrays(F.split(F.lit(keys), "\x01"), F.split(F.lit(values), "\x01"))
+
+
+def _bind(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _decoded(name: Column) -> Column:
+    """What stands for an entity: its text without the &, with or without a semicolon."""
+    names = _names()
+    bare = F.regexp_replace(name, ";$", "")
+    hexadecimal = F.lower(F.substring(bare, 2, 1)) == "x"
+    digits = F.regexp_replace(bare, "^#[xX]?0*", "")
+    number = F.when(F.length(digits) > 8, F.lit(1 << 40)).when(hexadecimal, F.conv(digits, 16, 10).cast("long")).otherwise(digits.try_cast("long"))
+
+    def character(n: Column) -> Column:
+        n = F.coalesce(n, F.lit(0))
+        bad = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+        none = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n % 0x10000 >= 0xFFFE)
+        text = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.when(n.between(0x80, 0x9F), F.try_element_at(names, F.concat(F.lit("#"), n.cast("string")))).when(bad, F.lit("\ufffd")).when(none, F.lit("")).otherwise(text)
 
+    # The longest beginning that is a name without a semicolon; what is behind it stays.
+    def start(n: Column) -> Column:
+        at = F.filter(F.sequence(F.greatest(F.length(n) - 1, F.lit(2)), F.lit(2), F.lit(-1)), lambda k: F.try_element_at(names, F.substring(n, F.lit(1), k)).isNotNull())
+        return _bind(F.get(at, F.lit(0)), lambda k: F.when(k.isNull(), F.concat(F.lit("&"), n)).otherwise(F.concat(F.try_element_at(names, F.substring(n, F.lit(1), k)), F.substring(n, k + 1, F.length(n)))))
 
-@F.pandas_udf(StringType())
-def unescape_all(x: pd.Series) -> pd.Series:
-    """Decodes every HTML5 entity, once."""
-    return x.map(_html.unescape, na_action="ignore")
+    return F.when(name.startswith("#"), _bind(number, character)).otherwise(F.coalesce(F.try_element_at(names, name), _bind(name, start)))
+
+
+def unescape(x: Column) -> Column:
+    """Decodes every HTML5 entity and character reference, once."""
+    part = lambda p: _bind(F.regexp_extract(p, ENTITY, 0), lambda m: F.when(m == "", p).otherwise(F.concat(_decoded(F.substring(m, F.lit(2), F.length(m))), F.substring(p, F.length(m) + 1, F.length(p)))))
+    return F.when(F.contains(x, F.lit("&")), F.array_join(F.transform(F.split(x, "(?=&)"), part), "")).otherwise(x)
 
 
 def html_to_text(x: Column) -> Column:
@@ -137,6 +173,25 @@ def display_skills(skills: Column) -> Column:
     return F.when(F.coalesce(F.size(skills), F.lit(0)) > 0, F.array_join(skills, ", ")).otherwise("(none extracted)")
 
 
+def fill(template: str, **values: Column | str) -> Column:
+    """A template with {names}, each replaced by its value (null: nothing)."""
+    parts = re.split(r"\{(\w+)\}", template)
+    shown = [F.lit(p) if k % 2 == 0 else values[p] if isinstance(values[p], Column) else F.lit(values[p]) for k, p in enumerate(parts)]
+    return F.concat(*(F.coalesce(x, F.lit("")) for x in shown))
+
+
+JUDGE = "You rate how well a job posting fits a person.\n\nThe person:\n{profile}\n\nThe posting:\n{posting}\n\nAnswer with JSON: fit_score, a whole number from 0 (no fit) to 100 (perfect)."
+EXTRACT = "Read the job posting and answer with JSON that has these fields: {fields}. Use 0 or an empty text where the posting says nothing, and 'unknown' for seniority, salary_period and remote_policy.\n\n{posting}"
+
+
+def judge_prompt(raw_text: Column, profile: Column | str, template: str = JUDGE, limit: int = 6000) -> Column:
+    return fill(template, profile=profile, posting=F.substring(raw_text, 1, limit))
+
+
+def extraction_prompt(raw_text: Column, fields: str, template: str = EXTRACT, limit: int = 6000) -> Column:
+    return fill(template, fields=fields, posting=F.substring(raw_text, 1, limit))
+
+
 def prompt(raw_text: Column, before: str, after: str = "", limit: int = 6000) -> Column:
     """Fixed text around the first `limit` characters of a posting."""
     return F.concat(F.lit(before), F.substring(raw_text, 1, limit), F.lit(after))

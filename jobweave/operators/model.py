@@ -9,8 +9,9 @@ from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import StopWordsRemover
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def tfidf(rows: DataFrame, vocabulary: DataFrame, key: str, stop_words: Sequence
 
 @dataclass
 class Features:
-    """A fitted vocabulary; `vector` gives a row's features in its order. Its size is bounded by what fit() keeps."""
+    """A fitted vocabulary; `assemble` gives a row's features in its order, as a sparse vector."""
 
     skills: list[str] = field(default_factory=list)
     seniority: list[str] = field(default_factory=list)
@@ -78,25 +79,28 @@ class Features:
     def names(self) -> list[str]:
         return [*(f"skill:{s}" for s in self.skills), *(f"seniority_{s}" for s in self.seniority), *(f"remote_{s}" for s in self.remote), *(f"title:{t}" for t, _ in self.terms)]
 
-    def array(self) -> Column:
-        hot = [F.array_contains("skills", s).cast("double") for s in self.skills]
-        hot += [(F.coalesce("seniority", F.lit("unknown")) == s).cast("double") for s in self.seniority]
-        hot += [(F.coalesce("remote_policy", F.lit("unknown")) == s).cast("double") for s in self.remote]
-        hot = [F.coalesce(x, F.lit(0.0)) for x in hot]
-        if not self.terms:
-            return F.array(*hot)
-
-        def weights(found: Column) -> Column:
-            raw = F.zip_with(F.array(*(F.lit(t) for t, _ in self.terms)), F.array(*(F.lit(i) for _, i in self.terms)), lambda term, idf: F.size(F.filter(found, lambda x: x == term)) * idf)
-            unit = lambda r: F.transform(r, lambda v: F.coalesce(F.try_divide(v, F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, x: s + x * x))), F.lit(0.0)))
-            return F.get(F.transform(F.array(raw), unit), F.lit(0))
-
-        return F.concat(F.array(*hot).cast("array<double>"), F.get(F.transform(F.array(title_terms(F.col("title"), self.stop_words)), weights), F.lit(0)))
+    def assemble(self, rows: DataFrame, output: str = "features") -> DataFrame:
+        """rows with the sparse vector. Its plan does not grow with the vocabulary."""
+        known = lambda c: F.array(F.coalesce(c, F.lit("unknown")))
+        inputs = {"_skills": F.coalesce("skills", F.array().cast("array<string>")), "_seniority": known("seniority"), "_remote": known("remote_policy"), "_terms": title_terms(F.col("title"), self.stop_words)}
+        vocabularies = {"_skills": self.skills, "_seniority": self.seniority, "_remote": self.remote, "_terms": [t for t, _ in self.terms]}
+        out, parts = rows.withColumns(inputs), []
+        for name, words in vocabularies.items():
+            if words:
+                out = CountVectorizerModel.from_vocabulary(words, name, f"{name}_counts").setBinary(name != "_terms").transform(out)
+                parts.append(f"{name}_counts")
+        if self.terms:
+            out = ElementwiseProduct(scalingVec=Vectors.dense([i for _, i in self.terms]), inputCol="_terms_counts", outputCol="_terms_weights").transform(out)
+            parts[-1] = "_terms_weights"
+            out = Normalizer(p=2.0, inputCol="_terms_weights", outputCol="_terms_unit").transform(out)
+            parts[-1] = "_terms_unit"
+        out = VectorAssembler(inputCols=parts, outputCol=output).transform(out)
+        return out.select(*rows.columns, output)
 
 
 def fit_model(train: DataFrame, features: Features, c: float = 1.0) -> LogisticRegressionModel:
     """Multinomial L2 regression with balanced classes, penalty 1 / c on the summed loss."""
-    rows = class_weights(train).select(array_to_vector(features.array()).alias("features"), F.col("label").cast("double"), "weight")
+    rows = features.assemble(class_weights(train)).select("features", F.col("label").cast("double"), "weight")
     n = train.count()
     rows = rows.coalesce(max(1, n // 20_000))  # labelled rows are few; every step of the solver is a job over them
     lr = LogisticRegression(family="multinomial", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=1000, tol=1e-10)
@@ -104,7 +108,7 @@ def fit_model(train: DataFrame, features: Features, c: float = 1.0) -> LogisticR
 
 
 def predict(model: LogisticRegressionModel, rows: DataFrame, features: Features) -> DataFrame:
-    scored = model.transform(rows.withColumn("features", array_to_vector(features.array())))
+    scored = model.transform(features.assemble(rows))
     out = scored.withColumn("probability", vector_to_array("probability")).withColumn("rating", expected_rating(F.col("probability")))
     return out.select(*rows.columns, F.col("prediction").cast("int").alias("prediction"), "probability", "rating")
 
@@ -122,6 +126,7 @@ def out_of_fold(rows: DataFrame, folds: int = 5, stop_words: Sequence[str] | Non
 
     with ThreadPoolExecutor(folds) as pool:
         parts = list(pool.map(inheritable_thread_target(rows.sparkSession)(scored), range(folds)))
+    dealt.unpersist()  # the fits are done; what scores the rows deals them out again, by md5
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -1,14 +1,16 @@
 """Incremental state: upserts, seen marks, labels and pending work, as set operations on whole relations.
 
-Parquet has no MERGE, so an upsert gives the new relation, which `publish` writes beside the old one and swaps in.
+Parquet has no MERGE, so an upsert gives the new relation, which `publish` writes beside the old one and then names as current.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 POSTING_DATA = ("title", "company", "location", "raw_text")
 
@@ -83,8 +85,8 @@ def pending_extraction(vacancies: DataFrame, extractions: DataFrame) -> DataFram
 
 
 def pending_labels(vacancies: DataFrame, extractions: DataFrame, labels: DataFrame) -> DataFrame:
-    both = vacancies.withColumnRenamed("id", "vacancy_id").join(extractions, "vacancy_id")
-    return both.join(labels, "vacancy_id", "left_anti")
+    open_ = vacancies.withColumnRenamed("id", "vacancy_id").join(labels, "vacancy_id", "left_anti")
+    return open_.join(extractions, "vacancy_id")
 
 
 def labeled(labels: DataFrame, vacancies: DataFrame, extractions: DataFrame) -> DataFrame:
@@ -96,15 +98,42 @@ def evolve(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns})
 
 
-def publish(df: DataFrame, path: str) -> None:
-    """Writes df beside `path`, then swaps it in, so that readers see the old relation or the new one."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}.next")
+def _files(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    at, fresh, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.next", f"{path}.old"))
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(fresh, at)
-    fs.delete(old, True)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the versions that are complete, the oldest first."""
+    fs, at = _files(spark, path)
+    folder = at(f"{path}/_versions")
+    return sorted(x.getPath().getName() for x in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def read_published(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The relation that was published last; empty if there is none."""
+    versions = _versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/{versions[-1]}") if versions else spark.createDataFrame([], schema)
+
+
+def publish(df: DataFrame, path: str, keep: int = 2) -> None:
+    """Makes df the relation at path (see read_published). One writer at a time.
+
+    The rows go to a folder of their own; then one empty file, whose name is the folder's, makes it current. Nothing is renamed or
+    overwritten, so after a crash at any point the version before is there, whole; what a crashed run left is deleted by
+    the next one that succeeds. The last `keep` versions stay, for readers that began before.
+    """
+    spark = df.sparkSession
+    fs, at = _files(spark, path)
+    before = _versions(spark, path)
+    number = int(before[-1].split("-")[1]) + 1 if before else 1
+    name = f"version-{number:012d}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(f"{path}/{name}")
+    fs.create(at(f"{path}/_versions/{name}"), False).close()
+    for old in before[: 1 - keep or None]:
+        fs.delete(at(f"{path}/_versions/{old}"), False)
+    kept = {name, *before[len(before) + 1 - keep :]}
+    for x in fs.listStatus(at(path)):
+        if x.getPath().getName().startswith("version-") and x.getPath().getName() not in kept:
+            fs.delete(x.getPath(), True)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse, rules
 from ..functions import text as T
-from ..operators import model, ranking, state
+from ..operators import clients, model, ranking, state
 from ..sources import postings as src
 from . import synth
 from .synth import LABEL_SQL, WITH
@@ -125,11 +129,16 @@ def non_english_filter(spark, d):
     return synth.postings(spark, d).agg(F.count("*").alias("n_before"), F.count_if(~rules.requires_other_language(F.col("language_requirement"))).alias("n_after"))
 
 
+#: The oracle's own table: the references that the tables and the synthesised postings hold; the ampersand comes after them.
+ORACLE_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", chr(160)), ("&copy;", chr(169)), ("&middot;", chr(183)), ("&rsquo;", chr(8217)), ("&#8211;", chr(8211)), ("&eacute;", chr(233)), ("&#x20AC;", chr(8364)))
+
+
 def _sql_text(c: str) -> str:
     """HTML to text, for DuckDB."""
     out = rf"array_to_string(list_filter(regexp_split_to_array({c}, '{T.TAG}'), lambda x: len(x) > 0), chr(10))"
-    for name, char in T.ENTITIES:
+    for name, char in ORACLE_ENTITIES:
         out = f"replace({out}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    out = f"regexp_replace({out}, '&amp;?', '&', 'g')"
     return rf"regexp_replace({out}, '^\s+|\s+$', '', 'g')"
 
 
@@ -138,10 +147,13 @@ def html_to_text(spark, d):
     return _table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("content"))
 
 
-@query(None)
+_ENTITIES_ROW = "'caf&eacute; &rsquo;' || lang || '&rsquo; &#8211; &#x20AC;50k &lt;b&gt; R&amp;amp;D'"
+
+
+@query(f"SELECT doc_id AS vacancy_id, 'caf' || chr(233) || ' ' || chr(8217) || lang || chr(8217) || ' ' || chr(8211) || ' ' || chr(8364) || '50k <b> R&amp;D' AS content FROM documents")
 def html_unescape_all(spark, d):
-    """Every HTML5 entity needs Python's table; tests hold it against html.unescape."""
-    return _table(spark, d, "pages").select("page_id", T.unescape_all(F.col("html")).alias("content"))
+    """Named, decimal and hexadecimal references; the whole list of names is tested against the standard library."""
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("vacancy_id"), T.unescape(F.expr(_ENTITIES_ROW)).alias("content"))
 
 
 @query("SELECT page_id, regexp_replace(url, '\\?.*$', '?[redacted]') AS redacted FROM pages")
@@ -165,11 +177,10 @@ def json_ld_posting(spark, d):
     return src.magnetme(_magnet_pages(spark, d)).select("url", "title", "company", "location", "country", "raw_text")
 
 
-@query(f"{WITH} SELECT vacancy_id, CASE WHEN phrase = title THEN title ELSE body END || chr(10) || chr(10) || title AS merged FROM p WHERE NOT contains(body, title)")
+@query(f"{WITH} SELECT vacancy_id, CASE WHEN contains(body, title) THEN body ELSE body || chr(10) || chr(10) || title END AS merged FROM (SELECT vacancy_id, title, regexp_replace(body, '^[\\t-\\r ]+|[\\t-\\r ]+$', '', 'g') AS body FROM p)")
 def merge_descriptions(spark, d):
     parts = F.array(F.lit(" "), F.col("phrase"), F.col("text"), F.col("body"), F.col("phrase"), F.concat(F.lit("\n"), F.col("title"), F.lit(" ")))
-    p = synth.postings(spark, d).where(~F.contains("body", "title"))
-    return p.select("vacancy_id", T.merge_descriptions(parts).alias("merged"))
+    return synth.postings(spark, d).select("vacancy_id", T.merge_descriptions(parts).alias("merged"))
 
 
 def _projection(df: DataFrame) -> DataFrame:
@@ -194,11 +205,17 @@ def source_projection_greenhouse(spark, d):
     return _projection(src.greenhouse(p.select(F.lit("Config Inc").alias("company"), F.to_json(F.struct(F.array(job).alias("jobs"))).alias("payload"))))
 
 
-@query(f"{WITH} SELECT url, title, 'Config Inc' AS company, location, country_name AS country, phrase AS raw_text FROM p")
+def _companies(spark, d) -> DataFrame:
+    """The company table: a token of a board and the company's name."""
+    return _table(spark, d, "documents").select(F.col("source").alias("token")).where("token <> ''").distinct().withColumn("company", F.concat(F.lit("Company of "), F.col("token")))
+
+
+@query(f"{WITH} SELECT url, title, 'Company of ' || origin AS company, location, country_name AS country, phrase AS raw_text FROM p WHERE origin <> ''")
 def source_projection_ashby(spark, d):
     p = synth.postings(spark, d)
     job = F.struct("title", F.col("url").alias("jobUrl"), "location", F.struct(F.struct(F.col("country_name").alias("addressCountry")).alias("postalAddress")).alias("address"), F.concat(F.lit(" \n"), F.col("phrase"), F.lit("\t")).alias("descriptionPlain"))
-    return _projection(src.ashby(p.select(F.lit("Config Inc").alias("company"), F.to_json(F.struct(F.array(job).alias("jobs"))).alias("payload"))))
+    boards = src.with_company(p.select(F.col("origin").alias("token"), F.to_json(F.struct(F.array(job).alias("jobs"))).alias("payload")), _companies(spark, d))
+    return _projection(src.ashby(boards))
 
 
 @query(f"{WITH} SELECT url, title, 'Config Inc' AS company, location, country_code AS country, phrase || ' And more.' || chr(10) || chr(10) || 'What you do' || chr(10) || {_BUILT} AS raw_text FROM p")
@@ -226,15 +243,23 @@ def sitemap_urls(spark, d):
 
 
 # Upserts: events stand in for postings, (event_type, user_id) for (source, url), (ts, event_id) for the order of arrival.
-@query("SELECT event_type AS source, cast(user_id AS varchar) AS url, arg_max(cast(event_id AS varchar), struct_pack(a := ts, b := event_id)) AS title, count(*) >= 1 AS stored, bool_or(event_id % 2 = 0) AS known FROM events GROUP BY event_type, user_id")
+_LAST = "arg_max(cast(event_id AS varchar), struct_pack(a := ts, b := event_id))"
+
+
+@query(
+    f"SELECT event_type AS source, cast(user_id AS varchar) AS url, {_LAST} AS title, {_LAST} || ' Inc' AS company, 'at ' || {_LAST} AS location, 'text ' || {_LAST} AS raw_text, CASE WHEN bool_or(event_id % 2 = 0) THEN user_id END AS known_id, "
+    "TIMESTAMP '2024-01-01' AS scraped_at, CASE WHEN bool_or(event_id % 2 = 0) THEN TIMESTAMP '2000-01-01' ELSE TIMESTAMP '2024-01-01' END AS first_seen, TIMESTAMP '2024-01-01' AS last_seen FROM events GROUP BY event_type, user_id"
+)
 def upsert_latest(spark, d):
-    e = _table(spark, d, "events").select(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("url"), F.col("event_id").cast("string").alias("title"), *(F.lit(None).cast("string").alias(c) for c in ("company", "location", "raw_text")), F.struct("ts", "event_id").alias("ordinal"), "event_id")
-    early, now = F.lit("2000-01-01").cast("timestamp"), F.lit("2024-01-01").cast("timestamp")
-    # A first pass takes the even events, a second one all of them: known keys keep id and first_seen.
+    n = F.col("event_id").cast("string")
+    e = _table(spark, d, "events").select(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("url"), n.alias("title"), F.concat(n, F.lit(" Inc")).alias("company"), F.concat(F.lit("at "), n).alias("location"), F.concat(F.lit("text "), n).alias("raw_text"), F.struct("ts", "event_id").alias("ordinal"), "event_id")
+    early, now = F.lit("2000-01-01").cast("timestamp_ntz"), F.lit("2024-01-01").cast("timestamp_ntz")
+    # A first pass takes the even events, a second one all of them: known keys keep id (here the user's number) and first_seen.
     empty = e.select(F.lit(0).cast("long").alias("id"), "source", "url", *state.POSTING_DATA, *(early.alias(c) for c in ("scraped_at", "first_seen", "last_seen"))).where("false")
-    once = state.upsert_postings(empty, e.where("event_id % 2 = 0"), early)
+    once = state.upsert_postings(empty, e.where("event_id % 2 = 0"), early).withColumn("id", F.col("url").cast("long"))
     twice = state.upsert_postings(once, e, now)
-    return twice.select("source", "url", "title", (F.col("last_seen") == now).alias("stored"), (F.col("first_seen") == early).alias("known"))
+    known = F.when(F.col("first_seen") == early, F.col("id"))
+    return twice.select("source", "url", *state.POSTING_DATA, known.alias("known_id"), "scraped_at", "first_seen", "last_seen")
 
 
 @query("SELECT event_type AS source, cast(user_id AS varchar) AS external_id, arg_min(event_id, struct_pack(a := event_id % 2, b := ts, c := event_id)) AS evaluation FROM events GROUP BY event_type, user_id")
@@ -344,8 +369,8 @@ def precision_at_k(spark, d):
 
 
 @query(f"WITH {_SCORES} {_precision('cosine')} UNION ALL {_precision('judge')}")
-def three_way_benchmark(spark, d):
-    """Two landed scores here; out-of-fold ratings, the third, are in oof_expected_rating."""
+def landed_scores_benchmark(spark, d):
+    """The two scores that SQL can express; three_way_benchmark has the fitted one too."""
     return ranking.benchmark(_scores(spark, d), ["cosine", "judge"])
 
 
@@ -395,9 +420,9 @@ def multi_hot(spark, d):
     rows = _with_skills(spark, d)
     features = model.Features.fit(rows, [])
     features.terms = []
-    names = F.array(*map(F.lit, features.names()))
-    hot = F.filter(F.zip_with(names, features.array(), lambda n, v: F.when(v > 0, n)), lambda x: x.isNotNull())
-    out = rows.select("vacancy_id", hot.alias("names"))
+    names = features.names()
+    hot = F.transform(F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.when(F.get("x", i) > 0, i))), lambda i: F.get(F.split(F.lit("\x01".join(names)), "\x01"), i))
+    out = features.assemble(rows).select("vacancy_id", vector_to_array("features").alias("x")).select("vacancy_id", hot.alias("names"))
     only = lambda start: F.filter("names", lambda x: x.startswith(start))
     return out.select("vacancy_id", F.array_sort(only("skill:")).alias("hot"), F.array_join(only("seniority_"), ",").alias("seniority_hot"), F.array_join(only("remote_"), ",").alias("remote_hot"))
 
@@ -406,10 +431,10 @@ STOP = ("the", "and", "of", "to", "in", "for", "with", "new")
 _TERMS = r"list_filter(regexp_extract_all(lower(title), '[\p{L}\p{N}_]{2,}'), lambda w: NOT list_contains([" + _quoted(STOP) + "], w))"
 
 
-@query(f"{WITH}, w AS (SELECT vacancy_id, {_TERMS} AS w FROM p), t AS (SELECT vacancy_id, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS term FROM w), v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM p)) / (1.0 + count(DISTINCT vacancy_id))) + 1 AS idf FROM t GROUP BY term ORDER BY count(*) DESC, term LIMIT 20), e AS (SELECT vacancy_id, term, count(*) * max(idf) AS x FROM t JOIN v USING (term) GROUP BY vacancy_id, term) SELECT vacancy_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY vacancy_id)), 9) AS weight FROM e")
+@query(f"{WITH}, w AS (SELECT vacancy_id, {_TERMS} AS w FROM p), t AS (SELECT vacancy_id, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS term FROM w), v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM p)) / (1.0 + count(DISTINCT vacancy_id))) + 1 AS idf FROM t GROUP BY term ORDER BY count(*) DESC, term LIMIT 150), e AS (SELECT vacancy_id, term, count(*) * max(idf) AS x FROM t JOIN v USING (term) GROUP BY vacancy_id, term) SELECT vacancy_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY vacancy_id)), 9) AS weight FROM e")
 def title_tfidf(spark, d):
     rows = synth.postings(spark, d).select("vacancy_id", "title")
-    return model.tfidf(rows, model.tfidf_vocabulary(rows, STOP, 20), "vacancy_id", STOP).select("vacancy_id", "term", F.round("weight", 9).alias("weight"))
+    return model.tfidf(rows, model.tfidf_vocabulary(rows, STOP), "vacancy_id", STOP).select("vacancy_id", "term", F.round("weight", 9).alias("weight"))
 
 
 def _response(kind: str, broken: Column) -> Column:
@@ -421,6 +446,41 @@ def _response(kind: str, broken: Column) -> Column:
     return F.to_json(F.struct(F.struct(content.alias("content")).alias("message")))
 
 
+@query(f"{WITH} SELECT vacancy_id, '[\"' || skill_a || '\",\"' || skill_b || '\"]' AS skills_json FROM p")
+def skills_serialized(spark, d):
+    return _with_skills(spark, d).select("vacancy_id", parse.serialize_skills(F.col("skills")).alias("skills_json"))
+
+
+@query(f"{WITH} SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN vacancy_id % 12 = 0 THEN 'failed' ELSE 'succeeded' END AS outcome FROM p) GROUP BY outcome")
+def extraction_run_counts(spark, d):
+    p = synth.postings(spark, d)
+    outcome = F.when(_two_providers().isNull(), "failed").otherwise("succeeded").alias("outcome")
+    return p.groupBy(outcome).agg(F.count("*").alias("n"))
+
+
+@query(f"{WITH} SELECT vacancy_id, CASE WHEN title IS NOT NULL THEN cast('0x' || substr(md5(title), 1, 7) AS integer) % 101 END AS fit_score FROM p")
+def judge_by_client(spark, d):
+    """A client on the executors; this one computes its answers."""
+
+    def client(prompts):
+        return [json.dumps({"message": {"content": json.dumps({"fit_score": int(hashlib.md5(x.encode()).hexdigest()[:7], 16) % 101})}}) for x in prompts]
+
+    asked = clients.ask(synth.postings(spark, d).select("vacancy_id", "title"), "title", client)
+    return asked.select("vacancy_id", parse.fit_score(F.col("response")).alias("fit_score"))
+
+
+_ODD = '{"salary_min": 60000.0, "salary_max": "70000", "seniority": ["x"], "summary": {"a": 1}, "salary_currency": "EUR"}'
+
+
+@query(f"{WITH} SELECT vacancy_id, 60000 AS salary_min, 70000 AS salary_max, '' AS seniority, NULL::varchar AS summary, 'EUR' AS salary_currency, 87 AS fit_score FROM p")
+def extraction_number_forms(spark, d):
+    """Numbers with fractions or as texts, objects and arrays in the place of texts."""
+    p = synth.postings(spark, d)
+    content = F.get_json_object(F.to_json(F.struct(F.struct(F.when(F.col("vacancy_id").isNotNull(), F.lit(_ODD)).alias("content")).alias("message"))), "$.message.content")
+    judged = F.when(F.col("vacancy_id").isNotNull(), F.lit(json.dumps({"message": {"content": '{"fit_score": 87.5}'}})))
+    return p.select("vacancy_id", parse.extraction(content, "m").alias("x"), parse.fit_score(judged).alias("fit_score")).select("vacancy_id", "x.salary_min", "x.salary_max", "x.seniority", "x.summary", "x.salary_currency", "fit_score")
+
+
 _FIELDS = "phrase AS summary, seniority, CASE WHEN salary IN ('2800', '60000') THEN cast(salary AS integer) END AS salary_min, CASE WHEN salary IN ('2800', '60000') AND currency <> '' THEN currency END AS salary_currency, CASE WHEN vacancy_id % 2 = 0 THEN 'yearly' ELSE 'unknown' END AS salary_period, CASE WHEN language_requirement <> '' THEN language_requirement END AS language_requirement"
 
 
@@ -434,9 +494,13 @@ def extraction_normalize(spark, d):
 @query(f"{WITH} SELECT vacancy_id, seniority, CASE WHEN vacancy_id % 4 = 0 THEN 'ollama' ELSE 'gemini' END AS extraction_model FROM p WHERE vacancy_id % 12 <> 0")
 def extraction_fallback(spark, d):
     p = synth.postings(spark, d)
+    return p.select("vacancy_id", _two_providers().alias("x")).where("x IS NOT NULL").select("vacancy_id", "x.seniority", "x.extraction_model")
+
+
+def _two_providers() -> Column:
     first = parse.extraction(parse.gemini_content(_response("gemini", F.col("vacancy_id") % 4 == 0)), "gemini")
     second = parse.extraction(parse.ollama_content(_response("ollama", F.col("vacancy_id") % 3 == 0)), "ollama")
-    return p.select("vacancy_id", parse.with_fallback(first, second).alias("x")).where("x IS NOT NULL").select("vacancy_id", "x.seniority", "x.extraction_model")
+    return parse.with_fallback(first, second)
 
 
 @query(f"{WITH} SELECT vacancy_id, CASE WHEN vacancy_id % 3 <> 0 THEN vacancy_id % 101 END AS fit_score FROM p")
@@ -460,14 +524,17 @@ def _model_rows(spark, d) -> DataFrame:
 
 @query(None)
 def oof_expected_rating(spark, d):
-    """A fitted model is not expressible in SQL; tests hold it against a NumPy solution."""
+    """A fitted model is not expressible in SQL; tests hold the fit of each fold against a NumPy solution."""
     return model.out_of_fold(_model_rows(spark, d)).select("vacancy_id", "label", "fold", "prediction", F.round("rating", 6).alias("rating"))
 
 
 @query(None)
-def oof_precision(spark, d):
-    scored = model.out_of_fold(_model_rows(spark, d)).select("vacancy_id", "label", "rating").join(_cosines(spark, d), "vacancy_id", "left")
-    return ranking.benchmark(scored.fillna({"cosine": 0.0}), ["rating", "cosine"])
+def three_way_benchmark(spark, d):
+    """Out-of-fold rating, judge and cosine over the same labelled rows that need no other language than English; a missing cosine
+    counts as 0. A fitted model is not expressible in SQL; the other two scores are, in landed_scores_benchmark."""
+    rated = model.out_of_fold(_model_rows(spark, d)).select("vacancy_id", "label", "rating")
+    both = rated.join(_scores(spark, d).select("vacancy_id", "cosine", "judge"), "vacancy_id", "left").fillna({"cosine": 0.0, "judge": 0.0})
+    return ranking.benchmark(both, ["rating", "judge", "cosine"])
 
 
 @query("SELECT source AS origin, unnest(generate_series(0, count(*) - 1, 20)) AS page_offset FROM documents GROUP BY source")
@@ -539,7 +606,9 @@ def coefficient_axis(spark, d):
     """Features that speak most for label 2 over label 0, and most against; a fitted model is not expressible in SQL."""
     rows = _model_rows(spark, d).cache()
     features = model.Features.fit(rows)
-    return model.coefficient_axis(model.fit_model(rows, features), features).select("feature", F.round("axis", 4).alias("axis"))
+    fitted = model.fit_model(rows, features)
+    rows.unpersist()
+    return model.coefficient_axis(fitted, features).select("feature", F.round("axis", 4).alias("axis"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

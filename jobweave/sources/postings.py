@@ -30,6 +30,12 @@ def _posting(df: DataFrame, source: str, **columns: Column) -> DataFrame:
     return df.select(*(values[c].alias(c) for c in POSTING))
 
 
+def with_company(payloads: DataFrame, companies: DataFrame, key: str = "token") -> DataFrame:
+    """Payloads with the columns of their board's row in the company table (token, company, ...); those of no listed board are left
+    out. Which side is small is left to the planner, by its measured size."""
+    return payloads.join(companies, key)
+
+
 def workday_listing(pages: DataFrame) -> DataFrame:
     """Listing pages to company columns, title, external_path; entries without a path are left out."""
     rows = pages.withColumn("_j", F.explode(F.from_json("payload", WORKDAY_LIST)["jobPostings"]))

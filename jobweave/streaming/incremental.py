@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.state import publish, upsert_postings
+from ..operators.state import publish, read_published, upsert_postings
 
 
 def first_seen(stream: DataFrame, delay: str = "1 day", time: str = "seen_at") -> DataFrame:
@@ -18,11 +18,7 @@ def upsert_stream(stream: DataFrame, path: str, checkpoint: str, empty: DataFram
     """Upserts each batch into the relation at path. A batch that is replayed gives the same relation again, but for its times."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        known = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-        target = spark.read.schema(empty.schema).parquet(path) if known else empty
+        target = read_published(batch.sparkSession, path, empty.schema)
         publish(upsert_postings(target, batch, F.current_timestamp()), path)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -32,10 +34,46 @@ def test_seen_and_labels(spark):
 
 
 def test_publish(spark, tmp_path):
-    path = str(tmp_path / "t")
-    for n in (1, 2):
+    path, schema = str(tmp_path / "t"), spark.range(1).schema
+    assert state.read_published(spark, path, schema).count() == 0
+    for n in range(1, 5):
+        state.publish(spark.range(n), path)
+        assert state.read_published(spark, path, schema).count() == n
+    assert len([x for x in (tmp_path / "t").iterdir() if x.name.startswith("version-")]) == 2
+
+
+@pytest.mark.parametrize("step", ["write", "create", "delete"])
+def test_publish_survives_a_crash_at_each_step(spark, tmp_path, monkeypatch, step):
+    path, schema = str(tmp_path / "t"), spark.range(1).schema
+    for n in (4, 5):
         state.publish(spark.range(n), path)
-        assert spark.read.parquet(path).count() == n
+    files = state._files
+
+    class Crash(Exception):
+        pass
+
+    class Broken:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            if name == step:
+                raise Crash
+            return getattr(self.fs, name)
+
+    def half(at):
+        spark.range(3).write.parquet(at)
+        raise Crash
+
+    with monkeypatch.context() as m:
+        m.setattr(state, "_files", lambda s, p: (Broken(files(s, p)[0]), files(s, p)[1]))
+        df = SimpleNamespace(sparkSession=spark, write=SimpleNamespace(parquet=half)) if step == "write" else spark.range(6)
+        with pytest.raises(Crash):
+            state.publish(df, path)
+    known = 6 if step == "delete" else 5
+    assert state.read_published(spark, path, schema).count() == known
+    state.publish(state.read_published(spark, path, schema).unionByName(spark.range(1)), path)
+    assert state.read_published(spark, path, schema).count() == known + 1
 
 
 def test_precision_ties_and_short_lists(spark):
@@ -59,22 +97,73 @@ def test_folds(spark):
         assert max(sizes) - min(sizes) <= 1
 
 
+def solve(x, y, w):
+    c, b = np.zeros((3, x.shape[1])), np.zeros(3)
+    for _ in range(20000):
+        z = x @ c.T + b
+        p = np.exp(z - z.max(1, keepdims=True))
+        p = (p / p.sum(1, keepdims=True) - np.eye(3)[y]) * w[:, None]
+        c -= 0.01 * (p.T @ x + c)
+        b -= 0.01 * p.sum(0)
+    return c, b
+
+
+def test_out_of_fold(spark):
+    """Each row's rating is that of a model of the other folds' rows, with their vocabulary: in numpy, fold by fold."""
+    rng = np.random.default_rng(3)
+    titles = ["Data Engineer", "ML Scientist", "Backend Developer"]
+    rows = [(i, int(rng.integers(0, 3)), titles[int(rng.integers(0, 3))], [["Python", "Go", "SQL"][int(k)] for k in rng.integers(0, 3, 2)] + ([f"only{i}"] * 3 if i % 7 == 0 else []), "junior", None) for i in range(50)]
+    df = spark.createDataFrame(rows, "vacancy_id long, label int, title string, skills array<string>, seniority string, remote_policy string")
+    got = {r.vacancy_id: (r.fold, r.rating) for r in model.out_of_fold(df, 3).collect()}
+    assert len(got) == 50
+    for k in range(3):
+        train = [r for r in rows if got[r[0]][0] != k]
+        test = [r for r in rows if got[r[0]][0] == k]
+        fitted = model.Features.fit(spark.createDataFrame(train, df.schema))
+        assert not {f"skill:only{r[0]}" for r in test} & set(fitted.names())
+        x, z = (np.array([v.features.toArray() for v in fitted.assemble(spark.createDataFrame(part, df.schema)).orderBy("vacancy_id").collect()]) for part in (train, test))
+        y = np.array([r[1] for r in train])
+        c, b = solve(x, y, (len(y) / 3 / np.bincount(y, minlength=3))[y])
+        p = np.exp(z @ c.T + b)
+        rating = (p / p.sum(1, keepdims=True)) @ [0, 1, 2]
+        assert np.abs(rating - [got[r[0]][1] for r in test]).max() < 1e-3
+
+
+def test_coefficient_axis_spread_and_order(spark):
+    features = model.Features(skills=[f"s{i:02d}" for i in range(30)])
+    matrix = np.zeros((3, 30))
+    matrix[2] = np.arange(30)
+    fake = SimpleNamespace(coefficientMatrix=SimpleNamespace(toArray=lambda: matrix))
+    got = {r.feature: r.axis for r in model.coefficient_axis(fake, features, 3).collect()}
+    assert got == {f"skill:s{i:02d}": float(i) for i in (0, 1, 2, 27, 28, 29)}
+    scores = spark.createDataFrame([(1, 5.0), (2, 7.0), (3, 7.0), (4, None)], "id long, s double")
+    assert ranking.score_spread(scores, "s").first()[:] == (5.0, 7.0, 19 / 3, 2, 3)
+    order = [r.id for r in ranking.shuffled(scores, "id").collect()]
+    assert sorted(order) == [1, 2, 3, 4] and order == [r.id for r in ranking.shuffled(scores.repartition(3), "id").collect()]
+    weights = {r.label: r.weight for r in ranking.class_weights(spark.createDataFrame([(i, int(i > 2)) for i in range(9)], "vacancy_id long, label int")).collect()}
+    assert weights == {0: 1.0, 1: 0.5}
+
+
+def test_first_seen(spark, tmp_path):
+    from jobweave.streaming.incremental import first_seen
+
+    kind = "source string, external_id string, seen_at timestamp"
+    spark.sql("SELECT 's' AS source, CAST(id % 3 AS STRING) AS external_id, TIMESTAMP '2024-01-01' AS seen_at FROM range(9)").coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = first_seen(spark.readStream.schema(kind).parquet(str(tmp_path / "in")))
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.external_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["0", "1", "2"]
+
+
 def test_model_matches_numpy(spark):
     rng = np.random.default_rng(0)
     rows = [(i, int(rng.integers(0, 3)), "Data Engineer" if rng.random() < 0.5 else "ML Scientist", [["Python", "Go", "SQL"][int(k)] for k in rng.integers(0, 3, 2)], "junior", "remote") for i in range(60)]
     df = spark.createDataFrame(rows, "vacancy_id long, label int, title string, skills array<string>, seniority string, remote_policy string")
     features = model.Features.fit(df)
-    x = np.array([r[0] for r in df.orderBy("vacancy_id").select(features.array()).collect()])
+    x = np.array([r.features.toArray() for r in features.assemble(df).orderBy("vacancy_id").collect()])
     y = np.array([r[1] for r in rows])
     fitted = model.fit_model(df, features)
     w = (len(y) / 3 / np.bincount(y, minlength=3))[y]
-    c, b = np.zeros((3, x.shape[1])), np.zeros(3)
-    for _ in range(20000):
-        z = x @ c.T + b
-        p = np.exp(z - z.max(1, keepdims=True))
-        p = (p / p.sum(1, keepdims=True) - np.eye(3)[y]) * w[:, None]
-        c -= 0.01 * (p.T @ x + c)
-        b -= 0.01 * p.sum(0)
+    c, b = solve(x, y, w)
     assert np.abs(fitted.coefficientMatrix.toArray() - c).max() < 1e-4
     out = model.predict(fitted, df, features)
     assert out.where("rating < 0 OR rating > 2").count() == 0
@@ -87,4 +176,4 @@ def test_stream_upsert(spark, tmp_path):
     spark.createDataFrame([("s", "u", "t", None, None, "x", 1)], COLUMNS).write.parquet(source)
     stream = spark.readStream.schema(COLUMNS).parquet(source)
     upsert_stream(stream, str(tmp_path / "out"), str(tmp_path / "check"), spark.createDataFrame([], TARGET)).awaitTermination()
-    assert [r.title for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["t"]
+    assert [r.title for r in state.read_published(spark, str(tmp_path / "out"), spark.createDataFrame([], TARGET).schema).collect()] == ["t"]

@@ -1,6 +1,7 @@
 import html
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from jobweave.functions import parse
@@ -15,7 +16,24 @@ def one(spark, value, f, kind="string"):
 def test_html_to_text(spark):
     assert one(spark, "<p>Build <strong>models</strong> with us.</p>", T.html_to_text) == "Build \nmodels\n with us."
     assert one(spark, "1 < 2 &amp;lt; <script>x</script><!-- c -->", T.html_to_text) == "1 < 2 &lt;"
-    assert one(spark, "&eacute;&amp;", T.unescape_all) == html.unescape("&eacute;&amp;")
+    assert one(spark, "<p>&nbsp;x &rsquo;y&rsquo; </p>", T.html_to_text) == "\u00a0x \u2019y\u2019"  # a no-break space is no white space to Java's strip
+
+
+def test_unescape_equals_the_standard_library(spark):
+    import html.entities
+
+    texts = ["We&rsquo;re &#8211; caf&eacute; &euro;50k &ndash; R&amp;D", "&notit; &copy2024 &amp;lt; &#x80;&#0;&#xD800;&#1114112;&#99999999999999; &#x1F600; &#11; & & &; &#; &#x;&unknown; &Aacute &ampx;&&amp;", "", "no", None]
+    texts += [f"x &{k} y" for k in html.entities.html5] + [f"&#{k};" for k in [*range(300), 0xFDD0, 0xFFFF, 0x1FFFE, 0x10FFFF]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    for r in df.select("x", T.unescape(F.col("x")).alias("y")).collect():
+        assert r.y == (None if r.x is None else html.unescape(r.x)), r.x
+
+
+def test_strips(spark):
+    odd = "\x1c\x1f\x85\u00a0\u2007\u202f\u2003\u3000 \t\n"
+    for k in odd:
+        assert one(spark, f"{k}x{k}", lambda c: T.strip(c, T.PYTHON_SPACE)) == "x"
+        assert (one(spark, f"{k}x", T.strip) == "x") == (k not in "\x85\u00a0\u2007\u202f")
 
 
 def test_json_ld(spark):
@@ -62,3 +80,74 @@ def test_magnet_title(spark):
     rows = [("a", page({"@type": "JobPosting", "title": None})), ("b", page({"@type": "JobPosting"})), ("c", page({"@type": "JobPosting", "title": "T", "jobLocation": {"address": {"addressLocality": " ", "addressCountry": "NL"}}}))]
     out = {r.url: (r.title, r.location) for r in src.magnetme(spark.createDataFrame(rows, "url string, payload string")).collect()}
     assert out == {"a": ("null", None), "c": ("T", "NL")}
+
+
+def test_plain_values_of_json(spark):
+    doc = json.dumps({"a": {"b": 1}, "c": "[x]", "d": [1], "e": None, "f": 1.5})
+    row = spark.createDataFrame([(doc,)], "x string").select(*(parse.path(F.col("x"), k, "none") for k in ("$.a", "$.c", "$.d", "$.e", "$.f", "$.a.b", "$.z"))).first()
+    assert row[:] == ("", "[x]", "", "none", "1.5", "1", "none")
+
+
+def test_number_forms(spark):
+    inner = json.dumps({"salary_min": 60000.0, "salary_max": "70000.9", "salary_currency": "EUR", "skills": ["Go", 1, {"x": 1}], "summary": {"a": 1}, "seniority": ["x"], "salary_period": None})
+    x = one(spark, inner, lambda c: parse.extraction(c, "m"))
+    assert (x.salary_min, x.salary_max, x.salary_currency, x.skills, x.summary, x.seniority, x.salary_period) == (60000, 70000, "EUR", ["Go", "1", ""], None, "", "unknown")
+    for score, want in ((87.5, 87), ("87", 87), (0, 0), ("x", None), (None, None)):
+        assert one(spark, json.dumps({"message": {"content": json.dumps({"fit_score": score})}}), parse.fit_score) == want
+    assert one(spark, ["a", 'b"c'], parse.serialize_skills, "array<string>") == '["a","b\\"c"]'
+    plan = spark.range(1).select(parse.extraction(F.col("id").cast("string"), "m").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1
+
+
+def test_fallback_and_display(spark):
+    row = spark.range(1).select(
+        parse.with_fallback(parse.extraction(F.lit("broken"), "a"), parse.extraction(F.lit("{}"), "b"))["extraction_model"],
+        parse.with_fallback(parse.extraction(F.lit("{}"), "a"), parse.extraction(F.lit("{}"), "b"))["extraction_model"],
+        parse.with_fallback(parse.extraction(F.lit("x"), "a"), parse.extraction(F.lit(None), "b")).isNull(),
+        T.display_salary(F.lit(1), F.lit(None).cast("int"), F.lit("EUR"), F.lit("yearly")),
+        T.display_salary(F.lit(None).cast("int"), F.lit(1), F.lit("EUR"), F.lit("yearly")),
+        T.display_skills(F.array(F.lit("a"), F.lit("b"))),
+        T.display_skills(F.array().cast("array<string>")),
+        T.judge_prompt(F.lit("text {profile} " + "x" * 7000), "me", "P {profile} T {posting}"),
+        T.extraction_prompt(F.lit(None), "a, b"),
+    ).first()
+    assert row[:7] == ("b", "a", True, "1-None EUR (yearly)", "\u2014", "a, b", "(none extracted)")
+    assert row[7] == ("P me T " + "text {profile} " + "x" * 7000)[: 7 + 6000] and "a, b" in row[8]
+
+
+def test_company_table(spark):
+    boards = spark.createDataFrame([("t1", "x"), ("t2", "y")], "token string, payload string")
+    assert [r.company for r in src.with_company(boards, spark.createDataFrame([("t1", "One")], "token string, company string")).collect()] == ["One"]
+
+
+def test_workday_falls_back(spark):
+    rows = spark.createDataFrame([("/p", "listed", "u", "C", '{"jobPostingInfo": {}}'), ("/q", "listed", "u", "C", '{"jobPostingInfo": {"title": "own", "externalUrl": "e", "location": {"x": 1}}}')], "external_path string, title string, url string, company string, payload string")
+    assert [(r.url, r.title, r.location) for r in src.workday(rows).collect()] == [("u", "listed", None), ("e", "own", "")]
+
+
+def test_client_errors_cost_their_batch(spark):
+    from jobweave.operators import clients
+
+    def client(prompts):
+        if "bad" in prompts:
+            raise TimeoutError("late")
+        return [x.upper() for x in prompts]
+
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "bad"), (4, "c")], "i int, p string").coalesce(1)
+    got = {r.i: (r.response, r.error) for r in clients.ask(rows, "p", client, batch=1).collect()}
+    assert got == {1: ("A", None), 2: (None, None), 3: (None, "TimeoutError: late"), 4: ("C", None)}
+
+
+def test_jdbc(spark, tmp_path):
+    from jobweave.sources import relational
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    try:
+        relational.write_jdbc(spark.range(100).withColumnRenamed("id", "N"), url, "T", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    except Exception as e:
+        if "ClassNotFound" in str(e) or "No suitable driver" in str(e):
+            pytest.skip("no embedded database here")
+        raise
+    for split in (None, "N"):
+        df = relational.read_jdbc(spark, url, "T", split, 4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+        assert sorted(r.N for r in df.collect()) == list(range(100)) and df.rdd.getNumPartitions() == (4 if split else 1)
