@@ -39,7 +39,8 @@ ENTITY = r"^&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 def _names() -> Column:
     """A constant map: entity names, with and without their semicolons, as the standard library lists them, and numbers 128 to 159, which
     stand for characters of Windows-1252."""
-    known = dict(_entities.html5)
+    # A constant map is searched from its begin, so the usual names come first.
+    known = {k: _entities.html5[k] for k in ("amp;", "nbsp;", "lt;", "gt;", "quot;", "rsquo;", "ndash;")} | _entities.html5
     for k in range(0x80, 0xA0):
         known[f"#{k}"] = bytes([k]).decode("cp1252") if k not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(k)
     keys, values = ("\x01".join(x) for x in (known.keys(), known.values()))
