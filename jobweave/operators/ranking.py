@@ -57,9 +57,20 @@ def class_weights(labels: DataFrame) -> DataFrame:
 
 
 def assign_folds(labels: DataFrame, folds: int = 5, seed: int = 42, key: str = "vacancy_id") -> DataFrame:
-    """Stratified folds: within a label, rows are dealt out in the order of md5('seed:id'). Class sizes differ by one at most."""
-    order = Window.partitionBy("label").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key))
-    return labels.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int"))
+    """Stratified folds: within a label, rows are dealt out in the order of md5('seed:id'). Class sizes differ by one at most.
+
+    A label may hold most rows, so it is ranked in ranges of its md5 values; a range's rows come after those of the ranges before it.
+    Null labels are a class of their own; null ids come first.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    ranged = labels.withColumn("_digest", digest).withColumn("_range", F.coalesce(F.conv(F.substring("_digest", 1, 3), 16, 10).cast("int"), F.lit(-1)))
+    before = Window.partitionBy("_label").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(F.col("label").alias("_label"), F.col("_range").alias("_of")).agg(F.count("*").alias("_n"))
+    # At most 4097 rows a label.
+    starts = counts.select("_label", "_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("label", "_range").orderBy("_digest", key)) - 1
+    dealt = ranged.withColumn("_place", place).join(starts, F.col("label").eqNullSafe(F.col("_label")) & (F.col("_range") == F.col("_of")))
+    return dealt.withColumn("fold", ((F.col("_start") + F.col("_place")) % folds).cast("int")).select(*labels.columns, "fold")
 
 
 def metrics(predicted: DataFrame, by: Sequence[str] = ("fold",)) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 from types import SimpleNamespace
 
 import numpy as np
@@ -97,6 +98,17 @@ def test_folds(spark):
         assert max(sizes) - min(sizes) <= 1
 
 
+def test_folds_agree_with_one_ranking_per_label(spark):
+    rows = [(i, (0, 1, 2, None)[0 if i % 3 else i % 4]) for i in range(3000)] + [(None, 1), (7, 0), (7, 0)]
+    got = ranking.assign_folds(spark.createDataFrame(rows, "vacancy_id int, label int"), folds=7, seed=3).collect()
+    want = []
+    for label in (0, 1, 2, None):
+        ids = sorted((x for x, y in rows if y == label), key=lambda x: ("", -1) if x is None else (hashlib.md5(f"3:{x}".encode()).hexdigest(), x))
+        want += [(x, label, place % 7) for place, x in enumerate(ids)]
+    order = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
+
+
 def solve(x, y, w):
     c, b = np.zeros((3, x.shape[1])), np.zeros(3)
     for _ in range(20000):
