@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from jobweave.llm import langid, line_dedup, minhash, quality, spm, warc
+from test_native import brute_contamination
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, digest string"
 
@@ -133,9 +134,12 @@ def test_cluster():
     assert line_dedup.cluster([a, b, list("abcdefghij"), a]) == [0, 0, 1, 0]
 
 
-def brute_templates(spark, texts):
-    """The template of each masked line: greedy in each part of the leaf, then greedy over the parts' templates."""
-    part = {r.m: r.p for r in spark.createDataFrame([(t, bytearray(line_dedup.xxhash.xxh3_128_digest(t))) for t in texts], "m string, h binary").select("m", F.pmod(F.xxhash64("h"), F.lit(line_dedup.PARTS)).alias("p")).collect()}
+def parts_of(spark, texts):
+    return {r.m: r.p for r in spark.createDataFrame([(t, bytearray(line_dedup.xxhash.xxh3_128_digest(t))) for t in texts], "m string, h binary").select("m", F.pmod(F.xxhash64("h"), F.lit(line_dedup.PARTS)).alias("p")).collect()}
+
+
+def brute_templates(texts, part):
+    """The template of each masked line of a leaf: greedy in each part of the leaf, then greedy over the parts' templates."""
     first, lines = [], {}
     for p in range(line_dedup.PARTS):
         mine = sorted(t for t in texts if part[t] == p)
@@ -163,7 +167,7 @@ def test_template_rule_holds_at_every_size(spark, at):
         left[n] = sum(r.text != "" for r in out)
         if at != "random":
             assert sorted(r.doc_id for r in out if r.text) == [0]
-        assert left[n] == len(set(brute_templates(spark, [t for _, t in rows]).values()))
+        assert left[n] == len(set(brute_templates([t for _, t in rows], parts_of(spark, [t for _, t in rows])).values()))
     assert left[3000] < 3000 * max(left[300], 10) / 300
 
 
@@ -399,6 +403,122 @@ def test_pipeline(spark, tmp_path):
     assert len(pipeline.STAGES) == 5
 
 
+def brute_language(model, text):
+    """The best language's score, one window and one place at a time; 0 without a letter."""
+    if not any(map(str.isalpha, text or "")):
+        return 0.0
+    data = text.encode()
+    total = np.zeros(len(model.langs))
+    for at in range(0, len(data), langid.WINDOW):
+        piece = data[at : at + langid.WINDOW]
+        vectors = model.embed[list(piece.ljust(langid.WINDOW, b"\0"))]
+        wide = max(langid.WIDTHS)
+        best = np.max([vectors[k : k + wide].ravel() @ model.kernel for k in range(langid.WINDOW - wide + 1)], axis=0)
+        z = np.maximum(best + model.bias, 0) @ model.out + model.out_bias
+        total += np.exp(z - z.max()) / np.exp(z - z.max()).sum() * len(piece) / len(data)
+    return total.max()
+
+
+def brute_lines(spark, rows):
+    leaves = {}
+    for i, t in rows:
+        for no, line in enumerate(t.split("\n")):
+            words = line.split()
+            tokens = [line_dedup.ANY if re.search("[0-9]", w) else w for w in words]
+            if len(tokens) >= max(line_dedup.MIN_TOKENS, 2 * tokens.count(line_dedup.ANY)):
+                leaf, key = (len(tokens), *tokens[: line_dedup.DEPTH]), " ".join(tokens)
+            elif words:
+                leaf, key = ("exact", *words), ""
+            else:
+                continue
+            leaves.setdefault(leaf, {}).setdefault(key, []).append((i, no))
+    part, drop = parts_of(spark, [k for keys in leaves.values() for k in keys if k]), set()
+    for keys in leaves.values():
+        of = brute_templates(list(keys), part) if "" not in keys else {"": 0}
+        places = {}
+        for key, found in keys.items():
+            places.setdefault(of[key], []).extend(found)
+        for found in places.values():
+            if len({i for i, _ in found}) > 1:
+                drop |= set(found) - {min(found)}
+    out = []
+    for i, t in rows:
+        stay = [line for no, line in enumerate(t.split("\n")) if (i, no) not in drop]
+        if any(map(str.strip, stay)):
+            out.append((i, "\n".join(stay)))
+    return out
+
+
+def mixed_corpus():
+    """Two languages, lines of templates and exact repeats, near copies with other line ends, benchmark passages, rows without a letter."""
+    rng, rows, langs = random.Random(7), [], []
+    pools = {"aa": ["the", "of", "and", "thing", "with"], "bb": ["der", "und", "nicht", "über", "schon"]}
+    pools = {lang: [a + b for a in pool for b in ["", *pool]] for lang, pool in pools.items()}
+    draw = lambda lang, n: [rng.choice(pools[lang]) for _ in range(n)]
+    wrap = lambda ws, n: "\n".join(" ".join(ws[k : k + n]) for k in range(0, len(ws), n))
+    item = [f"bench{chr(97 + i)}" for i in range(20)]
+    bases = [draw(("aa", "bb")[k % 2], 150) for k in range(4)]
+    for i in range(130):
+        lang = ("aa", "bb")[i % 2]
+        if i < 80:
+            text = wrap(draw(lang, rng.randrange(20, 160)), rng.randrange(5, 10))
+            text += f"\npage {i} of {i * 3} was printed for reader {i}" * (rng.random() < 0.5) + "\n\nLes." * (rng.random() < 0.3)
+            text = text if i % 9 else "Les.\npage 7 of 9 was printed for reader 5"
+        elif i < 116:
+            words = list(bases[i % 4])
+            for _ in range(rng.randrange(0, 6)):
+                words[rng.randrange(len(words))] = rng.choice(pools[lang])
+            text = wrap(words, 6 + i % 11)
+        else:
+            words = draw(lang, (60, 60, 900, 395)[i % 4])
+            words[7:7] = item if i % 4 else item[:12]
+            text = wrap(words, 37 + i)
+        rows.append((i, text))
+        langs.append(lang)
+    odd = [(200, None), (201, ""), (202, "123 !?"), (203, " \n "), (None, "und der nicht schon über und der")]
+    return rows + odd, langs + [None] * len(odd), " ".join(item)
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path, monkeypatch, encoder):
+    pipeline = importlib.import_module("corpus_pipeline")
+    rows, langs, item = mixed_corpus()
+    df = docs(spark, rows, langs).select("doc_id", "text", "lang", "source", "n_chars")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    seen = {}
+
+    def noted(name, stage):
+        def run(spark, documents, sf_dir):
+            seen[name] = sorted(((r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()), key=str)
+            return stage(spark, documents, sf_dir)
+
+        return name, run
+
+    monkeypatch.setattr(pipeline, "STAGES", [noted(*s) for s in pipeline.STAGES])
+    got = sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in pipeline.run(spark, str(tmp_path)).collect()), key=str)
+
+    model = langid.train(df, ~langid.held_out(F.col("doc_id")))
+    last = line_dedup.LAST
+    want = [(last if i is None else i, t) for i, t in rows if brute_language(model, t) >= 0.3]
+    by_stage = {"lines": want}
+    by_stage["near_copies"] = want = brute_lines(spark, want)
+    stay = {i for i, _, _, kept in brute_components(want, 5, 80) if kept}
+    by_stage["benchmark"] = want = [(i, t) for i, t in want if i in stay]
+    dirty = {r[0] for r in brute_contamination(want, [(1, item)]) if r[-1]}
+    by_stage["encode"] = want = [(i, t) for i, t in want if i not in dirty]
+    public = lambda i: None if i == last else i
+    for name, some in by_stage.items():
+        assert seen[name] == sorted(((public(i), t) for i, t in some), key=str), name
+    sizes = [len(seen[name]) for name, _ in pipeline.STAGES]
+    assert sizes == sorted(set(sizes), reverse=True), sizes  # every stage drops some
+    out = []
+    for i, t in want:
+        ids = encoder.library.encode(t, add_bos=True, add_eos=True)
+        decoded = encoder.library.decode(ids)
+        out.append((public(i), len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    assert got == sorted(out, key=str)
+
+
 def test_emptied_documents_leave_the_pipeline(spark):
     pipeline = importlib.import_module("corpus_pipeline")
     line, other = "one line that several documents hold", "and one more of that kind here"
