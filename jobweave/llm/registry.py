@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, licenses, line_dedup, minhash, quality, spm, url_filter, warc
+from . import decontaminate, exact_dedup, langid, licenses, line_dedup, minhash, quality, simhash, spm, url_filter, warc
 from .common import table
 
 
@@ -47,8 +47,12 @@ def op10_sentencepiece(spark, sf_dir):
     return spm.encode_decode(table(spark, sf_dir, "documents"), values=False)
 
 
+def op13_simhash(spark, sf_dir):
+    return simhash.near_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_decontamination, op3_line_dedup, op4_exact_dedup, op5_license_scan, op6_minhash, op7_warc, op8_language, op9_url_filter, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_quality, op2_decontamination, op3_line_dedup, op4_exact_dedup, op5_license_scan, op6_minhash, op7_warc, op8_language, op9_url_filter, op10_sentencepiece, op13_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
