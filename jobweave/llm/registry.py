@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, licenses, line_dedup, minhash, quality, simhash, spm, url_filter, warc
+from pyspark.sql import functions as F
+
+from . import balls, decontaminate, exact_dedup, langid, licenses, line_dedup, minhash, negatives, quality, simhash, spm, url_filter, warc
 from .common import table
 
 
@@ -47,13 +49,23 @@ def op10_sentencepiece(spark, sf_dir):
     return spm.encode_decode(table(spark, sf_dir, "documents"), values=False)
 
 
+def op11_balls(spark, sf_dir):
+    return balls.ball_kmeans(table(spark, sf_dir, "embeddings"))
+
+
+def op12_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), "vec_id % 100 = 0")
+
+
 def op13_simhash(spark, sf_dir):
     return simhash.near_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_decontamination, op3_line_dedup, op4_exact_dedup, op5_license_scan, op6_minhash, op7_warc, op8_language, op9_url_filter, op10_sentencepiece, op13_simhash)}
+    return {f.__name__: f for f in (op1_quality, op2_decontamination, op3_line_dedup, op4_exact_dedup, op5_license_scan, op6_minhash, op7_warc, op8_language, op9_url_filter, op10_sentencepiece, op11_balls, op12_negatives, op13_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_license_scan": licenses.ORACLE, "op7_warc": warc.ORACLE, "op9_url_filter": url_filter.ORACLE}
+    return {"op11_balls": balls.oracle(), "op12_negatives": negatives.ORACLE, "op2_decontamination": decontaminate.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_license_scan": licenses.ORACLE, "op7_warc": warc.ORACLE, "op9_url_filter": url_filter.ORACLE}
