@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import PYTHON_SPACE, pattern, strip
+from .markup import PYTHON_SPACE
+from .text import pattern, strip
 
 # Patterns, names and codes that decide which postings are in scope.
 RELEVANT = r"data[\s-]scien|machine[\s-]learning|\bai\b|artificial[\s-]intelligence|\bml\b|data[\s-]engineer|software[\s-]engineer|software[\s-]develop|\bdeveloper\b|backend|back[\s-]end|full[\s-]stack|fullstack|\bprogrammer\b|devops"
@@ -32,8 +33,17 @@ def sure(x: Column) -> Column:
     return F.coalesce(x, F.lit(False))
 
 
-def found(x: Column, regex: str) -> Column:
-    return sure(x.rlike(pattern(regex)))
+def guarded(regex: str, first: str) -> str:
+    """The pattern, tried only where one of these characters stands: all its matches begin with one."""
+    return pattern(f"(?=[{first}])(?:{regex})")
+
+
+def found(x: Column, regex: str, first: str = "") -> Column:
+    return sure(x.rlike(guarded(regex, first) if first else pattern(regex)))
+
+
+def junior_role(x: Column) -> Column:
+    return found(x, JUNIOR, "ijgen")
 
 
 def relevant_title(x: Column) -> Column:
@@ -45,7 +55,7 @@ def excluded_role(x: Column) -> Column:
 
 
 def senior_role(x: Column) -> Column:
-    return found(x, SENIOR) & ~found(x, JUNIOR)
+    return found(x, SENIOR, "splmdvch") & ~junior_role(x)
 
 
 def candidate_title(x: Column) -> Column:
@@ -54,10 +64,10 @@ def candidate_title(x: Column) -> Column:
 
 def too_much_experience(x: Column, most: int = MAX_YEARS) -> Column:
     """Some 'N years' with N (the low end of a range) over the most, and no junior word anywhere. 'ago' and 'old' don't count."""
-    digits = F.exists(F.regexp_extract_all(x, F.lit(pattern(YEARS + NOT_PAST)), F.lit(1)), lambda n: n.cast("int") > most)
-    words = F.exists(F.regexp_extract_all(x, F.lit(pattern(word_years() + NOT_PAST)), F.lit(1)), lambda n: F.array_position(F.array(*map(F.lit, NUMBER_WORDS)), F.lower(n)) > most)
+    digits = F.exists(F.regexp_extract_all(x, F.lit(guarded(YEARS + NOT_PAST, r"\d")), F.lit(1)), lambda n: n.cast("int") > most)
+    words = F.exists(F.regexp_extract_all(x, F.lit(guarded(word_years() + NOT_PAST, "otfsen")), F.lit(1)), lambda n: F.array_position(F.array(*map(F.lit, NUMBER_WORDS)), F.lower(n)) > most)
     # Most texts name no years: a plain search spares them the patterns.
-    return sure(F.when(F.contains(F.lower(x), F.lit("year")), (digits | words) & ~found(x, JUNIOR)))
+    return sure(F.when(F.contains(F.lower(x), F.lit("year")), (digits | words) & ~junior_role(x)))
 
 
 def country_in_region(x: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html.entities as _entities
 import re
 
 import pandas as pd
@@ -10,22 +9,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from .markup import JAVA_SPACE, html_texts, html_to_text, json_scripts, unescape  # noqa: F401
+
 #: Word boundary with an ASCII idea of words, whatever the JDK's is.
 BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
-TAG = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->|</?[a-z][^>]*>|<![^>]*>"
+
+
 def pattern(regex: str) -> str:
     """A case-insensitive pattern whose \\b is ASCII."""
     return "(?i)" + regex.replace(r"\b", BOUNDARY)
 
 
-#: White space of Java's strip (no-break spaces are none) and of Python's.
-JAVA_SPACE = r"[\t-\r\x1c- \u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000]"
-PYTHON_SPACE = r"[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-
-
 def strip(x: Column, space: str = JAVA_SPACE) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(x, f"^{space}+|{space}+$", "")
+    return F.btrim(x, F.lit(space))
 
 
 def blank_to_null(x: Column) -> Column:
@@ -33,63 +30,9 @@ def blank_to_null(x: Column) -> Column:
     return F.when(strip(x) != "", x)
 
 
-ENTITY = r"^&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
-
-
-def _names() -> Column:
-    """A constant map: entity names, with and without their semicolons, as the standard library lists them, and numbers 128 to 159, which
-    stand for characters of Windows-1252."""
-    # A constant map is searched from its begin, so the usual names come first.
-    known = {k: _entities.html5[k] for k in ("amp;", "nbsp;", "lt;", "gt;", "quot;", "rsquo;", "ndash;")} | _entities.html5
-    for k in range(0x80, 0xA0):
-        known[f"#{k}"] = bytes([k]).decode("cp1252") if k not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(k)
-    keys, values = ("\x01".join(x) for x in (known.keys(), known.values()))
-    return F.map_from_arrays(F.split(F.lit(keys), "\x01"), F.split(F.lit(values), "\x01"))
-
-
-def _bind(value: Column, f) -> Column:
-    """f of a value that is computed once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
-def _decoded(name: Column) -> Column:
-    """What stands for an entity: its text without the &, with or without a semicolon."""
-    names = _names()
-    bare = F.regexp_replace(name, ";$", "")
-    hexadecimal = F.lower(F.substring(bare, 2, 1)) == "x"
-    digits = F.regexp_replace(bare, "^#[xX]?0*", "")
-    number = F.when(F.length(digits) > 8, F.lit(1 << 40)).when(hexadecimal, F.conv(digits, 16, 10).cast("long")).otherwise(digits.try_cast("long"))
-
-    def character(n: Column) -> Column:
-        n = F.coalesce(n, F.lit(0))
-        bad = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
-        none = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n % 0x10000 >= 0xFFFE)
-        text = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-        return F.when(n.between(0x80, 0x9F), F.try_element_at(names, F.concat(F.lit("#"), n.cast("string")))).when(bad, F.lit("\ufffd")).when(none, F.lit("")).otherwise(text)
-
-    # The longest beginning that is a name without a semicolon; what is behind it stays.
-    def start(n: Column) -> Column:
-        at = F.filter(F.sequence(F.greatest(F.length(n) - 1, F.lit(2)), F.lit(2), F.lit(-1)), lambda k: F.try_element_at(names, F.substring(n, F.lit(1), k)).isNotNull())
-        return _bind(F.get(at, F.lit(0)), lambda k: F.when(k.isNull(), F.concat(F.lit("&"), n)).otherwise(F.concat(F.try_element_at(names, F.substring(n, F.lit(1), k)), F.substring(n, k + 1, F.length(n)))))
-
-    return F.when(name.startswith("#"), _bind(number, character)).otherwise(F.coalesce(F.try_element_at(names, name), _bind(name, start)))
-
-
-def unescape(x: Column) -> Column:
-    """Decodes every HTML5 entity and character reference, once."""
-    part = lambda p: _bind(F.regexp_extract(p, ENTITY, 0), lambda m: F.when(m == "", p).otherwise(F.concat(_decoded(F.substring(m, F.lit(2), F.length(m))), F.substring(p, F.length(m) + 1, F.length(p)))))
-    return F.when(F.contains(x, F.lit("&")), F.array_join(F.transform(F.split(x, "(?=&)"), part), "")).otherwise(x)
-
-
-def html_to_text(x: Column) -> Column:
-    """Text nodes in document order, joined by line feeds, stripped; white space inside is kept."""
-    parts = F.filter(F.split(x, TAG), lambda p: F.length(p) > 0)
-    return strip(unescape(F.array_join(parts, "\n")))
-
-
 def json_ld(x: Column, kind: str = "JobPosting") -> Column:
     """The first JSON-LD block of that @type, as JSON text, or null; blocks that don't parse are passed over."""
-    blocks = F.regexp_extract_all(x, F.lit(r"(?is)<script[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script\s*>"), F.lit(1))
+    blocks = json_scripts(x)
     return F.try_element_at(F.filter(blocks, lambda b: F.coalesce(F.get_json_object(b, "$['@type']") == kind, F.lit(False))), F.lit(1))
 
 
@@ -152,7 +95,8 @@ def merge_descriptions(parts: Column) -> Column:
 
 def list_sections(lists: Column) -> Column:
     """array<struct<text, content>> as 'heading\\ntext' sections; blank contents are left out, blank headings too."""
-    cut = F.transform(lists, lambda x: F.struct(strip(F.coalesce(x["text"], F.lit(""))).alias("head"), html_to_text(F.coalesce(x["content"], F.lit(""))).alias("body")))
+    bodies = html_texts(F.transform(lists, lambda x: F.coalesce(x["content"], F.lit(""))))
+    cut = F.zip_with(lists, bodies, lambda x, body: F.struct(strip(F.coalesce(x["text"], F.lit(""))).alias("head"), body.alias("body")))
     return F.array_join(F.transform(F.filter(cut, lambda x: x["body"] != ""), lambda x: F.when(x["head"] == "", x["body"]).otherwise(F.concat(x["head"], F.lit("\n"), x["body"]))), "\n\n")
 
 

@@ -133,9 +133,13 @@ def non_english_filter(spark, d):
 ORACLE_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", chr(160)), ("&copy;", chr(169)), ("&middot;", chr(183)), ("&rsquo;", chr(8217)), ("&#8211;", chr(8211)), ("&eacute;", chr(233)), ("&#x20AC;", chr(8364)))
 
 
+#: The oracle's own idea of markup, enough for the tables.
+ORACLE_MARKUP = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[/!a-z](?:\"[^\"]*\"|[^\">])*>"
+
+
 def _sql_text(c: str) -> str:
     """HTML to text, for DuckDB."""
-    out = rf"array_to_string(list_filter(regexp_split_to_array({c}, '{T.TAG}'), lambda x: len(x) > 0), chr(10))"
+    out = f"array_to_string(list_filter(regexp_split_to_array({c}, '{ORACLE_MARKUP}'), lambda x: len(x) > 0), chr(10))"
     for name, char in ORACLE_ENTITIES:
         out = f"replace({out}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
     out = f"regexp_replace({out}, '&amp;?', '&', 'g')"
@@ -147,6 +151,17 @@ def html_to_text(spark, d):
     return _table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("content"))
 
 
+@query("SELECT page_id, md5(url) || chr(10) || 'tail' || chr(10) || '<b>' || md5(html) || '&</b>' || chr(10) || 'end' || chr(10) || 'b> ' || chr(10) || 'fin' || chr(10) || '& <3' AS content FROM pages WHERE url IS NOT NULL AND html IS NOT NULL")
+def html_tokens(spark, d):
+    """Quoted tag ends, comments in which tags stand, elements whose contents are no markup; the result is known without a parser."""
+    url = F.replace(F.replace("url", F.lit('"'), F.lit("%22")), F.lit("'"), F.lit("%27"))
+    page = F.concat(
+        F.lit('<p title="'), url, F.lit(" > x\" data-a='<b>' c = >"), F.md5("url"), F.lit("</p><!-- <i>no</i> -- > --><!-->tail<textarea rows='>'><b>"), F.md5("html"),
+        F.lit("&amp;</b></TextArea\n><script>if (1<2) '</b>';</script ><STYLE>x</style>end<br/ class=a\"b>b> <?php no ?></ no>fin</>&amp; <3 <a href='"), url,
+    )
+    return _table(spark, d, "pages").where("url IS NOT NULL AND html IS NOT NULL").select("page_id", T.html_to_text(page).alias("content"))
+
+
 _ENTITIES_ROW = "'caf&eacute; &rsquo;' || lang || '&rsquo; &#8211; &#x20AC;50k &lt;b&gt; R&amp;amp;D'"
 
 
@@ -164,7 +179,7 @@ def redacted_urls(spark, d):
 def _magnet_pages(spark, d) -> DataFrame:
     p = synth.postings(spark, d)
     job = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), "title", F.col("html").alias("description"), F.struct(F.col("origin").alias("name")).alias("hiringOrganization"), F.struct(F.struct(F.col("location").alias("addressLocality"), F.trim("country_code").alias("addressCountry")).alias("address")).alias("jobLocation")))
-    page = F.concat(F.lit('<html><script type="application/ld+json">{broken</script><script type="application/ld+json">{"@type": "Other"}</script><script type="application/ld+json">'), F.replace(job, F.lit("</"), F.lit("<\\/")), F.lit("</script></html>"))
+    page = F.concat(F.lit('<html><script id="a > b" type=application/ld+json>{broken</script><!-- <script type="application/ld+json">{"@type": "JobPosting"}</script> --><script type="application/ld+json">{"@type": "Other"}</script><script data-x="</script>" type = \' Application/LD+JSON\'>'), F.replace(job, F.lit("</"), F.lit("<\\/")), F.lit("</script></html>"))
     return p.select("url", page.alias("payload"))
 
 

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from jobweave.functions import parse
+from jobweave.functions import markup, parse
 from jobweave.functions import text as T
 from jobweave.sources import postings as src
 
@@ -32,7 +32,7 @@ def test_unescape_equals_the_standard_library(spark):
 def test_strips(spark):
     odd = "\x1c\x1f\x85\u00a0\u2007\u202f\u2003\u3000 \t\n"
     for k in odd:
-        assert one(spark, f"{k}x{k}", lambda c: T.strip(c, T.PYTHON_SPACE)) == "x"
+        assert one(spark, f"{k}x{k}", lambda c: T.strip(c, markup.PYTHON_SPACE)) == "x"
         assert (one(spark, f"{k}x", T.strip) == "x") == (k not in "\x85\u00a0\u2007\u202f")
 
 
