@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 from itertools import islice
 
@@ -35,7 +36,9 @@ _byte = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 _word = _rng.integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
 _white = np.zeros(256, bool)
 _white[[9, 10, 11, 12, 13, 32]] = True
-_powers = np.concatenate([np.ones(1, np.uint64), np.full(2 * STRETCH, 0x9E3779B97F4A7C15, np.uint64)]).cumprod(dtype=np.uint64)
+BASE = 0x9E3779B97F4A7C15
+_powers = np.concatenate([np.ones(1, np.uint64), np.full(2 * STRETCH, BASE, np.uint64)]).cumprod(dtype=np.uint64)
+_SPACE = re.compile(rb"[\t-\r ]")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -44,31 +47,45 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _long_word(word: memoryview) -> np.ndarray:
+    """The hash of a word that is longer than a stretch: the same polynomial, block after block."""
+    total = 0
+    for k in range(0, len(word), STRETCH):
+        value = _byte[np.frombuffer(word[k : k + STRETCH], np.uint8)]
+        total += int((value * _powers[: len(value)]).sum(dtype=np.uint64)) * pow(BASE, k, 1 << 64)
+    return _mix(np.array([total % (1 << 64)], np.uint64))
+
+
+def _words_of(part: bytes) -> np.ndarray:
+    b = np.frombuffer(part, np.uint8)
+    white = _white[b]
+    starts = np.flatnonzero(~white & np.concatenate([[True], white[:-1]]))
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    b, white = b[starts[0] :], white[starts[0] :]
+    starts = starts - starts[0]
+    inside = np.arange(len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b))))
+    inside[white] = 0
+    value = _byte[b] * _powers[inside]
+    value[white] = 0
+    return _mix(np.add.reduceat(value, starts))
+
+
 def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the words of a text, A-Z lower-cased; words are what white space (space, tab to return) leaves."""
+    """64-bit hashes of the words of a text, A-Z lower-cased; words are what white space (space, tab to return) leaves. A word has
+    the same hash wherever it stands, and however long it is."""
     data, out, at = text.encode().lower(), [], 0
     while at < len(data):
         end = len(data)
-        if end - at > STRETCH:
-            near = np.flatnonzero(_white[np.frombuffer(data, np.uint8, min(STRETCH, end - at - STRETCH), at + STRETCH)])
-            if len(near):
-                end = at + STRETCH + int(near[0]) + 1
-        part = data[at:end]
-        at = end
-        if len(part) > len(_powers):  # a word of over a MB
-            out.append(np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in part.split()], np.uint64))
-            continue
-        b = np.frombuffer(part, np.uint8)
-        white = _white[b]
-        starts = np.flatnonzero(~white & np.concatenate([[True], white[:-1]]))
-        if not len(starts):
-            continue
-        b, white = b[starts[0] :], white[starts[0] :]
-        starts = starts - starts[0]
-        inside = np.arange(len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b))))
-        value = _byte[b] * _powers[inside]
-        value[white] = 0
-        out.append(_mix(np.add.reduceat(value, starts)))
+        if end - at > STRETCH and (space := _SPACE.search(data, at + STRETCH)):
+            end = space.start()
+        if end - at > 2 * STRETCH:
+            # The word around at + STRETCH is a long one, and the last up to end.
+            cut = max(at - 1, *(data.rfind(bytes([c]), at, at + STRETCH) for c in np.flatnonzero(_white))) + 1
+            out += [_words_of(data[at:cut]), _long_word(memoryview(data)[cut:end])]
+        else:
+            out.append(_words_of(data[at:end]))
+        at = end + 1
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 

@@ -99,6 +99,35 @@ def test_word_hashes_cross_stretches(monkeypatch):
     assert (minhash.word_hashes(text) == whole).all() and len(whole) == len(text.split())
 
 
+def plain_word_hash(word):
+    total = 0
+    for c in reversed(word.encode().lower()):
+        total = (total * minhash.BASE + int(minhash._byte[c])) % (1 << 64)
+    return int(minhash._mix(np.array([total], np.uint64))[0])
+
+
+@pytest.mark.parametrize("stretch", [1 << 20, 1 << 10, 64])
+def test_a_word_has_one_hash(monkeypatch, stretch):
+    monkeypatch.setattr(minhash, "STRETCH", stretch)
+    rng = random.Random(4)
+    for _ in range(20):
+        lengths = [rng.choice([1, 2, 5, stretch // 2, stretch - 1, stretch, stretch + 1, 2 * stretch, 2 * stretch + 1, 5 * stretch]) if stretch < 1 << 20 else rng.randrange(1, 9) for _ in range(rng.randrange(1, 30))]
+        words = [("Wé" + str(rng.random())) * n for n in lengths]
+        words = [w[:n] for w, n in zip(words, lengths, strict=True)]
+        text = rng.choice(["", " ", "\n"]) + "".join(w + rng.choice([" ", "\t", "  \n ", " " * min(3 * stretch, 9999)]) for w in words)
+        for t in (text, text.rstrip()):
+            assert minhash.word_hashes(t).tolist() == [plain_word_hash(w) for w in words]
+
+
+def test_minhash_beside_giant_words(spark):
+    words = [f"w{i}" for i in range(1000)]
+    giant = ["x" * n for n in (1_100_000, 2_200_000, 5_000_000)]
+    rows = [(1, " ".join(words)), *((2 + k, " ".join(words[: 300 * k] + [g] + words[300 * k :])) for k, g in enumerate(giant)), (9, " ".join([giant[1], *["s t"] * 400_000, *words, giant[1]]))]
+    got = sorted(tuple(r)[:4] for r in minhash.near_duplicates(docs(spark, rows), words=3, percent=85).collect())
+    assert got == brute_components(rows, 3, 85)
+    assert {r[2] for r in got[:4]} == {1}
+
+
 def test_one_document_of_each_group_stays(spark):
     a, b = " ".join(f"word{i}" for i in range(80)), " ".join(f"term{i}" for i in range(80))
     rows = [(3, a), (3, a + " more"), (5, a + " extra"), (None, b), (None, b + " more"), (None, b), (None, "alone here"), (None, "another one"), (7, None), (7, ""), (8, "x")]
