@@ -115,14 +115,3 @@ def excluded_url(x: Column) -> Column:
 
 def has_text(x: Column) -> Column:
     return sure(x.isNotNull() & (x != ""))
-
-
-def reject_reason(source: Column, title: Column, country: Column, location: Column, body: Column, level: Column | None = None, languages: Column | None = None) -> Column:
-    """The first rule that a posting fails, cheap ones first, or null: title, level, region, language, senior, experience."""
-    out = F.when(~candidate_title(title), "title")
-    if level is not None:
-        out = out.when((source == "smartrecruiters") & excluded_level(level), "level")
-    out = out.when(~in_region(source, country, location), "region")
-    if languages is not None:
-        out = out.when((source == "magnetme") & requires_dutch(languages), "language")
-    return out.when(senior_role(body), "senior").when(too_much_experience(body), "experience")

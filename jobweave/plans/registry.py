@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import parse, rules
 from ..functions import text as T
-from ..operators import clients, model, ranking, state
+from ..operators import clients, model, ranking, scrape, state
+from ..operators.store import POSTINGS, SEEN, Store, merge_postings, merge_seen
+from ..session import scratch
 from ..sources import postings as src
-from . import synth
+from . import boards, synth
 from .synth import LABEL_SQL, WITH
 
 QUERIES: dict = {}
@@ -69,7 +71,15 @@ _NAME = f"lower(trim(country_name)) IN ({_quoted(rules.COUNTRIES)})"
 _CODE = f"lower(trim(country_code)) IN ({_quoted(rules.COUNTRY_CODES)})"
 _PLACE = f"regexp_matches(lower(location), '{'|'.join(rules.COUNTRIES)}')"
 _REGION = f"CASE WHEN source IN ('workday', 'ashby') THEN {_NAME} OR {_PLACE} WHEN source = 'greenhouse' THEN {_PLACE} WHEN source = 'magnetme' THEN {_CODE} ELSE {_CODE} OR {_PLACE} END"
-_REASON = f"CASE WHEN NOT {_title('title')} THEN 'title' WHEN source = 'smartrecruiters' AND level IN ({_quoted(rules.EXCLUDED_LEVELS)}) THEN 'level' WHEN NOT ({_REGION}) THEN 'region' WHEN {_senior('body')} THEN 'senior' WHEN {_years('body')} THEN 'experience' END"
+#: What each board's rules see, and their order; see boards.py for the payloads.
+_SEES = "CASE WHEN source IN ('workday', 'greenhouse') THEN raw WHEN source = 'ashby' THEN body ELSE CASE WHEN source = 'lever' THEN body || chr(10) ELSE '' END || 'Build ' || chr(10) || title || chr(10) || ' & test.' || chr(10) || phrase END"
+_BOARDS = f"{WITH}, b AS (SELECT *, {_SEES} AS sees FROM (SELECT *, {', '.join(boards.COLUMNS)} FROM p))"
+_ENDS = " OR ".join(f"ends_with(slug, '{u}')" for u in rules.EXCLUDED_URLS)
+_DUTCH = "list_has_any(list_transform(string_split(language_requirement, ','), lambda t: lower(trim(t))), ['dutch'])"
+_LISTED = f"CASE WHEN source = 'magnetme' THEN CASE WHEN NOT {_title('slug')} THEN 'title' WHEN {_ENDS} THEN 'url' END WHEN NOT {_title('title')} THEN 'title' WHEN source = 'smartrecruiters' AND level IN ({_quoted(rules.EXCLUDED_LEVELS)}) THEN 'level' END"
+_REASON = f"CASE WHEN source = 'magnetme' AND vacancy_id % 11 = 0 THEN 'no_json_ld' WHEN NOT ({_REGION}) THEN 'region' WHEN source = 'magnetme' AND {_DUTCH} THEN 'language' WHEN {_senior('sees')} THEN 'senior' WHEN {_years('sees')} THEN 'experience' WHEN source = 'magnetme' AND vacancy_id % 13 = 0 THEN 'no_title' ELSE 'accepted' END"
+_MARKED = "source IN ('workday', 'smartrecruiters', 'magnetme')"
+_DECIDED = f"{_BOARDS}, r AS (SELECT source, judged, {_MARKED} AS marked, {_LISTED} AS listed, {_REASON} AS reason FROM b)"
 
 
 def _country() -> Column:
@@ -103,10 +113,28 @@ def region_by_source(spark, d):
     return p.groupBy("source", rules.in_region(F.col("source"), _country(), F.col("location")).alias("in_region")).agg(F.count("*").alias("n"))
 
 
-@query(f"{WITH} SELECT source, coalesce({_REASON}, 'accepted') AS reason, count(*) AS n FROM p GROUP BY ALL")
+@query(f"{_DECIDED} SELECT source, coalesce(listed, reason) AS reason, count(*) AS n FROM r WHERE NOT (marked AND judged AND listed IS NULL) GROUP BY ALL")
 def reject_reason_counts(spark, d):
-    reason = rules.reject_reason(F.col("source"), F.col("title"), _country(), F.col("location"), F.col("body"), F.col("level"))
-    return synth.postings(spark, d).groupBy("source", F.coalesce(reason, F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+    """The first rule that each posting of each board fails, as its payload has it."""
+    return boards.decided(boards.landed(spark, d)).groupBy("source", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"{_DECIDED} SELECT source, coalesce(listed, reason) AS reason, count(*) AS n, count(*) FILTER (listed IS NULL AND reason = 'accepted') AS n_stored, count(*) FILTER (marked AND listed IS NULL) AS n_marked, "
+    "count(*) FILTER (marked AND listed IS NULL AND reason = 'accepted') AS n_marked_accepted FROM r WHERE NOT (marked AND judged AND listed IS NULL) GROUP BY ALL"
+)
+def scrape_pass(spark, d):
+    """One pass over all boards: judged once, accepted postings and seen marks stored in one commit."""
+    kept = Store(spark, scratch(spark, "store"), {"postings": POSTINGS, "seen": SEEN})
+    now = F.lit("2024-01-01").cast("timestamp")
+    landed = boards.landed(spark, d)
+    before = boards.seen(landed).select("source", "external_id", F.lit(False).alias("accepted"), F.lit("2023-01-01").cast("timestamp").alias("seen_at"), F.lit(0).alias("ordinal"))
+    kept.merge({"seen": (before, merge_seen())})
+    decided = scrape.run_pass(kept, boards.decided(landed), now)
+    stored = kept.read("postings").select("source", "url", F.lit(1).alias("stored"))
+    marked = kept.read("seen").where(F.col("seen_at") == now).select("source", "external_id", "accepted")
+    rows = decided.join(stored, ["source", "url"], "left").join(marked, ["source", "external_id"], "left")
+    return rows.groupBy("source", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"), F.count("stored").alias("n_stored"), F.count("accepted").alias("n_marked"), F.count_if("accepted").alias("n_marked_accepted"))
 
 
 @query(f"{WITH} SELECT vacancy_id, level FROM p WHERE level NOT IN ({_quoted(rules.EXCLUDED_LEVELS)})")
@@ -277,6 +305,21 @@ def upsert_latest(spark, d):
     return twice.select("source", "url", *state.POSTING_DATA, known.alias("known_id"), "scraped_at", "first_seen", "last_seen")
 
 
+@query(
+    f"SELECT event_type AS source, cast(user_id AS varchar) AS url, {_LAST} AS title, {_LAST} || ' Inc' AS company, 'at ' || {_LAST} AS location, 'text ' || {_LAST} AS raw_text, "
+    "TIMESTAMP '2024-01-01' AS scraped_at, CASE WHEN bool_or(event_id % 2 = 0) THEN TIMESTAMP '2000-01-01' ELSE TIMESTAMP '2024-01-01' END AS first_seen, TIMESTAMP '2024-01-01' AS last_seen FROM events GROUP BY event_type, user_id"
+)
+def bucketed_upsert(spark, d):
+    """upsert_latest in a store of buckets: the even events in one commit, all of them in another."""
+    n = F.col("event_id").cast("string")
+    e = _table(spark, d, "events").select(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("url"), n.alias("title"), F.concat(n, F.lit(" Inc")).alias("company"), F.concat(F.lit("at "), n).alias("location"), F.concat(F.lit("text "), n).alias("raw_text"), "ts", "event_id")
+    kept = Store(spark, scratch(spark, "store"), {"postings": POSTINGS})
+    for rows, day in ((e.where("event_id % 2 = 0"), "2000-01-01"), (e, "2024-01-01")):
+        kept.merge({"postings": (rows, merge_postings(F.lit(day).cast("timestamp"), ["ts", "event_id"]))})
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("scraped_at", "first_seen", "last_seen")]
+    return kept.read("postings").select("source", "url", *state.POSTING_DATA, *times)
+
+
 @query("SELECT event_type AS source, cast(user_id AS varchar) AS external_id, arg_min(event_id, struct_pack(a := event_id % 2, b := ts, c := event_id)) AS evaluation FROM events GROUP BY event_type, user_id")
 def seen_insert_ignore(spark, d):
     e = _table(spark, d, "events").select(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("external_id"), F.col("event_id").alias("evaluation"), F.struct("ts", "event_id").alias("ordinal"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +26,26 @@ def local_session(cores: str | int = "*", app: str = "jobweave") -> SparkSession
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_own: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the folder of spark.checkpoint.dir, deleted when the driver ends. Only where that is unset and driver and
+    tasks are one process (tests), in a folder of our own: on a cluster, nobody else would see it."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="jobweave-"))
+    path = f"{base.rstrip('/')}/jobweave/{tag}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -6,6 +6,7 @@ a small table of companies (token, company). Every adapter gives POSTING's colum
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,11 +24,11 @@ LEVER = "ARRAY<STRUCT<text STRING, hostedUrl STRING, country STRING, categories
 SMART_LIST = "totalFound INT, content ARRAY<STRUCT<name STRING, id STRING, experienceLevel STRUCT<id STRING, label STRING>>>"
 
 
-def _posting(df: DataFrame, source: str, **columns: Column) -> DataFrame:
-    """body: the text that the rules see (raw HTML for some boards)."""
+def _posting(df: DataFrame, source: str, keep: Sequence[str] = (), **columns: Column) -> DataFrame:
+    """body: the text that the rules see (raw HTML for some boards). keep: columns of df that stay beside the posting's."""
     values = {"source": F.lit(source), "external_id": F.lit(None).cast("string"), "country": F.lit(None).cast("string"), **columns}
     values.setdefault("body", values["raw_text"])
-    return df.select(*(values[c].alias(c) for c in POSTING))
+    return df.select(*(values[c].alias(c) for c in POSTING), *keep)
 
 
 def with_company(payloads: DataFrame, companies: DataFrame, key: str = "token") -> DataFrame:
@@ -108,19 +109,20 @@ def sitemap(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(F.from_xml(F.col("payload"), "url ARRAY<STRUCT<loc STRING>>")["url"]).alias("u")).where("u.loc IS NOT NULL").select(T.strip(F.col("u.loc")).alias("url"))
 
 
-def magnetme(pages: DataFrame) -> DataFrame:
-    """pages: url and html in payload. Pages without a JSON-LD posting, or whose posting has no title, are left out."""
-    rows = pages.select("url", T.json_ld(F.col("payload")).alias("j")).where("j IS NOT NULL")
-    # A title that is an explicit null stands as the text "null".
-    titled = rows.withColumn("keys", F.json_object_keys("j")).where(F.array_contains("keys", "title"))
+def magnetme_pages(pages: DataFrame, *more: str) -> DataFrame:
+    """pages: url and html in payload. Every page has a row; `problem` says what it lacks: no_json_ld or no_title. more: columns of pages
+    that stay."""
     j = F.col("j")
+    # A title that is an explicit null stands as the text "null".
+    rows = pages.select("url", *more, T.json_ld(F.col("payload")).alias("j")).withColumn("titled", F.array_contains(F.json_object_keys("j"), "title"))
     address = "$.jobLocation.address."
     return _posting(
-        titled,
+        rows.withColumn("problem", F.when(j.isNull(), "no_json_ld").when(~F.col("titled"), "no_title")),
         "magnetme",
+        keep=["problem", *more],
         external_id=F.col("url"),
         url=F.col("url"),
-        title=path(j, "$.title", "null"),
+        title=F.when(F.col("titled"), path(j, "$.title", "null")),
         company=path(j, "$.hiringOrganization.name"),
         location=T.join_location(path(j, address + "addressLocality"), path(j, address + "addressCountry")),
         country=path(j, address + "addressCountry"),
@@ -128,6 +130,11 @@ def magnetme(pages: DataFrame) -> DataFrame:
     )
 
 
+def magnetme(pages: DataFrame) -> DataFrame:
+    """Like magnetme_pages, without the pages that have no JSON-LD posting, or whose posting has no title."""
+    return magnetme_pages(pages).where("problem IS NULL").drop("problem")
+
+
 def all_postings(*sources: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, sources)
 

@@ -32,26 +32,6 @@ def test_regions(spark):
     assert values(spark, rules.text_in_region, ["Berlin, Germany", "Malta, NY", "San Francisco, CA", "Krakow", "", None]) == [True, True, False, False, False, False]
 
 
-@pytest.mark.parametrize(
-    ("row", "reason"),
-    [
-        (("lever", "Data Engineer", "DE", "x", "fine", "a", ["English"]), None),
-        (("lever", "Chef", "DE", "x", "fine", "a", ["English"]), "title"),
-        (("smartrecruiters", "Data Engineer", "DE", "x", "fine", "mid_senior_level", []), "level"),
-        (("lever", "Data Engineer", "us", "Texas", "fine", "a", []), "region"),
-        (("greenhouse", "Data Engineer", "DE", "Texas", "fine", "a", []), "region"),
-        (("magnetme", "Data Engineer", None, "Texas", "fine", "a", []), None),
-        (("magnetme", "Data Engineer", " ", "Berlin, Germany", "fine", "a", []), "region"),
-        (("magnetme", "Data Engineer", "NL", "x", "fine", "a", ["English", " dutch"]), "language"),
-        (("workday", "Data Engineer", "Germany", "x", '<p class="lead">', "a", []), "senior"),
-        (("ashby", "Data Engineer", "Germany", "x", "3-5 years", "a", []), "experience"),
-    ],
-)
-def test_each_rule_alone(spark, row, reason):
-    df = spark.createDataFrame([row], "source string, title string, country string, location string, body string, level string, languages array<string>")
-    assert df.select(rules.reject_reason(*(F.col(c) for c in df.columns))).first()[0] == reason
-
-
 def test_other_language_is_exact(spark):
     assert values(spark, rules.requires_other_language, ["English, Dutch", " german ", "English or German", "German (B2)", "", None]) == [True, True, False, False, False, False]
     assert values(spark, rules.excluded_url, ["https://x" + rules.EXCLUDED_URLS[0], "https://x", None]) == [True, False, False]
