@@ -13,8 +13,9 @@ from ..functions import parse, rules
 from ..functions import text as T
 from ..operators import clients, model, ranking, scrape, state
 from ..operators.store import POSTINGS, SEEN, Store, merge_postings, merge_seen
-from ..session import scratch
+from ..session import scratch, setting
 from ..sources import postings as src
+from ..streaming import incremental
 from . import boards, synth
 from .synth import LABEL_SQL, WITH
 
@@ -328,6 +329,22 @@ def seen_insert_ignore(spark, d):
     return state.mark_seen(seen, e)
 
 
+@query(
+    "SELECT event_type AS source, cast(user_id AS varchar) AS external_id, arg_min(event_id % 3 = 0, struct_pack(a := ts, b := event_id % 3 = 0)) AS accepted, min(ts) AS seen_at "
+    "FROM events WHERE user_id % 2 = 1 AND ts IS NOT NULL GROUP BY event_type, user_id"
+)
+def seen_stream(spark, d):
+    """First evaluations as a stream that never forgets; keys of even users were evaluated before the stream began."""
+    e = lambda df: df.select(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("external_id"), (F.col("event_id") % 3 == 0).alias("accepted"), F.col("ts").cast("timestamp").alias("seen_at"))
+    table = _table(spark, d, "events")
+    before = state.first_wins(e(table.where("user_id % 2 = 0")), ["source", "external_id"], ["seen_at", "accepted"])
+    out, provider = scratch(spark, "seen"), "spark.sql.streaming.stateStore.providerClass"
+    with setting(spark, provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
+        fresh = incremental.first_evaluations(e(spark.readStream.schema(table.schema).parquet(f"{d}/events.parquet")), before)
+        fresh.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(incremental.MARK).parquet(f"{out}/rows").withColumn("seen_at", F.col("seen_at").cast("timestamp_ntz"))
+
+
 @query("SELECT user_id AS vacancy_id, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS extraction FROM events GROUP BY user_id")
 def upsert_extraction(spark, d):
     e = _table(spark, d, "events").select(F.col("user_id").alias("vacancy_id"), F.col("event_id").alias("extraction"), "ts")

@@ -7,6 +7,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -45,6 +46,17 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session that holds inside the block only."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is not None:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

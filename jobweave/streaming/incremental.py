@@ -2,23 +2,78 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from ..operators.store import Store, merge_postings, merge_seen
 
-from ..operators.state import publish, read_published, upsert_postings
+MARK = "source string, external_id string, accepted boolean, seen_at timestamp"
+KEY = ["source", "external_id"]
 
 
 def first_seen(stream: DataFrame, delay: str = "1 day", time: str = "seen_at") -> DataFrame:
-    """The first evaluation of each (source, external_id); the watermark bounds the state."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(["source", "external_id"])
+    """The first row of each (source, external_id) within the delay: state goes with the watermark, and a repeat that comes later than
+    that counts as new. For evaluations that hold for good, see first_evaluations."""
+    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(KEY)
+
+
+class _First(StatefulProcessor):
+    """Holds each key's first evaluation, without a time limit."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "accepted boolean, seen_at timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.first.exists():
+            for _ in rows:  # later evaluations change nothing
+                pass
+            return
+        best = min((tuple(f.sort_values(["seen_at", "accepted"]).iloc[0][["seen_at", "accepted"]]) for f in rows if len(f)), default=None)
+        if best:
+            at, accepted = best
+            self.first.update((bool(accepted), at.to_pydatetime()))
+            yield pd.DataFrame({"source": [key[0]], "external_id": [key[1]], "accepted": [bool(accepted)], "seen_at": [at]})
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
+        self.first.update((bool(row["accepted"]), row["seen_at"].to_pydatetime()))
+
+    def close(self) -> None:
+        pass
+
+
+def _first_of_each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        yield f.sort_values(["seen_at", "accepted"]).drop_duplicates(KEY)
+
+
+def first_evaluations(stream: DataFrame, seen: DataFrame) -> DataFrame:
+    """Evaluations (source, external_id, accepted, seen_at) of keys that were never evaluated before: not in the stream, however long
+    ago, nor in `seen`, the relation with which the first start of the query begins.
+
+    Of a batch's rows of one key the earliest counts (of equals, the rejected one). The state is one small value a key, in the state
+    store by key; it grows with the keys and is never dropped, so the session needs the RocksDB state store, which keeps it on disk. A key's
+    rows are thinned out before they are shuffled, so that a hot key doesn't fill a task. Null keys and times are left out.
+    """
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if not str(stream.sparkSession.conf.get(name, "")).endswith("RocksDBStateStoreProvider"):
+        raise ValueError(f"set {name} to org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    whole = "source IS NOT NULL AND external_id IS NOT NULL AND seen_at IS NOT NULL"
+    shape = [*KEY, F.coalesce("accepted", F.lit(False)).alias("accepted"), "seen_at"]
+    thin = stream.where(whole).select(*shape).mapInPandas(_first_of_each, MARK)
+    return thin.groupBy(*KEY).transformWithStateInPandas(_First(), MARK, "Append", "None", seen.where(whole).select(*shape).groupBy(*KEY))
 
 
-def upsert_stream(stream: DataFrame, path: str, checkpoint: str, empty: DataFrame) -> StreamingQuery:
-    """Upserts each batch into the relation at path. A batch that is replayed gives the same relation again, but for its times."""
+def store_stream(stream: DataFrame, store: Store, checkpoint: str, name: str, relation: str = "postings", order: tuple[str, ...] = ("ordinal",)) -> StreamingQuery:
+    """Merges each batch of postings (or seen marks) into the store. Only buckets in which keys of the batch lie are rewritten. The
+    store knows the last batch of this name, so that a batch that is replayed after a crash is merged once."""
 
-    def apply(batch: DataFrame, _: int) -> None:
-        target = read_published(batch.sparkSession, path, empty.schema)
-        publish(upsert_postings(target, batch, F.current_timestamp()), path)
+    def apply(batch: DataFrame, number: int) -> None:
+        merge = merge_seen(order) if relation == "seen" else merge_postings(F.current_timestamp(), order)
+        store.merge({relation: (batch, merge)}, stream=name, batch=number)
 
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).queryName(name).trigger(availableNow=True).start()

@@ -179,13 +179,3 @@ def test_model_matches_numpy(spark):
     assert np.abs(fitted.coefficientMatrix.toArray() - c).max() < 1e-4
     out = model.predict(fitted, df, features)
     assert out.where("rating < 0 OR rating > 2").count() == 0
-
-
-def test_stream_upsert(spark, tmp_path):
-    from jobweave.streaming.incremental import upsert_stream
-
-    source = str(tmp_path / "in")
-    spark.createDataFrame([("s", "u", "t", None, None, "x", 1)], COLUMNS).write.parquet(source)
-    stream = spark.readStream.schema(COLUMNS).parquet(source)
-    upsert_stream(stream, str(tmp_path / "out"), str(tmp_path / "check"), spark.createDataFrame([], TARGET)).awaitTermination()
-    assert [r.title for r in state.read_published(spark, str(tmp_path / "out"), spark.createDataFrame([], TARGET).schema).collect()] == ["t"]
