@@ -340,7 +340,7 @@ def seen_stream(spark, d):
     before = state.first_wins(e(table.where("user_id % 2 = 0")), ["source", "external_id"], ["seen_at", "accepted"])
     out, provider = scratch(spark, "seen"), "spark.sql.streaming.stateStore.providerClass"
     with setting(spark, provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
-        fresh = incremental.first_evaluations(e(spark.readStream.schema(table.schema).parquet(f"{d}/events.parquet")), before)
+        fresh = incremental.first_evaluations(e(spark.readStream.schema(table.schema).parquet(f"{d}/events.parque[t]")), before)  # as a pattern, a single file may stand there
         fresh.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(incremental.MARK).parquet(f"{out}/rows").withColumn("seen_at", F.col("seen_at").cast("timestamp_ntz"))
 
