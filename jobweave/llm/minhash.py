@@ -19,6 +19,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ HUB_ROUNDS, HUBS = 2, 3
 BLOCK, BLOCK_SHINGLES = 512, 400_000  # members and shingles a block, about
 PAIRS = 1 << 15  # pairs of a block whose signatures are compared in full at a time
 STRETCH = 1 << 20
+FOREST = 1 << 20  # links, thinned out, that one task joins: some 100 MB
 _rng = np.random.default_rng(17)
 _byte = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 _word = _rng.integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
@@ -199,11 +201,40 @@ def _are_stars(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty()
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a task as stars: each node but the least of its component, with that least one."""
+    begin("components")
+    tables = [b for b in batches if b.num_rows]
+    if not tables:
+        return
+    a, b = (pa.concat_arrays([t.column(c) for t in tables]) for c in ("a", "b"))
+    nodes = pc.unique(pa.concat_arrays([a, b]))
+    nodes = nodes.take(pc.sort_indices(nodes))
+    x, y = (pc.index_in(c, value_set=nodes).to_numpy() for c in (a, b))
+    top = np.arange(len(nodes))
+    while (apart := top[x] != top[y]).any():
+        x, y = x[apart], y[apart]
+        np.minimum.at(top, np.maximum(top[x], top[y]), np.minimum(top[x], top[y]))
+        while not np.array_equal(up := top[top], top):
+            top = up
+    odd = np.flatnonzero(top != np.arange(len(top)))
+    for at in range(0, len(odd), 1 << 16):
+        part = odd[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([nodes.take(pa.array(part)), nodes.take(pa.array(top[part]))], names=["a", "b"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (a, b) but the roots: alternating large-star and small-star steps until only stars
-    are left. Neighbours are never gathered: a node's least neighbour is pre-aggregated, and comes back salted."""
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    while not _are_stars(edges):
+    """(node, root) of every node of the edges (a, b) but the roots; a root is its component's least node. Each task first thins its
+    edges out to stars. If no more than FOREST are left in all, one task joins them; more take alternating large-star and
+    small-star steps until only stars are left, in which neighbours are never gathered: a node's least neighbour is pre-aggregated, and
+    comes back salted. Both ways give the same rows."""
+    kind = edges.schema["a"].dataType.simpleString()
+    edges = materialize(edges.select("a", "b").mapInArrow(_forest, f"a {kind}, b {kind}"), "edges")
+    few = edges.limit(FOREST + 1).count() <= FOREST
+    if few:
+        old, edges = edges, materialize(edges.coalesce(1).mapInArrow(_forest, f"a {kind}, b {kind}"), "edges")
+        forget(old)
+    while not few and not _are_stars(edges):
         # Large-star: the larger neighbours of a node go to its least neighbour, or to itself.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = attach_groups(both, ["a"], [F.min("b").alias("m")], [F.min("m").alias("m")], salt=F.col("b"))
@@ -213,7 +244,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = near.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(near.select("a", F.col("m").alias("b")))
         old, edges = edges, materialize(small.where("a <> b").distinct(), "edges")
         forget(old)
-    out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).distinct() if not few else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out._jw_path = edges._jw_path
     return out
 

@@ -99,6 +99,29 @@ def test_word_hashes_cross_stretches(monkeypatch):
     assert (minhash.word_hashes(text) == whole).all() and len(whole) == len(text.split())
 
 
+@pytest.mark.parametrize("forest", [1 << 20, 0])
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_components(spark, monkeypatch, forest, kind):
+    monkeypatch.setattr(minhash, "FOREST", forest)
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(20, 60)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)] + [(3, 3), (5, 6), (6, 5), (5, 6)]
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        top[y] = x
+    to = (lambda k: k - 150) if kind == "long" else (lambda k: k.to_bytes(4, "big"))
+    rows = spark.createDataFrame([(to(a), to(b)) for a, b in edges], f"a {kind}, b {kind}").repartition(3)
+    got = sorted((r.node if kind == "long" else bytes(r.node), r.root if kind == "long" else bytes(r.root)) for r in minhash.connected_components(rows).collect())
+    assert got == sorted((to(k), to(find(k))) for k in top if find(k) != k)
+    assert minhash.connected_components(rows.where("false")).collect() == []
+
+
 def plain_word_hash(word):
     total = 0
     for c in reversed(word.encode().lower()):
