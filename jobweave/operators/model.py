@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
 from .ranking import assign_folds, class_weights, expected_rating
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -51,6 +49,59 @@ def tfidf_vocabulary(rows: DataFrame, stop_words: Sequence[str], most: int = MAX
     return top.select("term", (F.log((1 + n.scalar()) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+def _without_each_fold(counts: DataFrame, by: str, sums: Sequence[str], folds: int) -> DataFrame:
+    """counts of (by, fold) to those of (by, without): for each fold the totals less the fold's own part."""
+    per_fold = F.map_from_entries(F.collect_list(F.struct("fold", F.struct(*sums)))).alias("own")  # as many as there are folds
+    total = counts.groupBy(by).agg(*(F.sum(c).alias(c) for c in sums), per_fold)
+    each = total.withColumn("without", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    return each.select(by, "without", *((F.col(c) - F.coalesce(F.try_element_at("own", "without")[c], F.lit(0))).alias(c) for c in sums))
+
+
+def fold_vocabularies(dealt: DataFrame, folds: int, stop_words: Sequence[str], key: str = "vacancy_id", least: int = MIN_SKILL, most: int = MAX_TERMS) -> DataFrame:
+    """What each fold's model knows: without (the fold left out), kind (skill, seniority, remote or term), term and idf (1 but for
+    terms). Names are counted once by fold; a vocabulary is made of the totals less the fold's own counts. dealt has a fold and a key that doesn't repeat."""
+    whole = lambda c: F.array(F.coalesce(c, F.lit("unknown")))
+    of = {"skill": F.coalesce("skills", F.array().cast("array<string>")), "seniority": whole("seniority"), "remote": whole("remote_policy"), "term": title_terms(F.col("title"), stop_words)}
+    named = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), x.alias("names")) for k, x in of.items()))).alias("x")
+    rows = dealt.select("fold", key, named).select("fold", key, "x.kind", F.explode("x.names").alias("term"))
+    # Of a row's repeats all count, but it is one document.
+    each = rows.groupBy("fold", "kind", "term", key).agg(F.count("*").alias("n")).groupBy(F.struct("kind", "term").alias("of"), "fold").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
+    counts = _without_each_fold(each, "of", ["n", "df"], folds).where("n > 0").select("without", "of.*", "n", "df")
+    sizes = _without_each_fold(dealt.groupBy(F.lit(1).alias("of"), "fold").agg(F.count("*").alias("rows")), "of", ["rows"], folds).drop("of")
+    place = F.row_number().over(Window.partitionBy("without", "kind").orderBy(F.col("n").desc(), "term"))
+    terms = counts.where("kind = 'term'").withColumn("place", place).where(F.col("place") <= most).drop("place")
+    terms = terms.join(F.broadcast(sizes), "without").withColumn("idf", F.log((1 + F.col("rows")) / (1 + F.col("df"))) + 1).drop("rows")  # sizes: a row a fold
+    rest = counts.where((F.col("kind") != "term") & ((F.col("kind") != "skill") | (F.col("n") >= least))).withColumn("idf", F.lit(1.0))
+    return terms.unionByName(rest).select("without", "kind", "term", "idf")
+
+
+def ordinals(rows: DataFrame, column: str, parts: int = 0) -> DataFrame:
+    """Distinct values of the column with their ordinal number in sorted order (nulls first), from 0: ranges are sorted side by side,
+    and the driver sees one count a range. The ranges are written once, so that both uses see the same ones."""
+    spark = rows.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch(spark, "ordinals")
+    ranged = rows.select(column).distinct().repartitionByRange(n, F.col(column).asc_nulls_first()).sortWithinPartitions(F.col(column).asc_nulls_first())
+    # The number of the partition above bit 33, the row's number in it below.
+    ranged.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    kept = spark.read.parquet(path)
+    part = F.shiftright("_at", 33).cast("int")
+    sizes = sorted((r.part, r.n) for r in kept.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    starts, total = [0] * (sizes[-1][0] + 1 if sizes else 1), 0
+    for k, size in sizes:
+        starts[k], total = total, total + size
+    start = F.element_at(F.lit(starts).cast("array<bigint>"), part + 1)
+    return kept.select(column, (start + F.col("_at").bitwiseAND((1 << 33) - 1)).alias("ordinal"))
+
+
+def multi_hot(rows: DataFrame, key: str, skills: str = "skills", least: int = MIN_SKILL) -> DataFrame:
+    """key, ordinal, skill: a row's known skills, each once, by their place in the sorted vocabulary. The vocabulary is attached by a
+    join and is never gathered, however many skills there are."""
+    named = rows.select(key, F.explode(F.array_distinct(skills)).alias("skill"))
+    known = ordinals(skill_vocabulary(rows.withColumn("skills", F.col(skills)), least), "skill")
+    return named.join(known, "skill").select(key, "ordinal", "skill")
+
+
 def tfidf(rows: DataFrame, vocabulary: DataFrame, key: str, stop_words: Sequence[str]) -> DataFrame:
     """key, term, weight (L2-normalised a row); rows without a known term have none."""
     terms = rows.select(key, F.explode(title_terms(F.col("title"), stop_words)).alias("term")).join(F.broadcast(vocabulary), "term")
@@ -113,21 +164,55 @@ def predict(model: LogisticRegressionModel, rows: DataFrame, features: Features)
     return out.select(*rows.columns, F.col("prediction").cast("int").alias("prediction"), "probability", "rating")
 
 
-def out_of_fold(rows: DataFrame, folds: int = 5, stop_words: Sequence[str] | None = None, key: str = "vacancy_id") -> DataFrame:
-    """Every row scored by a model, and with a vocabulary, that never saw it. The folds' models are fitted side by side: each
-    solver step is a small job, which alone would leave most of the cores idle."""
-    dealt = assign_folds(rows, folds, key=key).cache()
-    dealt.count()
-
-    def scored(k: int) -> DataFrame:
-        train, test = dealt.where(F.col("fold") != k), dealt.where(F.col("fold") == k)
-        features = Features.fit(train, stop_words)
-        return predict(fit_model(train, features), test, features)
-
-    with ThreadPoolExecutor(folds) as pool:
-        parts = list(pool.map(inheritable_thread_target(rows.sparkSession)(scored), range(folds)))
-    dealt.unpersist()  # the fits are done; what scores the rows deals them out again, by md5
-    return reduce(DataFrame.unionByName, parts)
+#: What stands for 1 in a fold's own intercept: so large that the penalty on it is nothing (a 10,000th of that on other features).
+ONE = 100.0
+
+
+def _blocks(rows: DataFrame, vocabularies: dict[str, list[tuple[int, str, float]]], folds: int, stop_words: Sequence[str]) -> DataFrame:
+    """rows, each with a column `block`, with the features of that block's vocabulary at the block's own places, and its intercept's."""
+    tag = lambda names: F.transform(names, lambda x: F.concat(F.col("block").cast("string"), F.lit("|"), x))
+    whole = lambda c: F.array(F.coalesce(c, F.lit("unknown")))
+    inputs = {"skill": F.coalesce("skills", F.array().cast("array<string>")), "seniority": whole("seniority"), "remote": whole("remote_policy"), "term": title_terms(F.col("title"), stop_words), "one": F.array(F.lit("1"))}
+    out, parts = rows.withColumns({f"_{k}": tag(x) for k, x in inputs.items()}), []
+    for kind in inputs:
+        known = [(k, "1", ONE) for k in range(folds)] if kind == "one" else vocabularies.get(kind, [])
+        if known:
+            out = CountVectorizerModel.from_vocabulary([f"{k}|{t}" for k, t, _ in known], f"_{kind}", f"_{kind}_x").setBinary(kind != "term").transform(out)
+            out = ElementwiseProduct(scalingVec=Vectors.dense([w for _, _, w in known]), inputCol=f"_{kind}_x", outputCol=f"_{kind}_w").transform(out)
+            if kind == "term":
+                out = Normalizer(p=2.0, inputCol="_term_w", outputCol="_term_u").transform(out)
+            parts.append(f"_{kind}_{'u' if kind == 'term' else 'w'}")
+    return VectorAssembler(inputCols=parts, outputCol="features").transform(out).select(*rows.columns, "features")
+
+
+def out_of_fold(rows: DataFrame, folds: int = 5, stop_words: Sequence[str] | None = None, key: str = "vacancy_id", c: float = 1.0) -> DataFrame:
+    """Every row scored by a model, and with a vocabulary, that never saw it: label, fold, prediction, probability and rating beside its columns.
+
+    All folds are fitted at once: a row takes part in each fold but its own, at places that only this fold's model has, so that one
+    fit over all of them is each fold's own fit (its loss and its penalty share no number with the others'), and a step of the solver
+    is one job. The dealt rows are written once; vocabularies are collected, as the model's coefficients are.
+    """
+    spark, stop = rows.sparkSession, list(default_stop_words() if stop_words is None else stop_words)
+    path = scratch(spark, "folds")
+    assign_folds(rows, folds, key=key).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    vocabularies: dict[str, list] = {}
+    for r in fold_vocabularies(dealt, folds, stop, key).orderBy("kind", "without", "term").collect():
+        vocabularies.setdefault(r.kind, []).append((r.without, r.term, r.idf))
+
+    seen = dealt.withColumn("block", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: k != F.col("fold"))))
+    by = dealt.groupBy("label", "fold").agg(F.count("*").alias("n")).collect()  # labels times folds
+    of = {(label, k): sum(r.n for r in by if r.fold != k and r.label == label) for k in range(folds) for label in {r.label for r in by}}
+    sizes = {k: sum(n for (_, block), n in of.items() if block == k) for k in range(folds)}
+    weights = spark.createDataFrame([(label, k, sizes[k] / (3 * n)) for (label, k), n in of.items() if n], "label int, block int, weight double")
+    train = _blocks(seen.join(F.broadcast(weights), ["label", "block"]), vocabularies, folds, stop)  # labels times folds
+    n = sum(sizes.values())
+    train = train.select("features", F.col("label").cast("double"), "weight").coalesce(max(1, n // 20_000))  # labelled rows are few; every step is a job over them
+    fitted = LogisticRegression(family="multinomial", fitIntercept=False, regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=1000, tol=1e-12).fit(train)
+
+    scored = fitted.transform(_blocks(dealt.withColumn("block", F.col("fold")), vocabularies, folds, stop))
+    out = scored.withColumn("probability", vector_to_array("probability")).withColumn("rating", expected_rating(F.col("probability")))
+    return out.select(*dealt.columns, F.col("prediction").cast("int").alias("prediction"), "probability", "rating")
 
 
 def coefficient_axis(model: LogisticRegressionModel, features: Features, ends: int = 10) -> DataFrame:

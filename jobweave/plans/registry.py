@@ -5,13 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse, rules
 from ..functions import text as T
-from ..operators import clients, model, ranking, scrape, state
+from ..operators import clients, labels, model, ranking, scrape, state
 from ..operators.store import POSTINGS, SEEN, Store, merge_postings, merge_seen
 from ..session import scratch, setting
 from ..sources import postings as src
@@ -286,6 +285,17 @@ def sitemap_urls(spark, d):
     return src.sitemap(synth.postings(spark, d).select(xml.alias("payload")))
 
 
+@query(f"{WITH} SELECT CASE WHEN vacancy_id % 7 = 0 THEN 'doctype' WHEN vacancy_id % 5 = 0 OR vacancy_id % 11 = 0 THEN 'malformed' ELSE 'accepted' END AS outcome, count(*) AS n, coalesce(sum(CASE WHEN vacancy_id % 7 <> 0 AND vacancy_id % 5 <> 0 AND vacancy_id % 11 <> 0 THEN 2 END), 0)::BIGINT AS n_urls FROM p GROUP BY ALL")
+def sitemap_outcomes(spark, d):
+    """Documents that were taken and refused: some declare a document type, some break off behind their first URL, some are empty."""
+    head = F.when(F.col("vacancy_id") % 7 == 0, F.lit('<?xml version="1.0"?><!-- x -->\n<!DOCTYPE urlset [<!ENTITY x "y">]>')).otherwise(F.lit('<?xml version="1.0"?>\n<!-- <!DOCTYPE x> -->'))
+    end = F.when(F.col("vacancy_id") % 5 != 0, F.lit("</loc></url></urlset>")).otherwise(F.lit("</loc>"))
+    xml = F.concat(head, F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), F.col("url"), F.lit("</loc></url><url><loc>"), F.col("url"), F.lit("/more"), end)
+    xml = F.when((F.col("vacancy_id") % 11 != 0) | (F.col("vacancy_id") % 7 == 0), xml).otherwise("")
+    out = src.sitemap_documents(synth.postings(spark, d).select(xml.alias("payload")))
+    return out.groupBy(F.coalesce("refused", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"), F.sum(F.size("urls")).alias("n_urls"))
+
+
 # Upserts: events stand in for postings, (event_type, user_id) for (source, url), (ts, event_id) for the order of arrival.
 _LAST = "arg_max(cast(event_id AS varchar), struct_pack(a := ts, b := event_id))"
 
@@ -379,6 +389,28 @@ def undo_labels(spark, d):
     return state.delete_labels(labels, labels.where("vacancy_id % 5 = 0").select("vacancy_id")).select("vacancy_id")
 
 
+# A log of labelling actions: an event's number says what was done, its user is the session.
+_ACTIONS = "a AS (SELECT user_id AS session, ts, event_id AS id, CASE WHEN event_id % 10 < 6 THEN 'label' WHEN event_id % 10 < 7 THEN 'skip' WHEN event_id % 10 < 9 THEN 'undo' ELSE 'read' END AS kind, event_id % 997 AS vacancy_id, cast(event_id % 3 AS integer) AS label FROM events)"
+_REPLAYED = f"{_ACTIONS}, m AS (SELECT *, coalesce(kind = 'label' AND lead(kind) OVER w = 'undo', false) AS undone, coalesce(kind = 'undo' AND lag(kind) OVER w = 'label', false) AS counts FROM a WHERE kind IN ('label', 'undo') WINDOW w AS (PARTITION BY session ORDER BY ts, id))"
+
+
+def _actions(spark, d) -> DataFrame:
+    n = F.col("event_id")
+    kind = F.when(n % 10 < 6, "label").when(n % 10 < 7, "skip").when(n % 10 < 9, "undo").otherwise("read")
+    return _table(spark, d, "events").select(F.col("user_id").cast("string").alias("session"), F.col("ts").alias("at"), n.alias("id"), kind.alias("kind"), (n % 997).alias("vacancy_id"), (n % 3).cast("int").alias("label"))
+
+
+@query(f"WITH {_REPLAYED} SELECT vacancy_id, arg_min(label, struct_pack(a := ts, b := id)) AS label, min(ts) AS labeled_at FROM m WHERE kind = 'label' AND NOT undone GROUP BY vacancy_id")
+def label_log(spark, d):
+    """Labels that stand at the end of the log."""
+    return labels.standing_labels(_actions(spark, d))
+
+
+@query(f"WITH {_REPLAYED}, s AS (SELECT session, kind, undone, counts FROM m UNION ALL SELECT session, kind, false, false FROM a WHERE kind = 'skip') SELECT cast(session AS varchar) AS session, count(*) FILTER (kind <> 'undo') - count(*) FILTER (counts) AS position, count(*) FILTER (kind = 'label' AND NOT undone) AS n_labels, count(*) FILTER (undone) AS n_undone FROM s GROUP BY session")
+def label_progress(spark, d):
+    return labels.progress(_actions(spark, d))
+
+
 @query(f"{WITH}, {_LABELS} SELECT vacancy_id, title, seniority, label FROM p JOIN l USING (vacancy_id)")
 def labeled_join(spark, d):
     p = synth.postings(spark, d)
@@ -493,13 +525,16 @@ def cross_fold_summary(spark, d):
 @query(f"{WITH} SELECT vacancy_id, list_sort(list_distinct(list_transform({_SKILLS}, lambda x: 'skill:' || x))) AS hot, 'seniority_' || seniority AS seniority_hot, 'remote_' || remote_policy AS remote_hot FROM p")
 def multi_hot(spark, d):
     rows = _with_skills(spark, d)
-    features = model.Features.fit(rows, [])
-    features.terms = []
-    names = features.names()
-    hot = F.transform(F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.when(F.get("x", i) > 0, i))), lambda i: F.get(F.split(F.lit("\x01".join(names)), "\x01"), i))
-    out = features.assemble(rows).select("vacancy_id", vector_to_array("features").alias("x")).select("vacancy_id", hot.alias("names"))
-    only = lambda start: F.filter("names", lambda x: x.startswith(start))
-    return out.select("vacancy_id", F.array_sort(only("skill:")).alias("hot"), F.array_join(only("seniority_"), ",").alias("seniority_hot"), F.array_join(only("remote_"), ",").alias("remote_hot"))
+    hot = model.multi_hot(rows, "vacancy_id").groupBy("vacancy_id").agg(F.sort_array(F.collect_list(F.concat(F.lit("skill:"), "skill"))).alias("hot"))  # of one posting
+    out = rows.join(hot, "vacancy_id", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<string>")))
+    return out.select("vacancy_id", "hot", F.concat(F.lit("seniority_"), "seniority").alias("seniority_hot"), F.concat(F.lit("remote_"), "remote_policy").alias("remote_hot"))
+
+
+@query(f"{WITH} SELECT skill, (row_number() OVER (ORDER BY skill) - 1)::BIGINT AS ordinal FROM (SELECT skill FROM (SELECT unnest([skill_a, title, url]) AS skill FROM p) GROUP BY skill)")
+def skill_ordinals(spark, d):
+    """Places in a sorted vocabulary that is as long as the table."""
+    named = synth.postings(spark, d).select(F.explode(F.array("skill_a", "title", "url")).alias("skill"))
+    return model.ordinals(named, "skill")
 
 
 STOP = ("the", "and", "of", "to", "in", "for", "with", "new")
@@ -512,6 +547,22 @@ def title_tfidf(spark, d):
     return model.tfidf(rows, model.tfidf_vocabulary(rows, STOP), "vacancy_id", STOP).select("vacancy_id", "term", F.round("weight", 9).alias("weight"))
 
 
+_FOLD_TERMS = (
+    f"{WITH}, {_FOLDS}, w AS (SELECT vacancy_id, fold, {_TERMS} AS w FROM p JOIN f USING (vacancy_id)), t AS (SELECT vacancy_id, fold, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS term FROM w), "
+    "k AS (SELECT unnest(range(5)) AS without), c AS (SELECT without, term, count(*) AS n, count(DISTINCT vacancy_id) AS df FROM t JOIN k ON fold <> without GROUP BY without, term QUALIFY row_number() OVER (PARTITION BY without ORDER BY n DESC, term) <= 150), "
+    f"s AS (SELECT without, skill AS term, count(*) AS n FROM (SELECT fold, unnest({_SKILLS}) AS skill FROM p JOIN f USING (vacancy_id)) JOIN k ON fold <> without GROUP BY ALL HAVING count(*) >= 3), "
+    "o AS (SELECT DISTINCT without, kind, term FROM (SELECT fold, unnest(['seniority', 'remote']) AS kind, unnest([seniority, remote_policy]) AS term FROM p JOIN f USING (vacancy_id)) JOIN k ON fold <> without) "
+    "SELECT without::INTEGER AS without, 'term' AS kind, term, round(ln((1.0 + (SELECT count(*) FROM f WHERE fold <> without)) / (1.0 + df)) + 1, 9) AS idf FROM c UNION ALL SELECT without::INTEGER, 'skill', term, 1.0 FROM s UNION ALL SELECT without::INTEGER, kind, term, 1.0 FROM o"
+)
+
+
+@query(_FOLD_TERMS)
+def fold_vocabularies(spark, d):
+    """What the model of each fold knows, from one count of all names by fold."""
+    rows = _labels(spark, d).join(_with_skills(spark, d), "vacancy_id")
+    return model.fold_vocabularies(ranking.assign_folds(rows.select("vacancy_id", "label", "title", "skills", "seniority", "remote_policy")), 5, STOP).withColumn("idf", F.round("idf", 9))
+
+
 def _response(kind: str, broken: Column) -> Column:
     salary = F.when(F.col("salary") != "", F.col("salary"))
     content = F.to_json(F.struct(F.col("phrase").alias("summary"), F.from_json("skills_json", "array<string>").alias("skills"), "seniority", salary.alias("salary_min"), F.lit(0).alias("salary_max"), F.col("currency").alias("salary_currency"), F.when(F.col("vacancy_id") % 2 == 0, F.lit("yearly")).alias("salary_period"), "language_requirement", F.col("remote_policy")))
@@ -544,6 +595,43 @@ def judge_by_client(spark, d):
     return asked.select("vacancy_id", parse.fit_score(F.col("response")).alias("fit_score"))
 
 
+def _md5(prompt: str) -> int:
+    return int(hashlib.md5(prompt.encode()).hexdigest()[:7], 16)
+
+
+_ASKED = f"{WITH}, a AS (SELECT vacancy_id, concat(cast(vacancy_id AS varchar), ':', title) AS prompt, cast('0x' || substr(md5(concat(cast(vacancy_id AS varchar), ':', title)), 1, 7) AS integer) AS h FROM p)"
+
+
+@query(
+    f"{_ASKED} SELECT vacancy_id, CASE WHEN h % 4 <> 0 THEN 'first' WHEN h % 3 <> 0 THEN 'second' END AS provider, CASE WHEN h % 4 <> 0 THEN 'first' ELSE 'first,second' END AS asked, "
+    "CASE WHEN h % 4 = 0 AND h % 3 = 0 THEN 'second: OSError: https://model.example.com/v1?[redacted] is busy' END AS error, CASE WHEN h % 12 <> 0 THEN h % 101 END AS fit_score FROM a"
+)
+def client_chain(spark, d):
+    """Two providers: the second is asked only for what the first failed. They compute their answers."""
+
+    def first(prompts, key):
+        return [json.dumps({"fit_score": _md5(x) % 101}) if _md5(x) % 4 else "not JSON" for x in prompts]
+
+    def second(prompts):
+        if _md5(prompts[0]) % 3 == 0:
+            raise OSError("https://model.example.com/v1?key=1 is busy")
+        return [json.dumps({"fit_score": _md5(x) % 101}) for x in prompts]
+
+    providers = [clients.Provider("first", first, keys=("a", "b", "c")), clients.Provider("second", second, batch=1, timeout=60)]
+    rows = synth.postings(spark, d).select("vacancy_id", F.concat(F.col("vacancy_id").cast("string"), F.lit(":"), "title").alias("prompt"))
+    out = clients.ask_chain(rows, "prompt", providers, valid=lambda x: x.startswith("{"))
+    return out.select("vacancy_id", "provider", F.array_join("asked", ",").alias("asked"), "error", F.get_json_object("response", "$.fit_score").cast("int").alias("fit_score"))
+
+
+@query(f"{_ASKED} SELECT vacancy_id, CASE WHEN h % 5 <> 0 THEN 2 END AS size, CASE WHEN h % 5 <> 0 THEN cast(h % 7 AS float) END AS x, CASE WHEN h % 5 <> 0 THEN cast(length(prompt) AS float) END AS y FROM a")
+def client_embeddings(spark, d):
+    """Vectors of an embedding client; it has none for some."""
+    provider = clients.Provider("embedder", lambda prompts: [[_md5(x) % 7, len(x)] if _md5(x) % 5 else None for x in prompts], batch=64)
+    rows = synth.postings(spark, d).select("vacancy_id", F.concat(F.col("vacancy_id").cast("string"), F.lit(":"), "title").alias("prompt"))
+    out = clients.embed(rows, "prompt", provider)
+    return out.select("vacancy_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("size"), F.get("embedding", F.lit(0)).alias("x"), F.get("embedding", F.lit(1)).alias("y"))
+
+
 _ODD = '{"salary_min": 60000.0, "salary_max": "70000", "seniority": ["x"], "summary": {"a": 1}, "salary_currency": "EUR"}'
 
 
@@ -592,6 +680,38 @@ def display_and_prompt(spark, d):
     return _with_skills(spark, d).select("vacancy_id", T.display_skills(F.col("skills")).alias("skills"), shown.alias("salary"), F.length(T.prompt(F.col("body"), "Rate: ", ".")).alias("n_prompt"))
 
 
+_PROMPT_TEXT = "substr(body, 1, 6000)"
+_JUDGED = "'You rate how well a job posting fits a person.' || chr(10) || chr(10) || 'The person:' || chr(10) || skill_a || ' and {posting}' || chr(10) || chr(10) || 'The posting:' || chr(10) || " + _PROMPT_TEXT + " || chr(10) || chr(10) || 'Answer with JSON: fit_score, a whole number from 0 (no fit) to 100 (perfect).'"
+_EXTRACTED = "'Read the job posting and answer with JSON that has these fields: summary, skills. Use 0 or an empty text where the posting says nothing, and ''unknown'' for seniority, salary_period and remote_policy.' || chr(10) || chr(10) || " + _PROMPT_TEXT
+
+
+@query(f"{WITH} SELECT vacancy_id, {_JUDGED} AS judge, {_EXTRACTED} AS extract FROM p")
+def prompts(spark, d):
+    """Both prompts in full; a profile's own braces stay as they are."""
+    person = F.concat("skill_a", F.lit(" and {posting}"))
+    return synth.postings(spark, d).select("vacancy_id", T.judge_prompt(F.col("body"), person).alias("judge"), T.extraction_prompt(F.col("body"), "summary, skills").alias("extract"))
+
+
+_EXTRACTION = ("summary", "skills", "seniority", "salary_min", "salary_max", "salary_currency", "salary_period", "language_requirement", "remote_policy", "extraction_model")
+
+
+@query(
+    f"{WITH} SELECT vacancy_id, phrase AS summary, '[\"' || skill_a || '\",\"' || skill_b || '\"]' AS skills, seniority, CASE WHEN salary IN ('2800', '60000') THEN cast(salary AS integer) END AS salary_min, NULL::integer AS salary_max, "
+    "CASE WHEN salary IN ('2800', '60000') AND currency <> '' THEN currency END AS salary_currency, CASE WHEN vacancy_id % 2 = 0 THEN 'yearly' ELSE 'unknown' END AS salary_period, CASE WHEN language_requirement <> '' THEN language_requirement END AS language_requirement, remote_policy, "
+    "CASE WHEN vacancy_id % 3 = 0 THEN 'second' ELSE 'first' END AS extraction_model, CASE WHEN vacancy_id % 3 = 0 THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS extracted_at FROM p"
+)
+def upsert_extraction_rows(spark, d):
+    """Whole extractions: a third of the postings was extracted again, by another model."""
+    p = synth.postings(spark, d).withColumn("response", _response("gemini", F.lit(False)))
+
+    def run(rows, model_name, day):
+        x = rows.select("vacancy_id", parse.extraction(parse.gemini_content(F.col("response")), model_name).alias("x"))
+        return x.select("vacancy_id", *(F.col(f"x.{c}").alias(c) for c in _EXTRACTION), F.lit(day).cast("timestamp_ntz").alias("extracted_at"))
+
+    out = state.upsert_by_key(run(p, "first", "2024-01-01"), run(p.where("vacancy_id % 3 = 0"), "second", "2024-02-01"), "vacancy_id", ["extracted_at"])
+    return out.withColumn("skills", parse.serialize_skills(F.col("skills")))
+
+
 def _model_rows(spark, d) -> DataFrame:
     rows = _with_skills(spark, d).where(~rules.requires_other_language(F.col("language_requirement")))
     return _labels(spark, d).join(rows, "vacancy_id").select("vacancy_id", "label", "title", "skills", "seniority", "remote_policy")

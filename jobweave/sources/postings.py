@@ -104,9 +104,25 @@ def smartrecruiters(details: DataFrame) -> DataFrame:
     )
 
 
+#: A sitemap, or an index of sitemaps; what can't be parsed stands in _bad.
+SITEMAP = "url ARRAY<STRUCT<loc STRING>>, sitemap ARRAY<STRUCT<loc STRING>>, _bad STRING"
+_DOCTYPE = r"(?is)^(?:\s|\x{feff}|<\?.*?\?>|<!--.*?-->)*<!DOCTYPE"
+
+
+def sitemap_documents(pages: DataFrame) -> DataFrame:
+    """pages with `urls` and `refused`: doctype for a document that declares one (none is ever read), malformed for one that is no
+    XML, also if it is empty or null, or null. A document that is refused has no URLs at all, not those up to its fault."""
+    read = F.from_xml(F.col("payload"), SITEMAP, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = pages.withColumn("_x", F.when(~F.col("payload").rlike(_DOCTYPE), read))
+    refused = F.when(F.col("payload").rlike(_DOCTYPE), "doctype").when(F.col("_x").isNull() | F.col("_x._bad").isNotNull(), "malformed")
+    none = F.array().cast("array<struct<loc:string>>")
+    locs = F.transform(F.concat(F.coalesce("_x.url", none), F.coalesce("_x.sitemap", none)), lambda u: T.strip(u["loc"]))
+    return rows.withColumn("refused", refused).withColumn("urls", F.when(F.col("refused").isNull(), F.array_compact(locs)).otherwise(F.array().cast("array<string>"))).drop("_x")
+
+
 def sitemap(pages: DataFrame) -> DataFrame:
-    """URLs of sitemap documents; a document that isn't XML has none."""
-    return pages.select(F.explode(F.from_xml(F.col("payload"), "url ARRAY<STRUCT<loc STRING>>")["url"]).alias("u")).where("u.loc IS NOT NULL").select(T.strip(F.col("u.loc")).alias("url"))
+    """URLs of sitemap documents; see sitemap_documents for those that are refused."""
+    return sitemap_documents(pages).select(F.explode("urls").alias("url"))
 
 
 def magnetme_pages(pages: DataFrame, *more: str) -> DataFrame:

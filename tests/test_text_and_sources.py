@@ -135,7 +135,7 @@ def test_client_errors_cost_their_batch(spark):
 
     rows = spark.createDataFrame([(1, "a"), (2, None), (3, "bad"), (4, "c")], "i int, p string").coalesce(1)
     got = {r.i: (r.response, r.error) for r in clients.ask(rows, "p", client, batch=1).collect()}
-    assert got == {1: ("A", None), 2: (None, None), 3: (None, "TimeoutError: late"), 4: ("C", None)}
+    assert got == {1: ("A", None), 2: (None, None), 3: (None, "client: TimeoutError: late"), 4: ("C", None)}
 
 
 def test_jdbc(spark, tmp_path):
@@ -151,3 +151,22 @@ def test_jdbc(spark, tmp_path):
     for split in (None, "N"):
         df = relational.read_jdbc(spark, url, "T", split, 4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
         assert sorted(r.N for r in df.collect()) == list(range(100)) and df.rdd.getNumPartitions() == (4 if split else 1)
+
+
+def test_sitemaps_are_taken_whole_or_refused(spark):
+    good = '<?xml version="1.0"?>\n<!-- <!DOCTYPE x> -->\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> u1 </loc><lastmod>x</lastmod></url><url/><url><loc>u2</loc></url></urlset>'
+    cases = {
+        good: (None, ["u1", "u2"]),
+        "<sitemapindex><sitemap><loc>m1</loc></sitemap></sitemapindex>": (None, ["m1"]),
+        "<urlset/>": (None, []),
+        '\n<!DOCTYPE urlset [<!ENTITY x "y">]><urlset><url><loc>u</loc></url></urlset>': ("doctype", []),
+        "<?xml version='1.0'?><!-- c --><!doctype html><html/>": ("doctype", []),
+        "<urlset><url><loc>u1</loc></url><url><loc>u2</loc>": ("malformed", []),
+        "<urlset><url><loc>u1</url></urlset>": ("malformed", []),
+        "not XML": ("malformed", []),
+        "": ("malformed", []),
+        None: ("malformed", []),
+    }
+    rows = spark.createDataFrame([(x,) for x in cases], "payload string")
+    assert {r.payload: (r.refused, r.urls) for r in src.sitemap_documents(rows).collect()} == cases
+    assert sorted(r.url for r in src.sitemap(rows).collect()) == ["m1", "u1", "u2"]
