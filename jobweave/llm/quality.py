@@ -20,63 +20,71 @@ from .common import begin, held_out
 
 BITS = 15  # buckets of each kind of feature: words, pairs of words, 3-grams and 4-grams of characters
 KINDS = 4
-#: Labelled rows a class that the model is fitted on, at most.
+#: Labelled rows a class that the model is fitted on, at most. Each has at most KINDS << BITS features (a MB), whatever its length.
 SAMPLE_PER_CLASS = 1500
-#: Distinct features of a row of the sample that the fit sees, at most: those with the largest shares. Scores use all features.
-SAMPLE_FEATURES = 8192
 DIM, EPOCHS, RATE, SEED = 8, 8, 60.0, 11
 STRETCH = 1 << 19  # characters of a text that are handled at once
 
 
 #: White space characters (code points): between words.
 _WHITE = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+_BLANK = "".join(map(chr, [*range(33), *_WHITE]))
 _powers = np.random.default_rng(5).integers(1, 1 << 32, 64, dtype=np.uint32) | np.uint32(1)
 
 
-def _stretches(text: str) -> Iterator[str]:
-    """Pieces of a text of half a million characters that end behind white space, where there is some."""
-    at = 0
-    while at < len(text):
-        end = at + STRETCH
-        if end < len(text):
-            space = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
-            end = space + 1 if space > at else end
-        yield text[at:end]
-        at = end
-
-
 def _bucket(mixed: np.ndarray, kind: int) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint32(15))) * np.uint32(2654435761) >> np.uint32(32 - BITS)) + np.uint32(kind << BITS)
 
 
-def buckets(text: str) -> np.ndarray:
-    """Feature buckets (with repeats) of a stretch of text."""
-    b = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    # White space is rare above 0x20, and the table is sorted.
-    white = (b <= 32) | ((b > 126) & np.isin(b, _WHITE)) if int(b.max()) > 126 else b <= 32
-    b = np.where(white, np.uint32(32), b)
-    starts = np.flatnonzero(~white[1:] & white[:-1]) + 1
-    if not len(starts):
-        return np.zeros(0, np.uint32)
-    # A word's hash is the sum of its characters, weighted by their places in the word.
-    inside = np.arange(len(b) - starts[0]) - np.repeat(starts - starts[0], np.diff(np.append(starts, len(b))))
-    mixed = (b[starts[0] :] + np.uint32(1)) * _powers[inside & 63]
-    mixed[white[starts[0] :]] = 0
-    word = np.add.reduceat(mixed, starts - starts[0], dtype=np.uint32)
-    # n-grams of characters run on over spaces, as how words follow each other tells quality too.
-    m = [b * p for p in _powers[:4]]
-    three, four = m[0][:-2] + m[1][1:-1] + m[2][2:], m[0][:-3] + m[1][1:-2] + m[2][2:-1] + m[3][3:]
-    return np.concatenate([_bucket(word, 0), _bucket(word[:-1] * _powers[4] + word[1:] * _powers[5], 1), _bucket(three, 2), _bucket(four, 3)])
-
-
-def features(text: str, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a whole text and their shares; with `most`, only those with the largest ones (ties: the first)."""
+def buckets(text: str) -> Iterator[np.ndarray]:
+    """Feature buckets (with repeats) of a whole text, half a million characters at a time. What a cut goes through is carried over:
+    the characters before it, the word that it stands in and the word before that."""
+    if not text.strip(_BLANK):
+        return
+    before, open_, length, last = np.array([32], np.uint32), np.uint32(0), 0, np.zeros(0, np.uint32)
+    for at in range(0, max(len(text), 1), STRETCH):
+        part = text[at : at + STRETCH] + (" " if at + STRETCH >= len(text) else "")
+        b = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        # White space is rare above 0x20, and the table is sorted.
+        white = (b <= 32) | ((b > 126) & np.isin(b, _WHITE)) if int(b.max()) > 126 else b <= 32
+        b = np.where(white, np.uint32(32), b)
+        starts = np.flatnonzero(~white & np.concatenate([[True], white[:-1]]))
+        goes_on = before[-1] != 32 and not white[0]
+        if before[-1] != 32 and white[0]:  # the word ended with the part before
+            word, open_, length = np.array([open_], np.uint32), np.uint32(0), 0
+        else:
+            word = np.zeros(0, np.uint32)
+        if len(starts):
+            # A word's hash is the sum of its characters, weighted by their places in the word.
+            inside = np.arange(len(b) - starts[0]) - np.repeat(starts - starts[0], np.diff(np.append(starts, len(b))))
+            if goes_on:
+                inside[: starts[1] if len(starts) > 1 else len(b)] += length
+            mixed = (b[starts[0] :] + np.uint32(1)) * _powers[inside & 63]
+            mixed[white[starts[0] :]] = 0
+            sums = np.add.reduceat(mixed, starts - starts[0], dtype=np.uint32)
+            if goes_on:
+                sums[:1] += open_
+            if white[-1]:
+                open_, length = np.uint32(0), 0
+            else:
+                open_, length, sums = sums[-1], int(inside[-1]) + 1, sums[:-1]
+            word = np.concatenate([word, sums])
+        pairs = np.concatenate([last, word])
+        last = pairs[-1:]
+        # n-grams of characters run on over spaces, as how words follow each other tells quality too.
+        b = np.concatenate([before, b])
+        m, n = [b * p for p in _powers[:4]], len(before)
+        three, four = m[0][:-2] + m[1][1:-1] + m[2][2:], m[0][:-3] + m[1][1:-2] + m[2][2:-1] + m[3][3:]
+        yield np.concatenate([_bucket(word, 0), _bucket(pairs[:-1] * _powers[4] + pairs[1:] * _powers[5], 1), _bucket(three[max(n - 2, 0) :], 2), _bucket(four[max(n - 3, 0) :], 3)])
+        before = b[-3:]
+
+
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a whole text and their shares."""
     count = np.zeros(KINDS << BITS, np.float64)
-    for part in _stretches(text):
-        count += np.bincount(buckets(part), minlength=len(count))
+    for part in buckets(text):
+        count += np.bincount(part, minlength=len(count))
     at = np.flatnonzero(count)
-    if most and len(at) > most:
-        at = np.sort(at[np.argsort(-count[at], kind="stable")[:most]])
     return at.astype(np.int32), (count[at] / max(count.sum(), 1)).astype(np.float32)
 
 
@@ -87,8 +95,7 @@ class Model:
 
     def score(self, text: str) -> float:
         total, n = 0.0, 0
-        for part in _stretches(text):
-            at = buckets(part)
+        for at in buckets(text):
             total += float(self.weight[at].sum(dtype=np.float64))
             n += len(at)
         return float(1 / (1 + np.exp(-np.clip(total / max(n, 1) + self.bias, -30, 30))))
@@ -141,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, eligible: Column, per_class: int =
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("op1")
         for batch in batches:
-            found = [features(t.as_py() or "", SAMPLE_FEATURES) for t in batch.column("text")]
+            found = [features(t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], names=["doc_id", "y", "at", "share"])
 
     got = texts.select(F.col("doc_id").cast("long"), F.col("y").cast("int"), "text").mapInArrow(featurise, "doc_id long, y int, at array<int>, share array<float>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])

@@ -1,7 +1,10 @@
 import hashlib
 import importlib
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -371,9 +374,65 @@ def test_quality_gradients_and_features():
             values[k] = before
             assert abs((sides[0] - sides[1]) / 2e-6 - grad[k]) < 1e-6
     # Two words, one pair of them, and the n-grams of three and four of six characters, spaces at the ends included.
-    assert len(quality.buckets("ab \u4f60")) == 2 + 1 + 4 + 3
-    assert list(quality.buckets("ab cd")) == list(quality.buckets("ab\u3000cd")) and len(quality.buckets(" \n")) == 0
-    assert len(quality.features("a few words of text", 3)[0]) == 3
+    flat = lambda text: [int(x) for part in quality.buckets(text) for x in part]
+    assert len(flat("ab \u4f60")) == 2 + 1 + 4 + 3
+    assert flat("ab cd") == flat("ab\u3000cd") and flat(" \n") == []
+
+
+def plain_buckets(text):
+    """Buckets of a text, feature by feature."""
+    white = set(map(int, quality._WHITE)) | set(range(33))
+    codes = [32, *(32 if ord(c) in white else ord(c) for c in text), 32]
+    if set(codes) == {32}:
+        return []
+    p = [int(x) for x in quality._powers]
+    word = lambda w: sum((c + 1) * p[k % 64] for k, c in enumerate(w))
+    words, w = [], []
+    for c in codes:
+        if c != 32:
+            w.append(c)
+        elif w:
+            words.append(word(w))
+            w = []
+    grams = lambda n: [sum(c * q for c, q in zip(codes[k : k + n], p)) for k in range(len(codes) - n + 1)]
+
+    def bucket(x, kind):
+        x %= 1 << 32
+        return (((x ^ (x >> 15)) * 2654435761) % (1 << 32) >> (32 - quality.BITS)) + (kind << quality.BITS)
+
+    pairs = [a % (1 << 32) * p[4] + b % (1 << 32) * p[5] for a, b in zip(words, words[1:])]
+    return [bucket(x, kind) for kind, xs in enumerate((words, pairs, grams(3), grams(4))) for x in xs]
+
+
+@pytest.mark.parametrize("stretch", [1 << 19, 1, 2, 3, 7, 64])
+def test_features_know_no_seams(monkeypatch, stretch):
+    monkeypatch.setattr(quality, "STRETCH", stretch)
+    rng = random.Random(stretch)
+    texts = ["", " ", "a", "ab", "abc def", "x" * 200, " lead and trail \n", "\u4f60\u597d " * 9, "\x01\x02", "a\u3000b"]
+    texts += ["".join(rng.choice("abc \n\u00e9") for _ in range(rng.randrange(150))) for _ in range(20)]
+    for t in texts:
+        assert sorted(int(x) for part in quality.buckets(t) for x in part) == sorted(plain_buckets(t)), t
+
+
+def test_quality_equals_a_plain_version(spark, monkeypatch):
+    """Scores of a plain scorer, from a fit on plainly counted features of all labelled rows; some texts cross a stretch."""
+    monkeypatch.setattr(quality, "STRETCH", 1000)
+    rng = random.Random(9)
+    texts = [(k, " ".join(rng.choice(["good", "fine", "text", "here"] if k % 2 else ["spam", "buy", "now", "text"]) for _ in range(rng.choice([3, 40, 900])))) for k in range(30)] + [(90, None), (91, "")]
+    df = docs(spark, texts)
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in texts[:28]], "doc_id long, quality int")
+    count = lambda t: Counter(plain_buckets(t or ""))
+    sample = []
+    for k, t in texts[:28]:
+        if zlib.crc32(str(k).encode()) % 3 != 1:
+            c = count(t)
+            at = sorted(c)
+            sample.append((np.array(at, np.int32), np.array([c[x] / max(sum(c.values()), 1) for x in at], np.float32), k % 2))
+    m = quality.fit(sample, (1.0, 1.0))
+    for r in quality.score_quality(df, labels).collect():
+        c = count(dict(texts)[r.doc_id])
+        z = sum(n * float(m.weight[x]) for x, n in c.items()) / max(sum(c.values()), 1) + m.bias
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-6 and r.predicted == int(r.score >= 0.5)
 
 
 def test_many_languages(spark, monkeypatch):
