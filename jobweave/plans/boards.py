@@ -14,7 +14,7 @@ from . import synth
 
 #: Raw HTML in which, for some, an attribute holds what no text says; the sitemap's URL; what was judged before.
 COLUMNS = (
-    "CASE WHEN vacancy_id % 3 = 0 THEN replace(html, '<p>', '<p class=\"lead\">') ELSE html END AS raw",
+    "CASE WHEN vacancy_id % 3 = 0 THEN replace(html, '<div>', '<div class=\"lead\">') ELSE html END AS raw",
     "concat('https://jobs.example.com/en/', cast(vacancy_id AS varchar(20)), '/', replace(lower(title), ' ', '-'), url_end) AS slug",
     "vacancy_id % 4 = 1 AS judged",
 )
@@ -70,7 +70,7 @@ def decided(all_: DataFrame) -> DataFrame:
     out.append(scrape.smartrecruiters(listing, _seen(p, "key"), lambda r: r.join(ads, "external_id")))
 
     p = all_.where(F.col("source") == "magnetme")
-    xml = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), "slug", F.lit("</loc></url></urlset>"))
+    xml = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), F.replace("slug", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url></urlset>"))
     place = F.struct(F.struct(F.col("location").alias("addressLocality"), F.trim("country_code").alias("addressCountry")).alias("address")).alias("jobLocation")
     posting = F.to_json(F.struct(F.when(F.col("vacancy_id") % 11 != 0, "JobPosting").otherwise("Event").alias("@type"), F.when(F.col("vacancy_id") % 13 != 0, title).alias("title"), html.alias("description"), place))
     spans = F.array_join(F.transform(F.split("language_requirement", ","), lambda x: F.concat(F.lit("<div><span>"), x, F.lit("</span></div>"))), "")

@@ -72,7 +72,7 @@ _CODE = f"lower(trim(country_code)) IN ({_quoted(rules.COUNTRY_CODES)})"
 _PLACE = f"regexp_matches(lower(location), '{'|'.join(rules.COUNTRIES)}')"
 _REGION = f"CASE WHEN source IN ('workday', 'ashby') THEN {_NAME} OR {_PLACE} WHEN source = 'greenhouse' THEN {_PLACE} WHEN source = 'magnetme' THEN {_CODE} ELSE {_CODE} OR {_PLACE} END"
 #: What each board's rules see, and their order; see boards.py for the payloads.
-_SEES = "CASE WHEN source IN ('workday', 'greenhouse') THEN raw WHEN source = 'ashby' THEN body ELSE CASE WHEN source = 'lever' THEN body || chr(10) ELSE '' END || 'Build ' || chr(10) || title || chr(10) || ' & test.' || chr(10) || phrase END"
+_SEES = "CASE WHEN source IN ('workday', 'greenhouse') THEN raw WHEN source = 'ashby' THEN body ELSE CASE WHEN source = 'lever' THEN body || chr(10) ELSE '' END || 'We make ' || chr(10) || title || chr(10) || ' & ship it.' || chr(10) || phrase END"
 _BOARDS = f"{WITH}, b AS (SELECT *, {_SEES} AS sees FROM (SELECT *, {', '.join(boards.COLUMNS)} FROM p))"
 _ENDS = " OR ".join(f"ends_with(slug, '{u}')" for u in rules.EXCLUDED_URLS)
 _DUTCH = "list_has_any(list_transform(string_split(language_requirement, ','), lambda t: lower(trim(t))), ['dutch'])"
@@ -212,7 +212,7 @@ def _magnet_pages(spark, d) -> DataFrame:
 
 
 _JOINED = "CASE WHEN location = '' THEN trim(country_code) ELSE location || ', ' || trim(country_code) END"
-_BUILT = "'Build ' || chr(10) || title || chr(10) || ' & test.' || chr(10) || phrase"
+_BUILT = "'We make ' || chr(10) || title || chr(10) || ' & ship it.' || chr(10) || phrase"
 
 
 @query(f"{WITH} SELECT url, title, origin AS company, {_JOINED} AS location, trim(country_code) AS country, {_BUILT} AS raw_text FROM p")

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 POOLS = {
     "source": ("workday", "greenhouse", "ashby", "lever", "smartrecruiters", "magnetme"),
     "title": (
-        "Software Engineer II", "Data Scientist", "Software Engineer Intern", "Junior Data Scientist", "Machine Learning New Grad", "Backend Software Engineer", "Data Engineer", "Senior Data Engineer", "Staff Software Engineer", "Engineering Manager", "Sales Manager",
-        "Software Engineer, Android", "iOS Developer", "Mobile Software Engineer", "React Native Developer", "Flutter Developer", "Frontend Developer", "Front-End Engineer", "Data Analyst", "Junior Data Analyst", "Data Analytics Engineer", "réai developér", "AI Programmer", "Applied ML Scientist",
+        "Data Engineer III", "Applied Data Scientist", "Software Engineering Intern", "Jr. Machine-Learning Developer", "Graduate AI Researcher", "Back-End Programmer", "DevOps Specialist", "Principal ML Engineer", "Lead Data Engineer", "Director of Machine Learning", "Head of Backend",
+        "Account Executive", "Warehouse Operator", "Android Software Developer", "iOS Full-Stack Developer", "Mobile Backend Engineer", "React Native Programmer", "Flutter Software Developer", "Front End Developer", "Frontend DevOps", "Data Analysis Developer", "Junior Data-Analytics Engineer", "Idéai Technician", "Fullstack Developer (Sr.)", "AI & ML Generalist",
     ),
-    "location": ("Berlin, Germany", "Austin, Texas, United States of America", "San Francisco, CA", "Bangalore, India", "Belfast, Northern Ireland", "Malta, NY", "Krakow", "Amsterdam, Netherlands", "PARIS, FRANCE", ""),
-    "country_name": ("Germany", "United States of America", " france ", "India", "Netherlands"),
-    "country_code": ("GB", "DE", "us", "IN", " nl ", "xk", "uk"),
-    "phrase": ("Nothing more.", "We want 3–5 years of experience.", "We want 0-2 years of experience.", "5+ years in backend work.", "At least three years hands-on.", "Two years are enough.", "Founded 12 years ago.", "An internship; 5+ years preferred.", "You report to a Senior Staff engineer.", "Our team is 30 years old, with 2-12+ years each.", "100 years of heritage."),
+    "location": ("Hamburg, Germany", "Denver, Colorado, United States of America", "Seattle, WA", "Hyderabad, India", "Cardiff, Wales", "Poland, OH", "Gdansk", "Utrecht, Netherlands", "LYON, FRANCE", ""),
+    "country_name": ("Spain", "United States of America", " austria ", "Japan", "Portugal"),
+    "country_code": ("AT", "FR", "ca", "JP", " be ", "xk", "uk"),
+    "phrase": ("No further remarks.", "You bring 4–6 years of practice.", "0-1 years of practice will do.", "7+ years with large systems.", "At least four years in teams.", "One year is enough.", "Begun 15 years ago.", "This internship asks for 6+ years.", "You answer to a Principal engineer.", "The firm is 45 years old, most have 1-9+ years here.", "80 years of tradition."),
     "level": ("entry_level", "mid_senior_level", "associate", "director", "executive", "Director"),
     "seniority": ("internship", "junior", "mid", "senior", "unknown"),
     "remote_policy": ("remote", "hybrid", "onsite", "unknown"),
@@ -42,7 +42,7 @@ def posting_sql(dialect: str, documents: str = "documents") -> str:
     picks = ", ".join(f"{_pick(n, dialect)} AS {n}" for n in POOLS)
     return (
         f"SELECT *, concat('https://jobs.example.com/', cast(vacancy_id AS varchar(20)), url_end) AS url, concat(text, ' ', phrase) AS body, "
-        f"concat('<p>Build <strong>', title, '</strong> &amp; test.</p><!-- x --><ul><li>', phrase, '</li></ul>') AS html, concat('[\"', skill_a, '\", \"', skill_b, '\"]') AS skills_json "
+        f"concat('<div>We make <em>', title, '</em> &amp; ship it.</div><!-- x --><ol><li>', phrase, '</li></ol>') AS html, concat('[\"', skill_a, '\", \"', skill_b, '\"]') AS skills_json "
         f"FROM (SELECT doc_id AS vacancy_id, text, lang, source AS origin, {picks} FROM {documents}) p"
     )
 
