@@ -417,6 +417,24 @@ def labeled_join(spark, d):
     return state.labeled(_labels(spark, d), p.select(F.col("vacancy_id").alias("id"), "title"), p.select("vacancy_id", "seniority")).select("vacancy_id", "title", "seniority", "label")
 
 
+@query(f"WITH {_LABELS} SELECT vacancy_id, (row_number() OVER (ORDER BY md5('42:' || vacancy_id)) - 1)::BIGINT AS place FROM l")
+def shuffled_places(spark, d):
+    """The repeatable random order in which postings are shown: each one's place, numbered by ranges."""
+    rows = _labels(spark, d).select("vacancy_id", F.md5(F.concat(F.lit("42:"), F.col("vacancy_id").cast("string"))).alias("digest"))
+    return rows.join(model.ordinals(rows, "digest"), "digest").select("vacancy_id", F.col("ordinal").alias("place"))
+
+
+_P = "[abs(embedding[1]::DOUBLE), abs(embedding[2]::DOUBLE), abs(embedding[3]::DOUBLE)]"
+
+
+@query(f"SELECT vec_id AS vacancy_id, round((p[2] + 2 * p[3]) / list_sum(p), 9) AS rating FROM (SELECT vec_id, {_P} AS p FROM embeddings) WHERE list_sum(p) > 0")
+def expected_ratings(spark, d):
+    """Expected label of a posting, of the labels' probabilities: three components' shares stand for them."""
+    size = F.transform(F.slice("embedding", 1, 3), lambda x: F.abs(x.cast("double")))
+    rows = _table(spark, d, "embeddings").select("vec_id", size.alias("p")).withColumn("total", F.aggregate("p", F.lit(0.0), lambda a, x: a + x)).where("total > 0")
+    return rows.select(F.col("vec_id").alias("vacancy_id"), F.round(ranking.expected_rating(F.transform("p", lambda x: x / F.col("total"))), 9).alias("rating"))
+
+
 @query(f"WITH {_LABELS} SELECT k AS label, count(vacancy_id) AS n FROM range(3) t(k) LEFT JOIN l ON label = k GROUP BY k")
 def label_counts(spark, d):
     return ranking.label_counts(_labels(spark, d))
