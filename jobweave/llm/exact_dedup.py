@@ -8,13 +8,14 @@ texts move once, as distinct chunks; after that only short lists move.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach_groups, materialize
+from .common import attach_by_key, attach_groups, materialize
 
 WHITE = r"[\x20\x09-\x0D]"
 MIN_CHUNK, MAX_CHUNK = 120, 1024
+FEW = 1_000_000  # hashes of several chunks that are broadcast, at most (8 MB); more are joined by shuffling
 
 
 def boundary_pattern(low: int = MIN_CHUNK, high: int = MAX_CHUNK) -> str:
@@ -33,8 +34,8 @@ def exact_duplicates(docs: DataFrame, hash_of=chunk_hash) -> DataFrame:
 
     Null text counts as empty; all empty texts form one group. The row with the most code points in its original text
     stays, then the smallest doc_id; a null doc_id comes last. Rows that repeat a doc_id with the same text are one document
-    given twice: each gets the same result row and counts in group_size. Other columns are ignored. An empty table
-    gives an empty result.
+    given twice: each gets the same result row and counts in group_size. Texts may have any length: only their distinct chunks
+    move. Other columns are ignored. An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     cut = docs.select("doc_id", F.char_length(text).cast("long").alias("n_points"), F.regexp_replace(text, WHITE, "").alias("norm"))
@@ -42,16 +43,15 @@ def exact_duplicates(docs: DataFrame, hash_of=chunk_hash) -> DataFrame:
 
     distinct = cut.select(F.explode("chunks").alias("chunk")).select(hash_of(F.col("chunk")).alias("h"), "chunk").distinct()
     doubtful = materialize(distinct.groupBy("h").count().where("count > 1").select("h"), "chunk-collisions")
-    if doubtful.isEmpty():
-        listed = cut.select("doc_id", "n_points", "text_sha256", F.transform("chunks", hash_of).alias("recipe"))
-    else:
-        listed = _with_ordinals(cut, distinct, doubtful, hash_of)
-    listed = materialize(listed, "recipes")
+    listed = materialize(cut.select("doc_id", "n_points", "text_sha256", F.transform("chunks", hash_of).alias("recipe")), "recipes")
+    keys = ["recipe"]
+    if n := doubtful.limit(FEW + 1).count():
+        keys, listed = ["recipe", "ordinals"], _with_ordinals(listed, cut, distinct, F.broadcast(doubtful) if n <= FEW else doubtful, hash_of)
 
     best = F.struct(F.col("n_points"), F.bitwise_not(F.col("doc_id")).alias("order"), F.col("doc_id"))
     grouped = attach_groups(
         listed,
-        ["recipe"],
+        keys,
         [F.count("*").alias("n"), F.max(best).alias("best")],
         [F.sum("n").alias("group_size"), F.max("best").alias("best")],
         salt=F.col("doc_id"),
@@ -61,18 +61,17 @@ def exact_duplicates(docs: DataFrame, hash_of=chunk_hash) -> DataFrame:
     return grouped.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
-def _with_ordinals(cut: DataFrame, distinct: DataFrame, doubtful: DataFrame, hash_of) -> DataFrame:
-    """Recipes where some hashes have several chunks: an identifier is then (hash, rank of the chunk among those)."""
+def _with_ordinals(listed: DataFrame, cut: DataFrame, distinct: DataFrame, doubtful: DataFrame, hash_of) -> DataFrame:
+    """Recipes where some hashes have several chunks: beside the hashes stand the places at which a text has another than the first
+    chunk of a hash, with the chunk's rank. Only chunks of doubtful hashes are looked at; other texts keep their recipe."""
     # The hash of a chunk is of fixed width, so a handful of chunks share one; the window is over those only.
-    from pyspark.sql import Window
-
     ranks = distinct.join(doubtful, "h", "left_semi").withColumn("ordinal", F.row_number().over(Window.partitionBy("h").orderBy("chunk"))).where("ordinal > 1")
-    keyed = materialize(cut.withColumn("row", F.monotonically_increasing_id()), "chunked")
-    parts = keyed.select("row", F.posexplode("chunks").alias("at", "chunk")).select("row", "at", hash_of(F.col("chunk")).alias("h"), "chunk")
-    ids = parts.join(ranks, ["h", "chunk"], "left").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "h", F.coalesce("ordinal", F.lit(1)).alias("ordinal")))).alias("ids"))
-    # flat list of longs: hash, ordinal, hash, ordinal, ...
-    flat = F.flatten(F.transform("ids", lambda x: F.array(x["h"], x["ordinal"].cast("long"))))
-    return keyed.join(ids.select("row", flat.alias("recipe")), "row", "left").select("doc_id", "n_points", "text_sha256", F.coalesce("recipe", F.array().cast("array<bigint>")).alias("recipe"))
+    parts = cut.select("text_sha256", F.posexplode("chunks").alias("at", "chunk")).withColumn("h", hash_of(F.col("chunk"))).join(doubtful, "h", "left_semi")
+    # Rows of one text have the same places, so a text's set is no larger than its recipe.
+    places = parts.join(ranks, ["h", "chunk"]).groupBy("text_sha256").agg(F.array_sort(F.collect_set(F.struct("at", "ordinal"))).alias("ordinals"))
+    flat = F.flatten(F.transform("ordinals", lambda x: F.array(x["at"], x["ordinal"])))
+    out = attach_by_key(listed, places.select("text_sha256", flat.alias("ordinals")), "text_sha256", F.col("doc_id"))
+    return out.withColumn("ordinals", F.coalesce("ordinals", F.array().cast("array<int>")))
 
 
 ORACLE = r"""

@@ -25,12 +25,13 @@ def brute_exact(rows):
 
 
 LONG = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(40_000))
-EXACT = [(1, "a b"), (2, "ab"), (3, "a\tb "), (4, None), (5, ""), (6, " "), (7, LONG), (8, LONG + " "), (9, LONG[1:]), (10, LONG[:-1]), (None, "ab"), (2, "ab"), (11, "é\u00a0b"), (12, "éb"), (13, "😀" * 3000), (14, "😀 " * 3000)]
+EXACT = [(1, "a b"), (2, "ab"), (3, "a\tb "), (4, None), (5, ""), (6, " "), (7, LONG), (8, LONG + " "), (9, LONG[1:]), (10, LONG[:-1]), (None, "ab"), (2, "ab"), (11, "é\u00a0b"), (12, "éb"), (13, "😀" * 3000), (14, "😀 " * 3000), (15, LONG * 30), (16, LONG * 30 + "!"), (17, " ".join(LONG * 30))]
 
 
-@pytest.mark.parametrize("bits", [None, 2])
-def test_exact_dedup(spark, bits):
-    """With a two-bit hash nearly all chunks collide: the ordinals have to tell them apart."""
+@pytest.mark.parametrize(("bits", "few"), [(None, 1_000_000), (2, 1_000_000), (2, 1), (9, 1_000_000)])
+def test_exact_dedup(spark, monkeypatch, bits, few):
+    """With a hash of two bits nearly all chunks collide, with nine some: the ordinals have to tell them apart."""
+    monkeypatch.setattr(exact_dedup, "FEW", few)
     kind = (lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))) if bits else exact_dedup.chunk_hash
     out = exact_dedup.exact_duplicates(docs(spark, EXACT), kind)
     assert sorted((tuple(r) for r in out.collect()), key=str) == brute_exact(EXACT)
