@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..operators import clients, labels, model, ranking, scrape, state
 from ..operators.store import POSTINGS, SEEN, Store, merge_postings, merge_seen
 from ..session import scratch, setting
+from ..sources import paged
 from ..sources import postings as src
 from ..streaming import incremental
 from . import boards, synth
@@ -765,6 +766,24 @@ def workday_listing(spark, d):
     return src.workday_listing(pages)
 
 
+@query(f"{WITH} SELECT origin AS company, title, url AS external_path FROM p WHERE vacancy_id % 4 <> 0 AND origin <> ''")
+def paged_listing(spark, d):
+    """Listings of some twenty entries a page, landed page by page and asked for by the paged source."""
+    p = synth.postings(spark, d).where("origin <> ''")
+    sizes = p.groupBy("origin").agg(F.count("*").cast("int").alias("total"))
+    # How many entries a page has differs; a listing has as many pages as its length takes.
+    page = F.pmod(F.xxhash64("vacancy_id"), F.ceil(F.col("total") / 20)).cast("int") * 20
+    entry = F.struct("title", F.when(F.col("vacancy_id") % 4 != 0, F.col("url")).alias("externalPath"))
+    pages = p.join(sizes, "origin").groupBy(F.col("origin").alias("company"), "total", page.alias("page_offset")).agg(F.collect_list(entry).alias("jobPostings"))  # some twenty
+    at = scratch(spark, "listing")
+    every = sizes.select(F.col("origin").alias("company"), "total", F.explode(src.page_offsets(F.col("total"), 20)).alias("page_offset"))
+    filled = every.join(pages.drop("total"), ["company", "page_offset"], "left")
+    filled.select("company", "page_offset", F.to_json(F.struct("total", "jobPostings")).alias("value")).write.partitionBy("company", "page_offset").text(at)
+    companies = [r.origin for r in sizes.select("origin").collect()]  # a row a board
+    landed = paged.listing(spark, companies, url=f"{at}/company={{company}}/page_offset={{offset}}", fetcher="jobweave.sources.paged:FolderFetcher", pagesize=20, mindelay=0, maxdelay=0, pagespertask=20)
+    return src.workday_listing(landed.select("company", "payload"))
+
+
 @query(f"{WITH} SELECT vacancy_id, list_transform(string_split(language_requirement, ','), lambda x: trim(x)) AS languages FROM p")
 def page_languages(spark, d):
     spans = F.array_join(F.transform(F.split("language_requirement", ","), lambda x: F.concat(F.lit("<div><span>"), x, F.lit("</span><span>fluent</span></div>"))), "")

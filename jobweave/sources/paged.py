@@ -43,6 +43,20 @@ class HttpFetcher:
             raise OSError(f"status {e.code}: {e.read().decode('utf-8', 'replace')[:500]}") from None
 
 
+class FolderFetcher:
+    """Pages that something else landed, as text files in a folder a page; the URL is the folder's."""
+
+    def __init__(self, options: dict[str, str]):
+        pass
+
+    def get(self, url: str) -> str:
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(url)
+        files = sorted(f.path for f in system.get_file_info(fs.FileSelector(path)) if f.is_file and f.base_name.startswith("part-"))
+        return "".join(system.open_input_stream(f).read().decode() for f in files)
+
+
 def redacted(text: str) -> str:
     """Queries of URLs may hold keys."""
     return re.sub(r"(?<=\S)\?[^\s'\"<>]*", "?[redacted]", text)
