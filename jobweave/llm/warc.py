@@ -20,10 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach_groups, new_path, write_table
+from .common import attach_by_key, materialize, new_path, write_table
 
 FRAME, BUNDLE = 256 << 10, 4 << 20  # bytes of records in a frame, bytes of frames in a bundle, about
 MIN_REVISIT = 1000
+FEW = 200_000  # groups of equal payloads that are broadcast, at most (some 20 MB); with more, rows are joined by shuffling
 #: Fixed values of the seekable format: magic numbers of a skippable frame and of the seek table's footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -142,8 +143,13 @@ def write_archive(pages: DataFrame, path: str | None = None, min_revisit: int =
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"))
     rows = rows.withColumns({"size": F.octet_length("html").cast("long"), "sha1": F.sha1(F.encode("html", "UTF-8")), "same": F.sha2(F.encode("html", "UTF-8"), 256)})
-    large = F.col("size") >= min_revisit
-    rows = attach_groups(rows, ["same", "size"], [F.count("*").alias("n"), F.max("page_id").alias("best")], [F.sum("n").alias("n"), F.max("best").alias("best")], salt=F.col("page_id"), having=(F.col("n") > 1) & large)
+    # Payloads stay where they are: groups of equal ones are found by digest and size alone.
+    groups = rows.where(F.col("size") >= min_revisit).groupBy("same", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("best")).where("n > 1")
+    groups = materialize(groups.select("same", "best"), "warc-groups")
+    if groups.limit(FEW + 1).count() <= FEW:
+        rows = rows.join(F.broadcast(groups), "same", "left")
+    else:
+        rows = attach_by_key(rows, groups, "same", F.col("page_id"))
     revisit = F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
     rows = rows.select("page_id", "url", "size", "sha1", F.when(revisit, F.col("best")).alias("refers_to"), F.when(~revisit, F.col("html")).alias("html"))
 

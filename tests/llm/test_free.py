@@ -257,7 +257,9 @@ def test_templates_compare_all_that_agree(n):
     assert [whole.add(r) for r in rows] == want and [led.add(r) for r in rows] == want
 
 
-def test_warc(spark, tmp_path):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_warc(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(warc, "FEW", few)
     big = "é" * 600
     rows = [(1, "http://a/ b", big), (5, None, big), (3, "x", big), (2, "y", "small"), (4, "z", "small"), (6, "q", None), (None, "n", big), (5, "again", big)] + [(i, "u", f"page {i} " + "t" * 3000) for i in range(100, 300)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, size string")
