@@ -208,7 +208,7 @@ def out_of_fold(rows: DataFrame, folds: int = 5, stop_words: Sequence[str] | Non
     train = _blocks(seen.join(F.broadcast(weights), ["label", "block"]), vocabularies, folds, stop)  # labels times folds
     n = sum(sizes.values())
     train = train.select("features", F.col("label").cast("double"), "weight").coalesce(max(1, n // 20_000))  # labelled rows are few; every step is a job over them
-    fitted = LogisticRegression(family="multinomial", fitIntercept=False, regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=1000, tol=1e-12).fit(train)
+    fitted = LogisticRegression(family="multinomial", fitIntercept=False, regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=1000, tol=1e-10).fit(train)
 
     scored = fitted.transform(_blocks(dealt.withColumn("block", F.col("fold")), vocabularies, folds, stop))
     out = scored.withColumn("probability", vector_to_array("probability")).withColumn("rating", expected_rating(F.col("probability")))
