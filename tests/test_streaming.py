@@ -1,9 +1,12 @@
 import datetime
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from jobweave.operators.store import POSTINGS, SEEN, Relation, Store
+from jobweave.streaming import incremental
 from jobweave.streaming.incremental import MARK, first_evaluations, store_stream
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -42,6 +45,35 @@ def test_first_evaluations_are_never_forgotten(rocks, tmp_path):
     assert run(rocks, tmp_path, seen) == sorted([*first, ("a", True, at(9))])
 
 
+def test_the_state_is_asked_by_bucket(rocks, tmp_path):
+    n, source, out = 9000, str(tmp_path / "in"), str(tmp_path / "out")
+    rocks.range(n).selectExpr("'s' AS source", "cast(id AS string) AS external_id", "true AS accepted", "timestamp'2024-01-01' AS seen_at").write.parquet(source)
+    seen = rocks.range(0, n, 2).selectExpr("'s' AS source", "cast(id AS string) AS external_id", "true AS accepted", "timestamp'2023-01-01' AS seen_at")
+    query = first_evaluations(rocks.readStream.schema(MARK).parquet(source), seen).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = rocks.read.schema(MARK).parquet(out)
+    assert got.count() == got.select("external_id").distinct().count() == n / 2 and got.where("external_id % 2 = 0").isEmpty()
+    # At most an entry for what was seen before and one for the batch (and one in which RocksDB may count a list): not one a key.
+    held = max(op.numRowsTotal for p in query.recentProgress for op in p.stateOperators)
+    assert 0 < held <= 2 * incremental.BUCKETS
+
+
+def test_many_entries_of_a_bucket_become_one(monkeypatch):
+    class Kept(list):
+        get, appendList, put = list.copy, list.extend, lambda self, new: self.__setitem__(slice(None), new)
+
+    monkeypatch.setattr(incremental, "MOST_ENTRIES", 3)
+    first, kept = incremental._First(), Kept()
+    first.init(SimpleNamespace(getListState=lambda *_: kept))
+    frame = lambda *names: pd.DataFrame([("s", x, True, pd.Timestamp(2024, 1, 1)) for x in names], columns=["source", "external_id", "accepted", "seen_at"])
+    first.handleInitialState((0,), frame("k0"), None)
+    for i in range(1, 20):
+        (new,) = first.handleInputRows((0,), iter([frame(f"k{i}", "k0"), frame(f"k{i - 1}")]), None)
+        assert new.external_id.tolist() == [f"k{i}"] and len(kept) <= 3
+    assert sorted(x for e in kept for x in e[1]) == sorted(f"k{i}" for i in range(20))
+    assert list(first.handleInputRows((0,), iter([frame("k3")]), None)) == [] and list(first.handleInputRows((0,), iter([]), None)) == []
+
+
 def test_a_store_that_forgets_is_refused(spark, tmp_path):
     land(spark, str(tmp_path / "in"), ("s", "a", True, at(1)))
     with pytest.raises(ValueError, match="RocksDB"):
