@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -188,9 +190,10 @@ def _blocks(rows: DataFrame, vocabularies: dict[str, list[tuple[int, str, float]
 def out_of_fold(rows: DataFrame, folds: int = 5, stop_words: Sequence[str] | None = None, key: str = "vacancy_id", c: float = 1.0) -> DataFrame:
     """Every row scored by a model, and with a vocabulary, that never saw it: label, fold, prediction, probability and rating beside its columns.
 
-    All folds are fitted at once: a row takes part in each fold but its own, at places that only this fold's model has, so that one
-    fit over all of them is each fold's own fit (its loss and its penalty share no number with the others'), and a step of the solver
-    is one job. The dealt rows are written once; vocabularies are collected, as the model's coefficients are.
+    All folds are fitted at once: a row takes part in each fold but its own, at places that only this fold's model has, and a step of
+    the solver is one job for all. With few features a fold (MOST_COEFFICIENTS) that is Newton's method, otherwise one L-BFGS fit over all
+    places (the folds' losses and penalties share no number). The dealt rows are written once; vocabularies are collected, as the
+    model's coefficients are.
     """
     spark, stop = rows.sparkSession, list(default_stop_words() if stop_words is None else stop_words)
     path = scratch(spark, "folds")
@@ -207,12 +210,131 @@ def out_of_fold(rows: DataFrame, folds: int = 5, stop_words: Sequence[str] | Non
     weights = spark.createDataFrame([(label, k, sizes[k] / (3 * n)) for (label, k), n in of.items() if n], "label int, block int, weight double")
     train = _blocks(seen.join(F.broadcast(weights), ["label", "block"]), vocabularies, folds, stop)  # labels times folds
     n = sum(sizes.values())
-    train = train.select("features", F.col("label").cast("double"), "weight").coalesce(max(1, n // 20_000))  # labelled rows are few; every step is a job over them
-    fitted = LogisticRegression(family="multinomial", fitIntercept=False, regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=1000, tol=1e-10).fit(train)
-
-    scored = fitted.transform(_blocks(dealt.withColumn("block", F.col("fold")), vocabularies, folds, stop))
-    out = scored.withColumn("probability", vector_to_array("probability")).withColumn("rating", expected_rating(F.col("probability")))
-    return out.select(*dealt.columns, F.col("prediction").cast("int").alias("prediction"), "probability", "rating")
+    # Rows that a fold's model can't tell apart are one row of their weight: the loss is the same, and what a step reads grows with the
+    # different rows only.
+    path = scratch(spark, "train")
+    same = train.select("block", "features", F.col("label").cast("int"), "weight").groupBy("block", "features", "label", "weight").agg(F.count("*").alias("n"))
+    same.select("block", "features", "label", (F.col("weight") * F.col("n")).alias("weight")).write.parquet(path)
+    train = spark.read.parquet(path)
+    classes, places = 1 + max(label for label, _ in of if label is not None), _places(vocabularies, folds)
+    scored = _blocks(dealt.withColumn("block", F.col("fold")), vocabularies, folds, stop)
+    if classes * max(map(len, places.values())) <= MOST_COEFFICIENTS:
+        penalty = sum(sizes[k] / 3 for (label, k), m in of.items() if m and label is not None) / (c * n)
+        probability = _probability(newton(train, places, classes, penalty))(F.col("block"), *_sparse("features")).alias("probability")
+        scored = scored.select(*dealt.columns, probability)
+        best = F.array_position("probability", F.array_max("probability")) - 1
+    else:
+        train = train.repartition(max(1, train.count() // 20_000))  # every step is a job over them
+        lr = LogisticRegression(family="multinomial", fitIntercept=False, regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=1000, tol=1e-10)
+        scored = lr.fit(train.withColumn("label", F.col("label").cast("double"))).transform(scored).withColumn("probability", vector_to_array("probability"))
+        best = F.col("prediction")
+    return scored.select(*dealt.columns, best.cast("int").alias("prediction"), "probability", expected_rating(F.col("probability")).alias("rating"))
+
+
+#: Up to so many coefficients a fold is fitted by Newton's method, whose matrix has the square of that; beyond by L-BFGS.
+MOST_COEFFICIENTS = 1200
+
+
+def _places(vocabularies: dict[str, list[tuple[int, str, float]]], folds: int) -> dict[int, list[int]]:
+    """Each block's own places in the features that _blocks gives, in order."""
+    blocks = [b for kind in ("skill", "seniority", "remote", "term") for b, *_ in vocabularies.get(kind, [])] + list(range(folds))
+    return {k: [i for i, b in enumerate(blocks) if b == k] for k in range(folds)}
+
+
+def _sparse(column: str) -> tuple[Column, Column]:
+    """Places and values of a vector, sparse or dense."""
+    v = F.unwrap_udt(column)
+    return F.coalesce(v["indices"], F.sequence(F.lit(0), F.size(v["values"]) - 1)), v["values"]
+
+
+def _matrix(places: list[int], at, values) -> np.ndarray:
+    """Rows (lists of places and values) as a matrix over a block's places."""
+    x = np.zeros((len(at), len(places)))
+    if len(at):
+        row = np.repeat(np.arange(len(at)), [len(v) for v in values])
+        x[row, np.searchsorted(places, np.concatenate(list(at)).astype(int))] = np.concatenate(list(values))
+    return x
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _derivatives(x: np.ndarray, label: np.ndarray, weight: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Loss, gradient and Hessian of the rows, in one array."""
+    (classes, d), p = theta.shape, _softmax(x @ theta.T)
+    z = x @ theta.T
+    top = z.max(axis=1)
+    loss = (weight * (top + np.log(np.exp(z - top[:, None]).sum(axis=1)) - z[np.arange(len(x)), label])).sum()
+    gradient = ((p - np.eye(classes)[label]) * weight[:, None]).T @ x
+    hessian = np.empty((classes, d, classes, d))
+    for a in range(classes):
+        for b in range(a + 1):
+            hessian[a, :, b, :] = (x * (weight * p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ x
+            hessian[b, :, a, :] = hessian[a, :, b, :]
+    return np.concatenate([[loss], gradient.ravel(), hessian.ravel()])
+
+
+def newton(train: DataFrame, places: dict[int, list[int]], classes: int, penalty: float, most: int = 200) -> dict[int, tuple[list[int], np.ndarray]]:
+    """The coefficients (a row a class) of each block of train (block, features, label, weight), with its places. They have the least
+    weighted loss plus penalty / 2 of their squares.
+
+    A step is one job for all blocks: tasks add up their rows' gradients and Hessians, one task a block those of the tasks. Their number doesn't
+    depend on how many rows there are, as that of L-BFGS steps does (the more rows, the less the penalty holds what they leave open)."""
+    theta = {k: np.zeros((classes, len(at))) for k, at in places.items()}
+    rows, state, going = train.select("block", *(x.alias(n) for n, x in zip(("at", "value"), _sparse("features"), strict=True)), "label", "weight"), {}, set(places)
+    for _ in range(most):
+        now = {k: theta[k] for k in going}
+
+        def part(frames, now=now):
+            sums: dict = {}
+            for f in frames:
+                for k, g in f.groupby("block"):
+                    here = _derivatives(_matrix(places[k], g["at"], g["value"]), g["label"].to_numpy(), g["weight"].to_numpy(), now[k])
+                    sums[k] = sums[k] + here if k in sums else here
+            yield pd.DataFrame({"block": list(sums), "sums": [x.tobytes() for x in sums.values()]})
+
+        def whole(f):
+            total = np.sum([np.frombuffer(x) for x in f["sums"]], axis=0)
+            return pd.DataFrame({"block": [f["block"].iloc[0]], "sums": [total.tobytes()]})
+
+        schema = "block int, sums binary"
+        sums = {r.block: np.frombuffer(bytes(r.sums)) for r in rows.where(F.col("block").isin(*going)).mapInPandas(part, schema).groupBy("block").applyInPandas(whole, schema).collect()}
+        for k in sorted(going):
+            size = theta[k].size
+            total = sums.get(k, np.zeros(1 + size + size * size))  # no rows: the penalty alone
+            flat = theta[k].ravel()
+            loss = total[0] + penalty / 2 * flat @ flat
+            if k in state and not loss <= state[k][1] * (1 + 1e-9) + 1e-9:  # too far: half the way
+                start, before, step = state[k]
+                state[k] = start, before, step / 2
+            else:
+                gradient = total[1 : 1 + size] + penalty * flat
+                hessian = total[1 + size :].reshape(size, size) + penalty * np.eye(size)
+                scale = 1 / np.sqrt(np.diag(hessian))
+                step = -scale * np.linalg.solve(hessian * scale[:, None] * scale, scale * gradient)
+                state[k] = flat, loss, step
+                if -gradient @ step <= 1e-12:  # twice what is left to gain
+                    going.discard(k)
+            theta[k] = (state[k][0] + state[k][2]).reshape(theta[k].shape)
+        if not going:
+            return {k: (places[k], theta[k]) for k in places}
+    raise RuntimeError(f"no end after {most} steps")
+
+
+def _probability(fitted: dict[int, tuple[list[int], np.ndarray]]):
+    """block and its features (places, values) to the classes' probabilities."""
+
+    @F.pandas_udf("array<double>")
+    def probability(block: pd.Series, at: pd.Series, values: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(block), index=block.index, dtype=object)
+        for k, index in block.groupby(block).groups.items():
+            places, theta = fitted[k]
+            out[index] = list(_softmax(_matrix(places, at[index], values[index]) @ theta.T))
+        return out
+
+    return probability
 
 
 def coefficient_axis(model: LogisticRegressionModel, features: Features, ends: int = 10) -> DataFrame:

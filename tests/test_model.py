@@ -4,7 +4,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from jobweave.operators import model, ranking
 
@@ -45,6 +47,47 @@ def test_all_folds_at_once_equal_one_by_one(spark):
         assert np.abs(np.array(r.probability) - probability).max() < 2e-5 and abs(r.rating - rating) < 2e-5
 
 
+def test_steps_and_what_they_read_do_not_grow_with_the_rows(spark):
+    copies = labelled(spark).crossJoin(spark.range(20).select((F.col("id") * 1000).alias("more"))).withColumn("vacancy_id", F.col("vacancy_id") + F.col("more")).drop("more")
+    spark.sparkContext.setJobGroup("fold fit", "")
+    try:
+        assert model.out_of_fold(copies, 3, ["data"]).count() == 1800
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("fold fit"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs < 100  # L-BFGS takes hundreds of steps, each a job
+
+
+def test_folds_of_many_features_are_fitted_alike(spark, monkeypatch):
+    rows = labelled(spark)
+    few = {r.vacancy_id: r for r in model.out_of_fold(rows, 3, ["data"]).collect()}
+    monkeypatch.setattr(model, "MOST_COEFFICIENTS", 0)
+    many = model.out_of_fold(rows, 3, ["data"]).collect()
+    assert len(many) == len(few) == 90
+    for r in many:
+        assert (r.fold, r.prediction) == (few[r.vacancy_id].fold, few[r.vacancy_id].prediction) and abs(r.rating - few[r.vacancy_id].rating) < 2e-5
+
+
+def test_newton_ends_at_the_least_loss(spark):
+    rng, rows = np.random.default_rng(1), []
+    for _ in range(300):
+        block, x = int(rng.integers(2)), np.round(rng.normal(size=3), 1)
+        label = int(rng.integers(3 if block else 2))  # block 0 never sees label 2, block 2 no row at all
+        # Even places are block 1's; a feature is large, as the intercept's is.
+        rows.append((block, Vectors.sparse(7, [(2 * i + 1 - block, float(v) * (100 if i == 2 else 1)) for i, v in enumerate(x) if v]), label, float(rng.integers(1, 9))))
+    places = {0: [1, 3, 5], 1: [0, 2, 4], 2: [6]}
+    schema = StructType([StructField("block", IntegerType()), StructField("features", VectorUDT()), StructField("label", IntegerType()), StructField("weight", DoubleType())])
+    fitted = model.newton(spark.createDataFrame(rows, schema), places, 3, 1.0)
+    for k, (at, theta) in fitted.items():
+        gradient = theta.copy()
+        for block, v, label, weight in rows:
+            if block == k:
+                x = v.toArray()[at]
+                e = np.exp(theta @ x - (theta @ x).max())
+                gradient += weight * np.outer(e / e.sum() - np.eye(3)[label], x)
+        assert at == places[k] and np.abs(gradient).max() < 1e-5, k
+
+
 def test_a_fold_knows_nothing_of_its_own_rows(spark):
     rows = labelled(spark, 30)
     odd = spark.createDataFrame([(1000, 2, "Zebra Keeper", ["Zoo"] * 5, "zoo", "zoo")], ROWS)
