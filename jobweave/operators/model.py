@@ -154,8 +154,12 @@ class Features:
 def fit_model(train: DataFrame, features: Features, c: float = 1.0) -> LogisticRegressionModel:
     """Multinomial L2 regression with balanced classes, penalty 1 / c on the summed loss."""
     rows = features.assemble(class_weights(train)).select("features", F.col("label").cast("double"), "weight")
-    n = train.count()
-    rows = rows.coalesce(max(1, n // 20_000))  # labelled rows are few; every step of the solver is a job over them
+    n, path = train.count(), scratch(train.sparkSession, "train")
+    # As in out_of_fold: equal rows are one row of their weight.
+    same = rows.groupBy("features", "label", "weight").agg(F.count("*").alias("n"))
+    same.select("features", "label", (F.col("weight") * F.col("n")).alias("weight")).write.parquet(path)
+    rows = train.sparkSession.read.parquet(path)
+    rows = rows.repartition(max(1, rows.count() // 20_000))  # every step of the solver is a job over them
     lr = LogisticRegression(family="multinomial", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=1000, tol=1e-10)
     return lr.fit(rows)
 
